@@ -190,7 +190,7 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY, fan_
         bins = saved(grouped.applyInArrow(lambda t: _merge(t, capacity), schema))
     for d in done:
         bins = bins.unionByName(d)
-    placed = bins.select(F.monotonically_increasing_id().alias("sequence_id"), F.posexplode("items").alias("_at", "_item"), "items")
+    placed = bins.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.posexplode("items").alias("_at", "_item"), "items")
     before = F.aggregate(F.slice("items", F.lit(1), F.col("_at")), F.lit(0).cast("long"), lambda s, x: s + x[size].cast("long"))
     return placed.select(*[F.col("_item")[c].alias(c) for c in names], "sequence_id", before.alias("offset"))
 
