@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, packing
+from glyphlake.llm import bpe, packing, repeats
 from glyphlake.llm.words import importable
 
-QUERIES = [bpe.op4_bpe_round_trip, packing.op10_best_fit_packing]
+QUERIES = [bpe.op4_bpe_round_trip, repeats.op9_difference_cover, packing.op10_best_fit_packing]
 
 ORACLES: dict[str, str] = {}
 
