@@ -30,47 +30,59 @@ NEARLY = 4
 class ChunkIds:
     """Ids of white-space-separated chunks by the tokenizers library, remembered.
 
-    Valid for tokenizers whose tokens never span white space and whose normalizer acts on each chunk alone. A chunk is looked up as
-    it stands, then without trailing punctuation and in lower case; only what is new goes to the library.
+    Valid for byte-level tokenizers in lower case whose tokens never span white space, keep letters apart from other characters and normalize each chunk alone. A chunk is looked up as
+    a whole, then without trailing punctuation; only what is new goes to the library.
     """
 
     TAIL = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chunks: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
 
-    def parts(self, chunk: str) -> tuple[str, str]:
-        if "<|" in chunk:
-            return chunk, ""
-        core = chunk.rstrip(self.TAIL)
-        if not core or not core[-1].isalpha():
-            return (chunk, "") if core else ("", chunk)
-        low = core.lower()
-        return (low if len(low) == len(core) and "Σ" not in core else core), chunk[len(core) :]
-
     def learn(self, chunks: set[str]) -> None:
         if len(self.chunks) > CACHE:
             self.chunks = {"": b""}
         if len(self.cores) > CACHE:
             self.cores = {"": b""}
-        new = {c: self.parts(c) for c in chunks.difference(self.chunks)}
-        cores = list({p for both in new.values() for p in both}.difference(self.cores))
-        for k in range(0, len(cores), 4096):
-            for core, e in zip(cores[k : k + 4096], self.tokenizer.encode_batch_fast(cores[k : k + 4096], add_special_tokens=False), strict=True):
-                self.cores[core] = array("I", e.ids).tobytes()
-        for chunk, (core, tail) in new.items():
-            self.chunks[chunk] = self.cores[core] + self.cores[tail]
+        new, tail = [], self.TAIL
+        for c in chunks.difference(self.chunks):
+            core = c.rstrip(tail)
+            # Letters and the punctuation after them are tokens apart; other chunks go as a whole.
+            new.append((c, core, c[len(core) :]) if core and core[-1].isalpha() and len(core[-1].lower()) == 1 and "<|" not in c else (c, c, ""))
+        cores = {x[1] for x in new}.union({x[2] for x in new}).difference(self.cores)
+        words = [c for c in cores if c.isalpha() and max(c) < "ɐ" and c == c.lower()]
+        for k in range(0, len(words), 4096):  # many at once: such words are left as they are by normalizer and pattern
+            some = words[k : k + 4096]
+            e = self.plain.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, np.uint32).tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))).tolist()
+            self.cores.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        other = list(cores.difference(words))
+        for core, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.cores[core] = array("I", e.ids).tobytes()
+        known = self.cores
+        self.chunks.update((c, known[core] + known[end] if end else known[core]) for c, core, end in new)
+
+    @staticmethod
+    def lower(text: str) -> str:
+        """Lower case where the normalizer's is sure to be the same: it takes each character alone, and special tokens before."""
+        if "<|" in text or "Σ" in text or "İ" in text:
+            return text
+        return text.lower()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self.lower(t or "").replace("\n", " ").split(" ") for t in texts]
         need = set().union(*split) if split else set()
         if len(need) > CACHE // 2:  # very long texts: one at a time
             return [self.encode([t])[0] for t in texts] if len(texts) > 1 else [self._long(split[0])]
