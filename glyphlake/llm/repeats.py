@@ -8,7 +8,8 @@ their documents, have an anchor in common that is at the same place in both. So:
    window goes;
 2. anchors that occur in two documents (by a count per hash, combined before the shuffle);
 3. only windows around such anchors are hashed (128 bits), and per hash the smallest document id is found; this extends anchors to
-   whole windows;
+   whole windows. What a smaller id in the same slice of a task has is decided there, before the shuffle, so that a window that
+   many documents share does not gather all of them;
 4. a window goes if that id is smaller than its own document's.
 
 The anchors found in 2 come to step 3 as a bitmap of fixed size; where they are more than fill it, all windows are hashed, which
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.words import MULTIPLIERS, as_long, bitmap, in_bitmap, saved, slices, text_bytes, window_hashes, word_hashes
+from glyphlake.llm.words import MULTIPLIERS, as_long, bitmap, in_bitmap, mix, saved, slices, text_bytes, window_hashes, word_hashes
 
 WINDOW = 50
 #: A perfect difference set of order 5 (fixed values).
@@ -113,9 +114,17 @@ def _windows(docs: DataFrame, window: int, shared) -> DataFrame:
                     at.append(k)
                     rows.append(np.full(len(k), i))
             if one:
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(one))), pa.array(as_long(np.concatenate(two))), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at).astype(np.int32))], names=["h1", "h2", "_id", "at"])
+                one, two, owner, at = np.concatenate(one), np.concatenate(two), ids.to_numpy()[np.concatenate(rows)], np.concatenate(at)
+                # What a smaller id of this slice has is decided here; such rows leave the hash's group, which may be a hot one.
+                order = np.lexsort((owner, two, one))
+                h, g, o = one[order], two[order], owner[order]
+                head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+                done = np.empty(len(o), bool)
+                done[order] = o > o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+                one = np.where(done, mix(one ^ (owner.astype(np.uint64) << np.uint64(20)) ^ at.astype(np.uint64)), one)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(owner), pa.array(at.astype(np.int32)), pa.array(done)], names=["h1", "h2", "_id", "at", "done"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, _id long, at int")
+    return docs.mapInArrow(run, "h1 long, h2 long, _id long, at int, done boolean")
 
 
 def _bits(anchors: DataFrame) -> tuple[bytes, float]:
@@ -143,9 +152,9 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     shared = _anchors(own, window).groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("anchor")
     bits, full = _bits(shared)
     holder = spark.sparkContext.broadcast(bits) if full < 0.3 else None
-    windows = saved(_windows(own, window, holder))
-    lowest = windows.groupBy("h1", "h2").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").drop("hi")
-    gone = windows.join(lowest, ["h1", "h2"]).filter("lo < _id").groupBy("_id").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
+    lowest = F.first("_id").over(Window.partitionBy("h1", "h2").orderBy("_id"))  # a running frame: no group is held
+    windows = _windows(own, window, holder).withColumn("lo", lowest)
+    gone = windows.filter("done or lo < _id").groupBy("_id").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
     return saved(gone), whole
 
 
