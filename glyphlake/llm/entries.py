@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, html, jaccard, languages, neighbours, packing, personal, quality, repeats
+from glyphlake.llm import bpe, html, jaccard, languages, neighbours, packing, personal, quality, repeats, secrets
 from glyphlake.llm.words import importable
 
-QUERIES = [jaccard.op2_ngram_jaccard_join, html.op3_tag_path_ratios, bpe.op4_bpe_round_trip, languages.op5_language_mixture, neighbours.op6_nn_descent, quality.op7_distribution_divergence, personal.op8_disclosure_sanitisation, repeats.op9_difference_cover, packing.op10_best_fit_packing]
+QUERIES = [secrets.op1_forest_secret_scan, jaccard.op2_ngram_jaccard_join, html.op3_tag_path_ratios, bpe.op4_bpe_round_trip, languages.op5_language_mixture, neighbours.op6_nn_descent, quality.op7_distribution_divergence, personal.op8_disclosure_sanitisation, repeats.op9_difference_cover, packing.op10_best_fit_packing]
 
 ORACLES: dict[str, str] = {}
 

@@ -119,11 +119,17 @@ def in_bitmap(df: DataFrame, key: str, bitmap_df: DataFrame, bits: int = 23, kee
     return joined.filter(hit if keep else ~hit).drop("_bucket", "_at", "_bits")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, lineage cut; a folder is set here only where none is, as in tests."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one is set here only where none is, as in tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
