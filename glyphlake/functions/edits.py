@@ -12,8 +12,11 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-OPS = "array<struct<op: string, noisy: string, clean: string>>"
+OPS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "noisy", "clean")]))
+COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("match", "sub", "del", "ins")])
+ROWS = T.StructType([T.StructField("level", T.StringType()), T.StructField("op_pos", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("op", "noisy", "clean")]])
 
 
 def edit_ops(noisy, clean, autojunk: bool = True) -> list[tuple[str, str, str]]:
@@ -88,27 +91,27 @@ def word_ops_udf(noisy: pd.Series, clean: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_ops(a.split(), b.split()) for a, b in zip(noisy, clean, strict=True)])
 
 
-@F.pandas_udf("struct<match: int, sub: int, del: int, ins: int>")
+@F.pandas_udf(COUNTS)
 def char_counts_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([edit_counts(a or "", b or "") for a, b in zip(reference, hypothesis, strict=True)], columns=["match", "sub", "del", "ins"])
 
 
-@F.pandas_udf("struct<match: int, sub: int, del: int, ins: int>")
+@F.pandas_udf(COUNTS)
 def word_counts_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([edit_counts((a or "").split(), (b or "").split()) for a, b in zip(reference, hypothesis, strict=True)], columns=["match", "sub", "del", "ins"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_similarity(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chrf_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else chrf(x, y) for x, y in zip(reference, hypothesis, strict=True)])
 
@@ -158,4 +161,4 @@ class EditOps:
                     yield level, at, op, x, y
 
 
-edit_ops_udtf = F.udtf(EditOps, returnType="level string, op_pos int, op string, noisy string, clean string")
+edit_ops_udtf = F.udtf(EditOps, returnType=ROWS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.functions.edits import normalized, token_similarity
 
@@ -13,6 +14,9 @@ LONE, PAIR, TRIPLE = 0.92, 0.36, 0.46
 JUNK_HEAD, SHORT_TAIL, TAIL_FLOOR, MIN_SIMILARITY = 0.62, 0.28, 0.93, 0.82
 GREEDY = 0.78
 
+ERRORS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("noisy", T.ArrayType(T.StringType())), T.StructField("clean", T.ArrayType(T.StringType())), T.StructField("similarity", T.DoubleType())]))
+COUNTS = T.StructType([T.StructField("splits", T.IntegerType()), T.StructField("merges", T.IntegerType())])
+
 #: Moves in the order in which they win ties: noisy tokens, clean tokens, kind.
 MOVES = ((1, 3, "merge"), (3, 1, "split"), (1, 2, "merge"), (2, 1, "split"), (1, 0, "noisy only"), (0, 1, "clean only"), (1, 1, "pair"))
 
@@ -87,12 +91,12 @@ def greedy_counts(noisy: str, clean: str, least: float = GREEDY) -> tuple[int, i
     return splits, merges
 
 
-@F.pandas_udf("array<struct<type: string, noisy: array<string>, clean: array<string>, similarity: double>>")
+@F.pandas_udf(ERRORS)
 def boundary_errors_udf(noisy: pd.Series, clean: pd.Series) -> pd.Series:
     return pd.Series([boundary_errors(a or "", b or "") for a, b in zip(noisy, clean, strict=True)])
 
 
-@F.pandas_udf("struct<splits: int, merges: int>")
+@F.pandas_udf(COUNTS)
 def greedy_counts_udf(noisy: pd.Series, clean: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([greedy_counts(a or "", b or "") for a, b in zip(noisy, clean, strict=True)], columns=["splits", "merges"])
 
