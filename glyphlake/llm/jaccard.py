@@ -10,7 +10,8 @@ overlap of a pair is counted in every fragment apart, and the counts are summed
 4. Each class is compared with one hub (the class with the fewest such n-grams among those it shares its first n-grams with).
    Linked classes form components.
 5. What could still join two components is compared pair by pair: classes of different components that share one of the first
-   n-grams and whose sizes allow the threshold. Pairs within a component are never listed, however large the component is.
+   n-grams, whose sizes allow the threshold, and whose overlaps with a common hub, fragment by fragment, allow it too. Pairs within
+   a component are never listed, however large the component is.
 
 All steps are exact for any data; the bitmap that narrows the second reading of the texts has a fixed size and only lets too many pass.
 
@@ -80,12 +81,16 @@ def _fragments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, n int, digest binary, fragment int, grams array<long>")
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) at or over the threshold: overlaps counted per fragment and summed."""
+def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, fragment, o): overlaps counted in each fragment apart."""
     one = parts.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("of_a"))
     two = parts.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("of_b"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
-    total = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
+    return pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
+
+
+def _linked(overlaps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose summed overlap is at or over the threshold."""
+    total = overlaps.groupBy("a", "b").agg(F.sum("o").alias("o"))
     n = sizes.select("class", "n")
     both = total.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     return both.filter((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -109,7 +114,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     again = in_bitmap(source, "_id", saved(bitmap(left.select("low_id"), "low_id")))
     some = _fragments(again, size, fragments).join(left.select("n", "digest", "class", "low_id"), ["n", "digest"]).filter(F.col("_id").eqNullSafe(F.col("low_id")))
     parts = saved(some.select("class", "fragment", "grams").dropDuplicates(["class", "fragment"]))
-    alone = parts.select("class", F.explode("grams").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).filter("c = 1").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    token = parts.select("class", "fragment", F.explode("grams").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class"), F.min("fragment").alias("fragment"))
+    alone_in = saved(token.filter("c = 1").groupBy("class", "fragment").agg(F.count(F.lit(1)).alias("alone")))
+    alone = alone_in.groupBy("class").agg(F.sum("alone").alias("alone"))
     sizes = left.select("class", "n").join(alone, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # A partner with m n-grams shares at least percent / (100 + percent) of n + m, and at most m or n - alone.
     sizes = sizes.withColumn("least", F.ceil(F.col("n") * percent / 100)).withColumn("most", F.floor((100 * F.col("n") - (100 + percent) * F.col("alone")) / percent))
@@ -121,22 +128,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     hubs = saved(hubs)
     offers = posts.join(hubs, "token").filter("class <> hub").groupBy("class", "hub").count()
     chosen = saved(offers.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b")))
-    links = saved(_linked(chosen, parts, sizes, percent))
+    with_hub = saved(_overlaps(chosen, parts))
+    links = saved(_linked(with_hub, sizes, percent))
     found = components(links)
 
     # What may still join two components.
-    labelled = posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # Per fragment: what a class shares with its hub, and what else it has that others have. Two classes with the same hub share no
+    # more than the smaller of either in each fragment.
+    per = parts.select("class", "fragment", F.size("grams").alias("m")).join(with_hub.select(F.col("a").alias("class"), "fragment", "o"), ["class", "fragment"], "left").join(alone_in, ["class", "fragment"], "left").na.fill(0, ["o", "alone"])
+    at = lambda k, c: F.coalesce(F.sum(F.when(F.col("fragment") == k, c)), F.lit(0)).cast("int")
+    vectors = per.groupBy("class").agg(*[at(k, F.col("o")).alias(f"o{k}") for k in range(fragments)], *[at(k, F.greatest(F.col("m") - F.col("o") - F.col("alone"), F.lit(0))).alias(f"e{k}") for k in range(fragments)])
+    vectors = saved(vectors.join(chosen.select(F.col("a").alias("class"), F.col("b").alias("hub_of")), "class", "left"))
+    names = [f"{x}{k}" for x in "oe" for k in range(fragments)]
+    labelled = posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).join(vectors, "class")
     bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_STEP)))
     hub_side = labelled.join(hubs, "token")
     main = hub_side.filter("class = hub").select("token", F.col("component").alias("main"))
     cut = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(SIZE_STEP)))
-    outside = hub_side.join(main, "token").filter("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("least").alias("la"), F.col("most").alias("ma"), "main", F.explode(F.sequence(cut(F.col("least")), cut(F.col("most")))).alias("bucket"))
-    others = labelled.select("token", bucket.alias("bucket"), F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    outside = hub_side.join(main, "token").filter("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("least").alias("la"), F.col("most").alias("ma"), "main", F.col("hub_of").alias("ha"), *[F.col(c).alias(f"a_{c}") for c in names], F.explode(F.sequence(cut(F.col("least")), cut(F.col("most")))).alias("bucket"))
+    others = labelled.select("token", bucket.alias("bucket"), F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("hub_of").alias("hb"), *[F.col(c).alias(f"b_{c}") for c in names])
     may = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("la"), F.col("ma")) & F.col("na").between(F.col("lb"), F.col("mb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
     may &= (100 + percent) * F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) >= percent * (F.col("na") + F.col("nb"))
+    bound = sum((F.least(f"a_{c}", f"b_{c}") for c in names), F.lit(0))
+    may &= F.coalesce(F.col("ha") != F.col("hb"), F.lit(True)) | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))
     more = outside.join(others, ["token", "bucket"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _linked(saved(more.join(known, ["a", "b"], "left_anti")), parts, sizes, percent)
+    rest = _linked(_overlaps(saved(more.join(known, ["a", "b"], "left_anti")), parts), sizes, percent)
     whole = components(links.unionByName(rest))
 
     of_class = classes.select("class", "n", "digest", "low_id").join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
