@@ -60,10 +60,13 @@ def word_counts(texts: DataFrame, text: str = "text", order: int = 3) -> dict[in
     """Per order the table (ctx array, w, n) of the padded sentences."""
     padded = F.concat(F.array_repeat(F.lit(BEGIN), order - 1), words(F.lower(text)), F.array(F.lit(END)))
     rows = texts.select(padded.alias("s"))
+
+    def grams(n: int) -> DataFrame:
+        return rows.select(F.explode(F.when(F.size("s") >= n, F.transform(F.sequence(F.lit(1), F.size("s") - n + 1), lambda i: F.slice("s", i, n)))).alias("g"))
+
     out = {}
     for n in range(1, order + 1):
-        grams = rows.select(F.explode(F.when(F.size("s") >= n, F.transform(F.sequence(F.lit(1), F.size("s") - n + 1), lambda i, n=n: F.slice("s", i, n)))).alias("g"))
-        out[n] = grams.select(F.slice("g", 1, n - 1).alias("ctx"), F.element_at("g", -1).alias("w")).groupBy("ctx", "w").agg(F.count(F.lit(1)).alias("n"))
+        out[n] = grams(n).select(F.slice("g", 1, n - 1).alias("ctx"), F.element_at("g", -1).alias("w")).groupBy("ctx", "w").agg(F.count(F.lit(1)).alias("n"))
     return out
 
 
