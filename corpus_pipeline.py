@@ -19,7 +19,8 @@ from glyphlake.llm.words import bitmap, importable, in_bitmap, saved, shared_fol
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that they reject go."""
     importable(spark)
-    return quality.quality(docs, docs.columns).filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")  # no column can clash with those of the rules
+    return quality.quality(rows, ["_row"]).filter("kept").select("_row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Substring dedup: words of passages that a document with a smaller id has go; a text that loses none stays as it is."""
     importable(spark)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = repeats.remove_repeats(docs).withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = repeats.remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))).select("_row.*", text.alias("_text"))
+    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[
     """The columns `keep` with lang_pred, score, and proportions (language to share, of the selected set)."""
     names, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
+    keep = [k for k in keep if k not in ("lang_pred", "score", "proportions")]
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

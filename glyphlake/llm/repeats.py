@@ -17,7 +17,8 @@ gives the same result. Removed positions go back to their documents as arrays, o
 
 Nulls and edge cases: null text has no words; documents with fewer than `window` words lose nothing; rows with the same id count as
 one document, so that a repeated row loses nothing to its twin, and rows that share an id are judged each by their own text; rows with a null id are
-judged by what the others hold, but take nothing from others. Any other columns stay as they are.
+judged by what the others hold, but take nothing from others. Any other columns stay as they are, but those
+named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """The documents with the kept words, joined by one space, as `kept_text`, and n_words and n_removed."""
     gone, whole = repeated_windows(docs, key, text, window)
     touched = saved(bitmap(gone.select("_id").unionByName(whole), "_id"))
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     base = docs.withColumn("_id", F.col(key).cast("long"))
     clean = in_bitmap(base, "_id", touched, keep=False).withColumn("_starts", F.lit(None).cast("array<int>")).withColumn("_copy", F.lit(False))
     hit = in_bitmap(base, "_id", touched).join(gone.withColumnRenamed("starts", "_starts"), "_id", "left").join(whole.withColumn("_copy", F.lit(True)), "_id", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return both.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string")
 
 
