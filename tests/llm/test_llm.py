@@ -361,3 +361,17 @@ def test_pipeline_awkward(spark, tokenizers):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_oracles(spark):
+    import duckdb
+
+    from glyphlake.llm import entries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in entries.oracle_sql().items():
+        got = entries.queries()[name](spark, SF).toPandas()
+        want = con.execute(sql).df()[list(got.columns)]
+        assert sorted(map(str, got.itertuples(index=False))) == sorted(map(str, want.itertuples(index=False)))
