@@ -4,8 +4,9 @@ The global order of the n-grams is that of their 64-bit hashes. It is cut into f
 overlap of a pair is counted in every fragment apart, and the counts are summed per pair. Which pairs are counted:
 
 1. Equal sets are one class, told by a digest; everything below is about classes.
-2. The start of the order: a set that has a partner at the threshold shares all but few of its first n-grams with it. Classes for which
-   too few of the first n-grams occur in another class are done. This takes counts per n-gram only, combined before the shuffle.
+2. The start of the order: if a set may lack d of its n-grams in a partner, and the partner e, the first k common n-grams are among the
+   first d + k of the one and the first e + k of the other. Here k is a tenth of the size, of a partner's size at least; classes for
+   which fewer of the first n-grams occur in another's first ones are done. This takes counts per n-gram only, combined before the shuffle.
 3. Of the rest, n-grams that no other class has bound the sizes that a partner can have.
 4. Each class is compared with one hub (the class with the fewest such n-grams among those it shares its first n-grams with).
    Linked classes form components.
@@ -52,7 +53,7 @@ def _sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
                 n.append(len(g))
                 digest.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 first.append(as_long(g[:m]))
-                need.append(m - lost)
+                need.append(1 + len(g) * percent // 1000)  # a partner's list is as much longer than what it may lack, by its own size
                 must.append(lost + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(need, pa.int32()), pa.array(must, pa.int32())], names=["_id", "n", "digest", "first", "need", "must"])
 
