@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.words import CACHE, saved, slices
+from glyphlake.llm.words import saved, slices
 
 CAPACITY = 4096
+#: Entries of the caches of chunks (cheap to make anew) and of their cores (which cost a call of the library).
+CHUNKS, CORES = 120_000, 350_000
 #: A bin with fewer free places than this is done in its round.
 NEARLY = 4
 
@@ -50,9 +52,9 @@ class ChunkIds:
         self.cores: dict[str, bytes] = {"": b""}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > CHUNKS:
             self.chunks = {"": b""}
-        if len(self.cores) > CACHE:
+        if len(self.cores) > CORES:
             self.cores = {"": b""}
         new, tail = [], self.TAIL
         for c in chunks.difference(self.chunks):
@@ -84,16 +86,16 @@ class ChunkIds:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [self.lower(t or "").replace("\n", " ").split(" ") for t in texts]
         need = set().union(*split) if split else set()
-        if len(need) > CACHE // 2:  # very long texts: one at a time
+        if len(need) > CORES // 2:  # very long texts: one at a time
             return [self.encode([t])[0] for t in texts] if len(texts) > 1 else [self._long(split[0])]
         self.learn(need)
         return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
 
     def _long(self, chunks: list[str]) -> bytes:
         out = []
-        for k in range(0, len(chunks), CACHE // 2):
-            self.learn(set(chunks[k : k + CACHE // 2]))
-            out += map(self.chunks.__getitem__, chunks[k : k + CACHE // 2])
+        for k in range(0, len(chunks), CORES // 2):
+            self.learn(set(chunks[k : k + CORES // 2]))
+            out += map(self.chunks.__getitem__, chunks[k : k + CORES // 2])
         return b"".join(out)
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch handled at once, so that a task holds a few MB of words whatever the batch size is.
 SLICE = 256
-#: Entries after which a per-process cache starts anew.
-CACHE = 400_000
+#: Entries after which a cache of word hashes starts anew; workers are reused, so caches of all operators add up in one process.
+CACHE = 150_000
 
 
 def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
