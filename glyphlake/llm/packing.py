@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from glyphlake.llm.words import saved, slices
 
 CAPACITY = 4096
-#: Entries of the caches of chunks (cheap to make anew) and of their cores (which cost a call of the library).
-CHUNKS, CORES = 120_000, 350_000
+#: Entries after which the cache of chunks and words starts anew.
+CACHE = 400_000
 #: A bin with fewer free places than this is done in its round.
 NEARLY = 4
 
@@ -48,32 +48,33 @@ class ChunkIds:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CHUNKS:
-            self.chunks = {"": b""}
-        if len(self.cores) > CORES:
-            self.cores = {"": b""}
-        new, tail = [], self.TAIL
-        for c in chunks.difference(self.chunks):
-            core = c.rstrip(tail)
-            # Letters and the punctuation after them are tokens apart; other chunks go as a whole.
-            new.append((c, core, c[len(core) :]) if core and core[-1].isalpha() and len(core[-1].lower()) == 1 and "<|" not in c else (c, c, ""))
-        cores = {x[1] for x in new}.union({x[2] for x in new}).difference(self.cores)
-        words = [c for c in cores if c.isalpha() and max(c) < "ɐ" and c == c.lower()]
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        known, tail = self.known, self.TAIL
+        new = chunks.difference(known)
+        marked = []
+        for c in new:
+            if not c.isalpha():
+                core = c.rstrip(tail)
+                # Letters and the punctuation after them are tokens apart; other chunks go as a whole.
+                if core and len(core) < len(c) and core[-1].isalpha() and len(core[-1].lower()) == 1 and "<|" not in c:
+                    marked.append((c, core, c[len(core) :]))
+        cores = new.difference([x[0] for x in marked]).union([x[1] for x in marked], [x[2] for x in marked]).difference(known)
+        words = [c for c in cores if c.isalpha() and (c.isascii() or max(c) < "ɐ") and c == c.lower()]
         for k in range(0, len(words), 4096):  # many at once: such words are left as they are by normalizer and pattern
             some = words[k : k + 4096]
             e = self.plain.encode(some, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, np.uint32).tobytes()
             ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))).tolist()
-            self.cores.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            known.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
         other = list(cores.difference(words))
         for core, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.cores[core] = array("I", e.ids).tobytes()
-        known = self.cores
-        self.chunks.update((c, known[core] + known[end] if end else known[core]) for c, core, end in new)
+            known[core] = array("I", e.ids).tobytes()
+        for c, core, end in marked:
+            known[c] = known[core] + known[end]
 
     @staticmethod
     def lower(text: str) -> str:
@@ -86,16 +87,16 @@ class ChunkIds:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [self.lower(t or "").replace("\n", " ").split(" ") for t in texts]
         need = set().union(*split) if split else set()
-        if len(need) > CORES // 2:  # very long texts: one at a time
+        if len(need) > CACHE // 2:  # very long texts: one at a time
             return [self.encode([t])[0] for t in texts] if len(texts) > 1 else [self._long(split[0])]
         self.learn(need)
-        return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
     def _long(self, chunks: list[str]) -> bytes:
         out = []
-        for k in range(0, len(chunks), CORES // 2):
-            self.learn(set(chunks[k : k + CORES // 2]))
-            out += map(self.chunks.__getitem__, chunks[k : k + CORES // 2])
+        for k in range(0, len(chunks), CACHE // 2):
+            self.learn(set(chunks[k : k + CACHE // 2]))
+            out += map(self.known.__getitem__, chunks[k : k + CACHE // 2])
         return b"".join(out)
 
 
