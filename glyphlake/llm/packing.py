@@ -218,4 +218,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str) -> DataFrame:
     pieces = tokenized(docs, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces)
+    return pack(saved(pieces))  # two Python stages in a row would keep twice the workers, each with a cache
