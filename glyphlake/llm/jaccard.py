@@ -11,7 +11,8 @@ overlap of a pair is counted in every fragment apart, and the counts are summed
 4. Each class is compared with one hub (the class with the fewest such n-grams among those it shares its first n-grams with).
    Linked classes form components.
 5. What could still join two components is compared pair by pair: classes of different components that share one of the first
-   n-grams, whose sizes allow the threshold, and whose overlaps with a common hub, fragment by fragment, allow it too. Pairs within
+   n-grams, whose sizes allow the threshold, and whose overlaps with a common hub, fragment by fragment and then cell by cell, allow it
+   too. Pairs within
    a component are never listed, however large the component is.
 
 All steps are exact for any data; the bitmap that narrows the second reading of the texts has a fixed size and only lets too many pass.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm.components import components
@@ -36,6 +37,8 @@ from glyphlake.llm.words import as_long, bitmap, distinct_shingles, in_bitmap, s
 
 #: Fragments of the global order: ranges of the hash.
 FRAGMENTS = 8
+#: Cells that a fragment is cut into once more, for the last bound of a pair.
+CELLS = 8
 #: Step of the size classes of the last comparison.
 SIZE_STEP = 1.03
 
@@ -89,6 +92,37 @@ def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
 
 
+def _cell(gram: Column) -> Column:
+    """The bits of a hash that tell the cell are not those that tell the fragment."""
+    return F.pmod(F.shiftrightunsigned(gram, 8), F.lit(CELLS))
+
+
+def _by_cell(grams: str) -> Column:
+    return F.expr(f"transform(sequence(0, {CELLS - 1}), c -> size(filter({grams}, x -> pmod(shiftrightunsigned(x, 8), {CELLS}) = c)))")
+
+
+def _cells(chosen: DataFrame, parts: DataFrame, alone: DataFrame, fragments: int) -> DataFrame:
+    """Per class: its hub, and per cell what it shares with the hub and what else it has that others have (two arrays)."""
+    hub = parts.select(F.col("class").alias("hub"), "fragment", F.col("grams").alias("of_hub"))
+    mine = parts.join(chosen.select(F.col("a").alias("class"), F.col("b").alias("hub")), "class").join(hub, ["hub", "fragment"], "left")
+    both = mine.select("class", "hub", "fragment", _by_cell("grams").alias("m"), F.coalesce(F.array_intersect("grams", "of_hub"), F.array().cast("array<bigint>")).alias("i"))
+    lone = alone.groupBy("class", "fragment").agg(F.map_from_entries(F.collect_list(F.struct("cell", "alone"))).alias("lone"))
+    per = both.join(lone, ["class", "fragment"], "left").select("class", "hub", "fragment", _by_cell("i").alias("o"), "m", "lone")
+    rest = F.expr("transform(m, (x, c) -> greatest(x - o[c] - coalesce(cast(try_element_at(lone, cast(c as bigint)) as int), 0), 0))")
+    rows = per.select("class", "hub", "fragment", F.concat("o", rest).alias("v")).groupBy("class", "hub").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "v"))).alias("v"))
+    none = "array_repeat(0, %d)" % (2 * CELLS)
+    return rows.select("class", "hub", F.expr(f"flatten(transform(sequence(0, {fragments - 1}), k -> coalesce(try_element_at(v, k), {none})))").alias("v"))
+
+
+def _possible(pairs: DataFrame, cells: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap may reach the threshold: with a common hub it is at most the sum over the cells of the smaller of either's parts."""
+    both = pairs.join(cells.toDF("a", "ha", "va"), "a", "left").join(cells.toDF("b", "hb", "vb"), "b", "left")
+    n = sizes.select("class", "n")
+    both = both.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    bound = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return both.filter(F.coalesce(F.col("ha") != F.col("hb"), F.lit(True)) | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def _linked(overlaps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed overlap is at or over the threshold."""
     total = overlaps.groupBy("a", "b").agg(F.sum("o").alias("o"))
@@ -116,7 +150,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     some = _fragments(again, size, fragments).join(left.select("n", "digest", "class", "low_id"), ["n", "digest"]).filter(F.col("_id").eqNullSafe(F.col("low_id")))
     parts = saved(some.select("class", "fragment", "grams").dropDuplicates(["class", "fragment"]))
     token = parts.select("class", "fragment", F.explode("grams").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class"), F.min("fragment").alias("fragment"))
-    alone_in = saved(token.filter("c = 1").groupBy("class", "fragment").agg(F.count(F.lit(1)).alias("alone")))
+    alone_cells = saved(token.filter("c = 1").groupBy("class", "fragment", _cell(F.col("token")).alias("cell")).agg(F.count(F.lit(1)).alias("alone")))
+    alone_in = alone_cells.groupBy("class", "fragment").agg(F.sum("alone").alias("alone"))
     alone = alone_in.groupBy("class").agg(F.sum("alone").alias("alone"))
     sizes = left.select("class", "n").join(alone, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # A partner with m n-grams shares at least percent / (100 + percent) of n + m, and at most m or n - alone.
@@ -127,8 +162,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     posts = saved(hits.filter("must").select("token", F.col("row").alias("class")).join(sizes, "class"))
     hubs = posts.groupBy("token").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("class").alias("class"))).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", F.col("hub.class").alias("hub"))
     hubs = saved(hubs)
-    offers = posts.join(hubs, "token").filter("class <> hub").groupBy("class", "hub").count()
-    chosen = saved(offers.groupBy("class").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b")))
+    offers = saved(posts.join(hubs, "token").filter("class <> hub").groupBy("class", "hub").count())
+    # Of the hubs that a class shares about as much with, the one that most classes share something with: a family then has one hub.
+    asked = offers.groupBy("hub").agg(F.count(F.lit(1)).alias("asked"))
+    most = offers.groupBy("class").agg(F.max("count").alias("most"))
+    good = offers.join(most, "class").filter("2 * count >= most").join(asked, "hub")
+    chosen = saved(good.groupBy("class").agg(F.max(F.struct("asked", "count", "hub")).alias("best")).select(F.col("class").alias("a"), F.col("best.hub").alias("b")))
     with_hub = saved(_overlaps(chosen, parts))
     links = saved(_linked(with_hub, sizes, percent))
     found = components(links)
@@ -154,7 +193,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     may &= F.coalesce(F.col("ha") != F.col("hb"), F.lit(True)) | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))
     more = outside.join(others, ["token", "bucket"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _linked(_overlaps(saved(more.join(known, ["a", "b"], "left_anti")), parts), sizes, percent)
+    more = saved(more.join(known, ["a", "b"], "left_anti"))
+    ends = more.select(F.col("a").alias("class")).unionByName(more.select(F.col("b").alias("class"))).distinct()
+    cells = _cells(chosen.join(ends.withColumnRenamed("class", "a"), "a"), parts, alone_cells, fragments)
+    rest = _linked(_overlaps(saved(_possible(more, cells, sizes, percent)), parts), sizes, percent)
     whole = components(links.unionByName(rest))
 
     of_class = classes.select("class", "n", "digest", "low_id").join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
