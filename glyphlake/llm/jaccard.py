@@ -11,9 +11,8 @@ overlap of a pair is counted in every fragment apart, and the counts are summed
 4. Each class is compared with one hub (the class with the fewest such n-grams among those it shares its first n-grams with).
    Linked classes form components.
 5. What could still join two components is compared pair by pair: classes of different components that share one of the first
-   n-grams, whose sizes allow the threshold, and whose overlaps with a common hub, fragment by fragment and then cell by cell, allow it
-   too. Pairs within
-   a component are never listed, however large the component is.
+   n-grams, whose sizes allow the threshold, and whose overlaps with one hub, fragment by fragment and then cell by cell, allow it too.
+   Pairs within a component are never listed, however large the component is.
 
 All steps are exact for any data; the bitmap that narrows the second reading of the texts has a fixed size and only lets too many pass.
 
@@ -101,26 +100,35 @@ def _by_cell(grams: str) -> Column:
     return F.expr(f"transform(sequence(0, {CELLS - 1}), c -> size(filter({grams}, x -> pmod(shiftrightunsigned(x, 8), {CELLS}) = c)))")
 
 
-def _cells(chosen: DataFrame, parts: DataFrame, alone: DataFrame, fragments: int) -> DataFrame:
-    """Per class: its hub, and per cell what it shares with the hub and what else it has that others have (two arrays)."""
+def _cells(wanted: DataFrame, parts: DataFrame, alone: DataFrame, fragments: int) -> DataFrame:
+    """Per (class, hub): what the class shares with the hub in each cell, and what else it has that others have, as one array."""
     hub = parts.select(F.col("class").alias("hub"), "fragment", F.col("grams").alias("of_hub"))
-    mine = parts.join(chosen.select(F.col("a").alias("class"), F.col("b").alias("hub")), "class").join(hub, ["hub", "fragment"], "left")
-    both = mine.select("class", "hub", "fragment", _by_cell("grams").alias("m"), F.coalesce(F.array_intersect("grams", "of_hub"), F.array().cast("array<bigint>")).alias("i"))
-    lone = alone.groupBy("class", "fragment").agg(F.map_from_entries(F.collect_list(F.struct("cell", "alone"))).alias("lone"))
+    both = parts.join(wanted, "class").join(hub, ["hub", "fragment"], "left")
+    both = both.select("class", "hub", "fragment", _by_cell("grams").alias("m"), F.coalesce(F.array_intersect("grams", "of_hub"), F.array().cast("array<bigint>")).alias("i"))
+    lone = alone.groupBy("class", "fragment").agg(F.map_from_entries(F.collect_list(F.struct("cell", "alone"))).alias("lone"))  # CELLS entries at most
     per = both.join(lone, ["class", "fragment"], "left").select("class", "hub", "fragment", _by_cell("i").alias("o"), "m", "lone")
     rest = F.expr("transform(m, (x, c) -> greatest(x - o[c] - coalesce(cast(try_element_at(lone, cast(c as bigint)) as int), 0), 0))")
     rows = per.select("class", "hub", "fragment", F.concat("o", rest).alias("v")).groupBy("class", "hub").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "v"))).alias("v"))
-    none = "array_repeat(0, %d)" % (2 * CELLS)
+    none = f"array_repeat(0, {2 * CELLS})"
     return rows.select("class", "hub", F.expr(f"flatten(transform(sequence(0, {fragments - 1}), k -> coalesce(try_element_at(v, k), {none})))").alias("v"))
 
 
-def _possible(pairs: DataFrame, cells: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap may reach the threshold: with a common hub it is at most the sum over the cells of the smaller of either's parts."""
-    both = pairs.join(cells.toDF("a", "ha", "va"), "a", "left").join(cells.toDF("b", "hb", "vb"), "b", "left")
+def _possible(pairs: DataFrame, chosen: DataFrame, parts: DataFrame, alone: DataFrame, sizes: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """Pairs whose overlap may reach the threshold, measured at a hub of one of the two, the one that more classes have.
+
+    What both share with a hub, and what both have beside it, bounds their overlap: it is at most the sum over the cells of the smaller
+    of either's parts. Only as many overlaps with hubs are counted as there are classes times the hubs that they meet.
+    """
+    by_hub = chosen.join(chosen.groupBy("b").agg(F.count(F.lit(1)).alias("asked")), "b").select(F.col("a").alias("class"), F.struct("asked", F.col("b").alias("hub")).alias("own"))
+    both = pairs.join(by_hub.toDF("a", "own_a"), "a", "left").join(by_hub.toDF("b", "own_b"), "b", "left")
+    both = saved(both.select("a", "b", F.greatest("own_a", "own_b")["hub"].alias("hub")))
+    at_hub = both.filter("hub is not null")
+    wanted = at_hub.select(F.col("a").alias("class"), "hub").unionByName(at_hub.select(F.col("b").alias("class"), "hub")).distinct()
+    cells = saved(_cells(wanted, parts, alone, fragments))
     n = sizes.select("class", "n")
-    both = both.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    met = both.join(cells.toDF("a", "hub", "va"), ["a", "hub"], "left").join(cells.toDF("b", "hub", "vb"), ["b", "hub"], "left").join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     bound = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.filter(F.coalesce(F.col("ha") != F.col("hb"), F.lit(True)) | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+    return met.filter(F.isnull("hub") | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
 def _linked(overlaps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -194,9 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     more = outside.join(others, ["token", "bucket"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(more.join(known, ["a", "b"], "left_anti"))
-    ends = more.select(F.col("a").alias("class")).unionByName(more.select(F.col("b").alias("class"))).distinct()
-    cells = _cells(chosen.join(ends.withColumnRenamed("class", "a"), "a"), parts, alone_cells, fragments)
-    rest = _linked(_overlaps(saved(_possible(more, cells, sizes, percent)), parts), sizes, percent)
+    rest = _linked(_overlaps(saved(_possible(more, chosen, parts, alone_cells, sizes, percent, fragments)), parts), sizes, percent)
     whole = components(links.unionByName(rest))
 
     of_class = classes.select("class", "n", "digest", "low_id").join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
