@@ -38,8 +38,8 @@ from glyphlake.llm.words import as_long, bitmap, distinct_shingles, in_bitmap, s
 FRAGMENTS = 8
 #: Cells that a fragment is cut into once more, for the last bound of a pair.
 CELLS = 8
-#: Step of the size classes of the last comparison.
-SIZE_STEP = 1.03
+#: Step of the size classes of the last comparison; a row is sent once for each class that its partners may be in.
+SIZE_STEP = 1.1
 
 
 def _sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
