@@ -133,8 +133,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows and bytes of an Arrow batch unless the session sets its own: whole texts travel in them, so the default of 10,000 rows takes much memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where they share the driver's files; on a cluster the package is installed or sent with --py-files."""
+    """Lets Python workers import this package where they share the driver's files, and bounds Arrow batches.
+
+    On a cluster the package is installed or sent with --py-files.
+    """
     from pathlib import Path
 
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for key, value in BATCH.items():
+        if spark.conf.get(key, "-1") == "-1":
+            spark.conf.set(key, value)
