@@ -145,6 +145,6 @@ def importable(spark: SparkSession) -> None:
     from pathlib import Path
 
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    for key, value in BATCH.items():
-        if spark.conf.get(key, "-1") == "-1":
+    for key, value in BATCH.items():  # "1" stands for unset
+        if spark.conf.get(key, "1") == "1":
             spark.conf.set(key, value)
