@@ -2,11 +2,14 @@
 
 Equal vectors are one class. A first neighbour graph comes from sorted runs in buckets of sign hashes. Rounds of NN-descent follow: every vector's
 neighbours, and those it is a neighbour of, meet at the vector, and each pair among them that is new may enter both lists. A list
-keeps the K best. Rounds go on until few entries change. A list is saturated if all its K entries are links: such vectors
-have their lists enlarged to all vectors of their link component, block by block, and only the counts go on. Links below the threshold
-never count: every link is a cosine in double precision of both whole vectors.
+keeps the K best. Rounds go on until at most the share SETTLED of the entries changes; where nothing around a vector has changed, no pair
+is compared again. A list is saturated if all its K entries are links: such vectors have their lists enlarged to all vectors of their link
+component, block by block, and only the counts go on. Links below the threshold never count: every link is a cosine in double precision
+of both whole vectors.
 
-`recall` compares the links of every vector whose id is divisible by a number with those against all vectors, in blocks.
+The bits of a hash follow the number of vectors, and the tables follow the bits. The links of the vectors whose id is divisible by EVERY are
+then counted against all vectors, in blocks. While less than RECALL of them is found, the tables are doubled and rounds go on; once that
+would compare as many pairs as there are, all pairs are compared in blocks. `recall` is the same audit of a finished result.
 
 Nulls and edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of another
 length than a partner's do not link with it; repeated rows are linked; rows with a null id take part; any other columns are dropped.
@@ -14,6 +17,7 @@ length than a partner's do not link with it; repeated rows are linked; rows with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +29,12 @@ from glyphlake.llm.components import components
 from glyphlake.llm.words import saved
 
 K = 12
-ROUNDS = 3
-#: Tables of sign hashes, bits of each, and how far apart in a bucket two vectors may be to meet.
-TABLES, BITS, NEAR = 24, 10, 4
+#: Share of the entries that may still change when rounds end.
+SETTLED = 0.001
+#: Tables of sign hashes at least, vectors in a bucket on average, and how far apart in a bucket two vectors may be to meet.
+TABLES, FILL, NEAR = 24, 2, 4
+#: Share of the links that must be found, of the vectors whose id is divisible by EVERY; rows of a block of these.
+RECALL, EVERY, AUDITED = 0.9, 50, 2048
 #: Vectors in a block of the enlarged lists, and blocks of a component that meet in one task.
 BLOCK = 512
 
@@ -42,14 +49,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Usable vectors, once each: class (a number), low_id, copies, v (array of double), dim."""
+    """Usable vectors, once each: v (array of double), low_id, copies, and audited, the copies whose id is divisible by EVERY."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = vectors.select(F.col(key).cast("long").alias("_id"), v.alias("v")).filter("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    return usable.groupBy("v").agg(F.min("_id").alias("low_id"), F.count(F.lit(1)).alias("copies"))
+    return usable.groupBy("v").agg(F.min("_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("_id") % EVERY == 0).alias("audited"))
 
 
-def _first_graph(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, cos) that stand near each other in a bucket."""
+def hash_sizes(n: int, threshold: float) -> tuple[int, int]:
+    """Bits, so that a bucket holds FILL of n vectors, and tables, so that a pair at the threshold shares one of its buckets at a chance of RECALL."""
+    bits = max(1, math.ceil(math.log2(max(n, 2) / FILL)))
+    share = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    wanted = math.log(1 - RECALL) / math.log1p(-share) if 0 < share < 1 else 1.0
+    return bits, max(TABLES, math.ceil(min(wanted, n / (2 * NEAR))))
+
+
+def _first_graph(nodes: DataFrame, bits: int, first: int, tables: int) -> DataFrame:
+    """Pairs (a, b, cos) that stand near each other in a bucket of the tables from `first` to `tables`."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -61,12 +76,14 @@ def _first_graph(nodes: DataFrame) -> DataFrame:
                     at = np.flatnonzero(dims == dim)
                     lists = s.column(1).take(pa.array(at))
                     x = _matrix(lists)
-                    p = planes.setdefault(int(dim), np.random.default_rng(int(dim)).standard_normal((TABLES * (BITS + 1), int(dim))))
-                    y = _unit(x) @ p.T
-                    for t in range(TABLES):
-                        part = y[:, t * (BITS + 1) : (t + 1) * (BITS + 1)]
-                        bucket = (part[:, :BITS] > 0) @ (1 << np.arange(BITS))
-                        yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(at)), lists, pa.array(((int(dim) * TABLES + t) << BITS) + bucket), pa.array(part[:, BITS])], names=["class", "v", "bucket", "along"])
+                    p = planes.get(int(dim))
+                    if p is None:
+                        p = planes[int(dim)] = np.stack([np.random.default_rng((int(dim), t)).standard_normal((bits + 1, int(dim))) for t in range(first, tables)])
+                    x = _unit(x)
+                    for t in range(first, tables):
+                        part = x @ p[t - first].T
+                        bucket = (part[:, :bits] > 0) @ (1 << np.arange(bits))
+                        yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(at)), lists, pa.array(((int(dim) * tables + t) << bits) + bucket), pa.array(part[:, bits])], names=["class", "v", "bucket", "along"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -99,12 +116,15 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _sent(graph: DataFrame, k: int) -> DataFrame:
+    """(at, class): which vectors meet where. Each goes to those in its list and, K times at most, to those whose lists it is in."""
+    out = graph.select(F.col("b").alias("at"), F.col("a").alias("class"), F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cos"), "a")).alias("r")).filter(F.col("r") <= k).drop("r")
+    return out.unionByName(graph.select(F.col("a").alias("at"), F.col("b").alias("class"))).distinct()
+
+
+def _descend(graph: DataFrame, sent: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Pairs of neighbours of neighbours that are good enough for either list."""
     worst = graph.groupBy("a").agg(F.min("cos").alias("floor"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("class"), F.when(F.col("n") >= k, F.col("floor")).otherwise(-2.0).alias("floor"))
-    # Each vector goes to those in its list and, K times at most, to those whose lists it is in.
-    out = graph.select(F.col("b").alias("at"), F.col("a").alias("class"), F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cos"), "a")).alias("r")).filter(F.col("r") <= k).drop("r")
-    sent = out.unionByName(graph.select(F.col("a").alias("at"), F.col("b").alias("class"))).distinct()
     carried = sent.join(nodes.select("class", "v", "dim"), "class").join(worst, "class", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +159,44 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return ordered.mapInArrow(meet, "a long, b long, cos double")
 
 
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
-    """Links of each member of a component with all others of it: (class, links in vectors). Members meet in blocks of BLOCK."""
+def _settled(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The graph after rounds of local joins, until few entries change."""
+    met = None
+    while True:
+        sent = saved(_sent(graph, k))
+        fresh = sent if met is None else sent.join(sent.join(met, ["at", "class"], "left_anti").select("at").distinct(), "at", "left_semi")
+        new = saved(_best(graph.select("a", "b", "cos").unionByName(_descend(graph, fresh, nodes, k)), k))
+        changed, total = new.join(graph, ["a", "b"], "left_anti").count(), new.count()
+        graph, met = new, sent
+        if changed <= SETTLED * total:
+            return graph
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) that connect what the links of a block connect."""
+    rows, columns, open_rows, open_columns = [], [], hit.any(1), hit.any(0)
+    while open_rows.any():
+        near = np.array([int(np.argmax(open_rows))])
+        open_rows[near] = False
+        while len(near):
+            seen = hit[near] & open_columns
+            across = np.flatnonzero(seen.any(0))
+            rows.append(near[seen[:, across].argmax(0)])
+            columns.append(across)
+            open_columns[across] = False
+            back = hit[:, across] & open_rows[:, None]
+            near = np.flatnonzero(back.any(1))
+            rows.append(near)
+            columns.append(across[back[near].argmax(1)] if len(near) else near)
+            open_rows[near] = False
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _enlarged(members: DataFrame, threshold: float, joined: bool = False) -> DataFrame:
+    """Links of each member of a component with all others of it: (class, other, links in vectors). Members meet in blocks of BLOCK.
+
+    `other` is null; with `joined`, further rows without links have in it what connects the members of each pair of blocks.
+    """
     sizes = members.groupBy("component", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     blocks = members.join(sizes, ["component", "dim"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -151,39 +207,92 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
         own = table.column("own").to_numpy(zero_copy_only=False)
         a, b = table.filter(pa.array(own)), table.filter(pa.array(~own))
         if not a.num_rows or not b.num_rows:
-            return pa.table({"class": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+            return pa.table({"class": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         i, j = a.column("class").to_numpy(), b.column("class").to_numpy()
         g = _unit(_matrix(a.column("v").combine_chunks())) @ _unit(_matrix(b.column("v").combine_chunks())).T
         hit = (g >= threshold) & (i[:, None] != j[None, :])
-        return pa.table({"class": pa.array(i), "links": pa.array(hit @ b.column("copies").to_numpy())})
+        r, c = _forest(hit) if joined else ([], [])
+        none = pa.nulls(len(i), pa.int64())
+        return pa.table({"class": pa.concat_arrays([pa.array(i), pa.array(i[r], pa.int64()) if joined else none[:0]]), "other": pa.concat_arrays([none, pa.array(j[c], pa.int64()) if joined else none[:0]]), "links": pa.concat_arrays([pa.array(hit @ b.column("copies").to_numpy()), pa.nulls(len(r), pa.int64())])})
 
-    met = left.unionByName(right).groupBy("component", "dim", "p", "q").applyInArrow(count, "class long, links long")
-    return met.groupBy("class").agg(F.sum("links").alias("links"))
+    met = left.unionByName(right).groupBy("component", "dim", "p", "q").applyInArrow(count, "class long, other long, links long")
+    return met.groupBy("class", "other").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: the key, n_links, component_id, kept."""
-    nodes = saved(classes_of(vectors, key, vector).withColumn("dim", F.size("v"))).withColumn("class", F.monotonically_increasing_id())
-    graph = saved(_best(_first_graph(nodes), k))
-    total = graph.count()
-    for _ in range(rounds):
-        new = saved(_best(graph.select("a", "b", "cos").unionByName(_descend(graph, nodes, k)), k))
-        changed = new.join(graph, ["a", "b"], "left_anti").count()
-        graph = new
-        if changed <= 0.001 * max(total, 1):
-            break
+def _counted(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Per vector with a link: class, component and links in vectors, from the graph."""
     links = saved(graph.filter(F.col("cos") >= threshold).select("a", "b"))
     found = saved(components(links).toDF("class", "component"))
     # Saturated lists: the whole component takes part.
     full = links.groupBy("a").count().filter(F.col("count") >= k).select(F.col("a").alias("class"))
     dense = found.join(full, "class").select("component").distinct()
     members = found.join(dense, "component").join(nodes, "class")
-    enlarged = saved(_enlarged(members.select("component", "class", "v", "dim", "copies"), threshold))
+    enlarged = _enlarged(members.select("component", "class", "v", "dim", "copies"), threshold).drop("other")
     pairs = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other"))).distinct()
     few = pairs.join(nodes.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("few"))
-    labels = nodes.select("class", "v", "low_id", "copies").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")).join(few, "class", "left").join(enlarged, "class", "left")
+    return saved(found.join(few, "class", "left").join(enlarged, "class", "left").select("class", "component", F.coalesce("links", "few").alias("links")))
+
+
+def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The same from all pairs, in blocks."""
+    met = saved(_enlarged(nodes.select(F.lit(0).alias("component"), "class", "v", "dim", "copies"), threshold, joined=True))
+    found = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).toDF("class", "component")
+    return saved(found.join(met.filter("other is null").select("class", "links"), "class"))
+
+
+def _true_links(queries: DataFrame, usable: DataFrame, threshold: float) -> dict[int, int]:
+    """Links in vectors of each of `queries` (id, v, dim) with all of `usable` (id, v, dim, copies) of another id; AUDITED of them at a time."""
+    blocks = {r["dim"]: -(-r["n"] // AUDITED) for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen: dict[int, int] = {}
+    for dim, n in sorted(blocks.items()):
+        for p in range(n):
+            q = queries.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n)) == p)).select("id", "v").toArrow()
+            if not q.num_rows:
+                continue
+            x, i = _unit(_matrix(q.column("v").combine_chunks())), q.column("id").to_numpy()
+
+            def near(batches: Iterator[pa.RecordBatch], x=x, i=i) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(len(i), np.int64)
+                for b in batches:
+                    for s in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
+                        hit = (x @ _unit(_matrix(s.column(1))).T >= threshold) & (i[:, None] != s.column(0).to_numpy()[None, :])
+                        total += hit @ s.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total)], names=["id", "n"])
+
+            for r in usable.filter(F.col("dim") == dim).select("id", "v", "copies").mapInArrow(near, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+                seen[r["id"]] = r["n"]
+    return seen
+
+
+def _share_found(true: dict[int, int], audited: DataFrame, rated: DataFrame) -> float:
+    """Share of the true links of the audited vectors that `rated` counts; copies are links that are always found."""
+    got = audited.select("class", "copies", "audited").join(rated.select("class", "links"), "class", "left").select("class", "copies", "audited", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    total = sum(r["audited"] * (true.get(r["class"], 0) + r["copies"] - 1) for r in got)
+    return sum(r["audited"] * (min(r["links"], true.get(r["class"], 0)) + r["copies"] - 1) for r in got) / total if total else 1.0
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, k: int = K) -> DataFrame:
+    """Per row: the key, n_links, component_id, kept."""
+    nodes = saved(classes_of(vectors, key, vector).withColumn("dim", F.size("v"))).withColumn("class", F.monotonically_increasing_id())
+    n = nodes.count()
+    audited = nodes.filter("audited > 0")
+    named = nodes.select(F.col("class").alias("id"), "v", "dim", "copies")
+    true = _true_links(audited.select(F.col("class").alias("id"), "v", "dim"), named, threshold)
+    bits, tables = hash_sizes(n, threshold)
+    graph, first = None, 0
+    while True:
+        met = _first_graph(nodes, bits, first, tables)
+        graph = _settled(saved(_best(met if graph is None else graph.select("a", "b", "cos").unionByName(met), k)), nodes, k)
+        rated = _counted(graph, nodes, threshold, k)
+        if _share_found(true, audited, rated) >= RECALL:
+            break
+        first, tables = tables, 2 * tables
+        if 2 * NEAR * tables >= n:
+            rated = _all_pairs(nodes, threshold)
+            break
+    labels = nodes.select("class", "v", "low_id", "copies").join(rated, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = labels.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    rated = labels.join(lowest, "component").select("v", (F.coalesce("links", "few", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    rated = labels.join(lowest, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     rows = vectors.select(F.col(key).alias("_key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
     out = rows.join(rated, "v", "left").select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("_key").cast("long")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -232,6 +232,21 @@ def test_neighbours(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_a_cone(spark):
+    """Isolated pairs among vectors that share most signs, so that few buckets hold nearly all: found only if the query audits itself."""
+    import numpy as np
+
+    from glyphlake.llm.neighbours import hash_sizes, near_vectors, recall
+
+    r = np.random.default_rng(4)
+    x = 1.8 + r.standard_normal((6000, 64))
+    x[3000:] = x[:3000] + 0.75 * r.standard_normal((3000, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(df, near_vectors(df)) >= 0.9
+    bits, tables = zip(*(hash_sizes(n, 0.9) for n in (2_000, 1_000_000, 100_000_000)), strict=True)
+    assert sorted(set(bits)) == list(bits) and tables[0] < tables[1] < tables[2]
+
+
 def test_quality(spark, texts):
     from collections import Counter
 
