@@ -142,15 +142,14 @@ def labelled(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str,
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[int]:
-    """Hashes of the most common words, counted over all texts; words rarer than one in 20,000 in every part of a task do not count."""
+    """Hashes of the most common words, by their counts over all texts and then by hash, however the texts are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
             parts = [word_hashes().of(t.lower().split()) for t in b.column(0).to_pylist() if t]
             if parts:
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                often = n * 20_000 >= n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[often])), pa.array(n[often])], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n)], names=["word", "n"])
 
     counts = text_bytes(docs, text=text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]

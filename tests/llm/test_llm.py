@@ -321,6 +321,25 @@ def test_secrets(spark):
     assert len(labelled(10)) == 200
 
 
+def test_secrets_dictionary(spark):
+    """Every word counts, however rare in its slice and however the texts are dealt."""
+    from collections import Counter
+
+    import numpy as np
+
+    from glyphlake.llm.secrets import dictionary
+    from glyphlake.llm.words import word_hashes
+
+    texts = ["the " * 30_000 + "seldom", "the rare seldom", "rare seldom", "once"]
+    counts = Counter(w for t in texts for w in t.split())
+    want = {int(word_hashes()[w.encode()]) for w in counts}
+    for parts in (1, 4):
+        docs = table(spark, texts).repartition(parts)
+        got = np.array(dictionary(docs), np.int64).view(np.uint64).tolist()
+        assert set(got) == want
+        assert [int(word_hashes()[w.encode()]) for w in ("the", "seldom", "rare")] == got[:3]
+
+
 def test_components(spark):
     from glyphlake.llm.components import components
 
