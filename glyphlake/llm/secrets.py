@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,19 +84,14 @@ FEATURES = ["length", "entropy", "distinct", *[f"to_{p}" for p in PAIRS], "hex",
 def features(value: str, before: str, after: str, path: str, rule: str, dictionary: frozenset[int] | set[int]) -> list[float]:
     """Numbers that the forest judges by; dictionary: hashes of common words."""
     n = len(value)
-    counts: dict[str, int] = {}
-    for c in value[:4096]:
-        counts[c] = counts.get(c, 0) + 1
-    m = min(n, 4096)
-    entropy = -sum(k / m * math.log2(k / m) for k in counts.values()) if m else 0.0
-    kinds = _classes(value[:4096])
-    moves = dict.fromkeys(PAIRS, 0)
-    for a, b in zip(kinds, kinds[1:], strict=False):
-        moves[a + b] += 1
-    words = re.findall(r"[a-z]{3,}", value[:4096].lower())
+    counts = Counter(value)
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
+    kinds = _classes(value)
+    moves = Counter(map("".join, zip(kinds, kinds[1:], strict=False)))
+    words = re.findall(r"[a-z]{3,}", value.lower())
     h = word_hashes()
     covered = sum(len(w) for w in words if h[w.encode()] in dictionary) / max(n, 1)
-    return [float(min(n, 200)), entropy, len(counts) / max(m, 1), *[moves[p] / max(m - 1, 1) for p in PAIRS], float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(value.startswith(PREFIXES)), covered, float(path.count("/")), float(bool(TEST_PATH.search(path))), float(rule == "assigned"), float(before[-1:] in "\"'`" and before != ""), float(bool(TELLING.search(before))), float(bool(DOUBTFUL.search(before) or DOUBTFUL.search(after))), float(bool(DOUBTFUL_VALUE.search(value)))]
+    return [float(min(n, 200)), entropy, len(counts) / max(n, 1), *[moves[p] / max(n - 1, 1) for p in PAIRS], float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(value.startswith(PREFIXES)), covered, float(path.count("/")), float(bool(TEST_PATH.search(path))), float(rule == "assigned"), float(before[-1:] in "\"'`" and before != ""), float(bool(TELLING.search(before))), float(bool(DOUBTFUL.search(before) or DOUBTFUL.search(after))), float(bool(DOUBTFUL_VALUE.search(value)))]
 
 
 def labelled(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str, str, str, str, str, int]]:

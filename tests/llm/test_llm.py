@@ -340,6 +340,19 @@ def test_secrets_dictionary(spark):
         assert [int(word_hashes()[w.encode()]) for w in ("the", "seldom", "rare")] == got[:3]
 
 
+def test_secrets_long_values():
+    """Features are of the whole value: its words, its classes and their order."""
+    from glyphlake.llm.secrets import FEATURES, features
+    from glyphlake.llm.words import word_hashes
+
+    of = lambda v: dict(zip(FEATURES, features(v, "", "", "", "run", {word_hashes()[b"common"]}), strict=True))
+    long = of("common-" * 2000 + "1")
+    assert abs(long["covered"] - 12_000 / 14_001) < 1e-9
+    half = of("a" * 5000 + "1" * 5000)
+    assert half["entropy"] == 1.0 and half["to_dd"] == half["to_ll"] == 4999 / 9999 and half["to_ld"] == 1 / 9999
+    assert half["distinct"] == 2 / 10_000
+
+
 def test_components(spark):
     from glyphlake.llm.components import components
 
