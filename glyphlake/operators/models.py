@@ -124,7 +124,7 @@ def channel_distance(noisy: Column, hyp: Column) -> Column:
 
 
 def candidates(types: DataFrame, lexicon_table: DataFrame, swaps: DataFrame, scores: DataFrame | None = None, edits: int = EDITS, pool: int = POOL, top: int = TOP) -> DataFrame:
-    """(word, cand, rank) for distinct words: itself, the lexicon within `edits` of it, and one confusion swapped; the best by `scores` (word, logp).
+    """(word, cand, rank) for distinct words: itself, the lexicon within `edits` of it, and each confusion of a letter swapped; the best by `scores` (word, logp).
 
     Length blocks the join, and two words within two edits share a deletion variant's length only, so the join key is the length and the
     check is the capped distance; `pool` and `top` are the corrector's own beam sizes.
@@ -133,7 +133,8 @@ def candidates(types: DataFrame, lexicon_table: DataFrame, swaps: DataFrame, sco
     wide = alpha.withColumn("len", F.explode(F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda d: F.length("low") + d)))
     near = wide.join(lexicon_table.withColumnRenamed("word", "cand"), "len").filter(F.levenshtein("low", "cand", edits) >= 0)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.abs(F.length("low") - F.col("len")), F.desc("n"), "cand"))).filter(F.col("r") <= pool).select("word", "cand")
-    swapped = alpha.crossJoin(F.broadcast(swaps.select("noisy", "hyp"))).filter(F.expr("contains(low, noisy)")).select("word", F.expr("replace(low, noisy, hyp)").alias("cand"))  # swaps: a short table of letters
+    letters = alpha.select("word", "low", F.explode(F.array_distinct(F.split("low", ""))).alias("noisy"))
+    swapped = letters.join(F.broadcast(swaps.select("noisy", "hyp").distinct()), "noisy").select("word", F.expr("replace(low, noisy, hyp)").alias("cand"))  # swaps: all pairs of letters seen, bounded by the alphabet
     own = types.select("word", F.col("word").alias("cand"))
     both = near.unionByName(swapped).unionByName(own).distinct()
     if scores is not None:

@@ -340,8 +340,7 @@ def _corrector(spark, sf_dir):
     channel = models.channel_table(confusion.confusion(subbed(spark, sf_dir)))
     types = pairs.select(F.explode(T.tokens(F.col("noisy"))).alias("word")).distinct()
     scored = models.char_scores(lex.select("word"), models.char_counts(lex))
-    swaps = channel.orderBy(F.desc("logp"), "hyp", "noisy").limit(20)
-    options = models.candidates(types, lex.select("word", "n", "len"), swaps, scored)
+    options = models.candidates(types, lex.select("word", "n", "len"), channel, scored)
     return b, pairs, options, models.word_counts(b), channel
 
 

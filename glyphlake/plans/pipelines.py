@@ -106,7 +106,7 @@ def predictions(rows: DataFrame, train: DataFrame, confusions: DataFrame) -> Dat
     lex = models.lexicon(clean)
     channel = models.channel_table(confusions)
     types = rows.select(F.explode(T.tokens(F.col("noisy"))).alias("word")).distinct()
-    options = models.candidates(types, lex, channel.orderBy(F.desc("logp"), "hyp", "noisy").limit(200), models.char_scores(lex.select("word"), models.char_counts(lex)))
+    options = models.candidates(types, lex, channel, models.char_scores(lex.select("word"), models.char_counts(lex)))
     done = models.corrected(rows, "sample_id", "noisy", options, models.word_counts(clean), channel)
     joined = rows.join(done.select("sample_id", "prediction", "gain", F.col("changed").alias("changed_flag")), "sample_id")
     return measured(joined.withColumnRenamed("noisy", "input_noisy"))

@@ -137,3 +137,19 @@ def test_beam_keeps_clean_text():
     best = models.beam(["the", "cot"], {"cot": [("cot", -5.0), ("cat", -1.0)]}, lm, {})
     assert best[0][1] == ["the", "cat"] and best[-1][1] == ["the", "cot"]
     assert models.channel_logp("cot", "cat", {("a", "o"): -0.5}) == -0.5
+
+
+def test_all_swaps_give_candidates(spark, monkeypatch):
+    """Every observed confusion is swapped, also the frequent ones whose probability is low because their letter is frequent."""
+    from glyphlake.plans import error_queries as queries
+
+    taken = []
+    monkeypatch.setattr(queries.models, "candidates", lambda types, lex, swaps, *a: taken.append(swaps))
+    *_, channel = queries._corrector(spark, "/root/testdata/sf0.001")
+    swaps, seen = taken[0], channel.select("noisy", "hyp").distinct()
+    assert seen.count() > 20 and seen.join(swaps, ["noisy", "hyp"], "left_anti").count() == 0
+    monkeypatch.undo()
+    types = spark.createDataFrame([("abca",)], "word string")
+    lex = spark.createDataFrame([], "word string, n long, len int")
+    made = models.candidates(types, lex, spark.createDataFrame([(x, y) for x in "abcd" for y in "xyz"], "noisy string, hyp string"), top=100)
+    assert {r["cand"] for r in made.collect()} == {"abca"} | {"abca".replace(x, y) for x in "abc" for y in "xyz"}
