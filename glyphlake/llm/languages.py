@@ -2,9 +2,9 @@
 
 Learning: counts of byte trigrams per language over all documents to learn from, hashed to a fixed number of buckets, so that the model's
 size depends on the number of languages alone. Prediction: every word of a text has a likelihood under each language from its
-trigrams; expectation-maximisation over the words gives the proportions of the languages. It runs for the best 1, 2, ... MOST
-languages, and the set with the best log-likelihood less a penalty per language (as in BIC) is taken. The prediction is the
-largest proportion, which is also the score.
+trigrams; expectation-maximisation over the words, until no share of the document moves by more than SETTLED, gives the proportions
+of the languages. It runs for the best 1, 2, ... up to all languages, and the set with the best log-likelihood less a penalty per
+language (as in BIC) is taken. The prediction is the largest proportion, which is also the score.
 
 Nulls and edge cases: null texts and texts without letters are `und` with score 0; documents with a null language are not learned from;
 where nothing can be learned every prediction is `und`; repeated rows are predicted each; any other columns are dropped.
@@ -23,8 +23,8 @@ from glyphlake.llm.words import slices, text_bytes
 
 #: Buckets of hashed trigrams.
 BUCKETS = 1 << 16
-#: Languages of a document at most, steps of the expectation-maximisation, and the penalty per further language in units of log(words).
-MOST, STEPS, PENALTY = 3, 6, 1.0
+#: Change of a share under which it is settled, and the penalty per further language in units of log(words).
+SETTLED, PENALTY = 1e-4, 1.0
 UNKNOWN = "und"
 
 #: Bytes as they enter trigrams: A-Z in lower case, white space, digits and ASCII punctuation as a space.
@@ -74,19 +74,26 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[li
     return names, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)).astype(np.float32)
 
 
-def mixtures(likelihood: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(likelihood: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the allowed languages and log-likelihood per document. likelihood: of each word under each language, scaled to 1 at most."""
     share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
     words = np.bincount(doc, minlength=n_docs)
-    for _ in range(steps):
-        part = likelihood * share[doc]
+    like, at, moving = likelihood, doc, words > 0
+    while moving.any():
+        part = like * share[at]
         part /= part.sum(1, keepdims=True)
-        share = np.stack([np.bincount(doc, part[:, k], n_docs) for k in range(part.shape[1])], 1) / np.maximum(words, 1)[:, None]
+        new = np.stack([np.bincount(at, part[:, k], n_docs) for k in range(part.shape[1])], 1) / np.maximum(words, 1)[:, None]
+        still = moving & (np.abs(new - share).max(1) > SETTLED)
+        share[moving] = new[moving]
+        if still.sum() < moving.sum():
+            keep = still[at]
+            like, at = like[keep], at[keep]
+        moving = still
     total = np.bincount(doc, np.log(np.maximum((likelihood * share[doc]).sum(1), 1e-300)), n_docs)
     return share, total
 
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text", most: int = MOST, penalty: float = PENALTY) -> DataFrame:
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text", penalty: float = PENALTY) -> DataFrame:
     """The columns `keep` with lang_pred, score, and proportions (language to share, of the selected set)."""
     names, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
@@ -108,13 +115,13 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[
                     n = len(texts)
                     base = np.bincount(doc, top, n)
                     words = np.bincount(doc, minlength=n)
-                    full, _ = mixtures(like, doc, n, np.ones((n, len(names))))
+                    full, whole = mixtures(like, doc, n, np.ones((n, len(names))))
                     order = np.argsort(-full, axis=1, kind="stable")
                     best, chosen = np.full(n, -np.inf), full
-                    for k in range(1, min(most, len(names)) + 1):
+                    for k in range(1, len(names) + 1):
                         allowed = np.zeros((n, len(names)))
                         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-                        share, total = mixtures(like, doc, n, allowed, STEPS if k > 1 else 1)
+                        share, total = mixtures(like, doc, n, allowed) if k < len(names) else (full, whole)
                         value = base + total - penalty * (k - 1) * np.log(np.maximum(words, 2))
                         better = value > best + 1e-9
                         chosen = np.where(better[:, None], share, chosen)

@@ -208,6 +208,24 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_languages_many(spark):
+    """A document of all languages names them all, and its shares are settled."""
+    import numpy as np
+
+    from glyphlake.llm.languages import identified, mixtures, trained
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"])
+    parts = [" ".join(docs.filter(F.col("lang") == x).orderBy(F.desc("n_chars")).first()["text"].split()[:300]) for x in names]
+    got = identified(table(spark, ["\n".join(parts)]), trained(docs), ["doc_id"]).first()
+    assert len(names) >= 4 and set(got["proportions"]) == set(names) and got["score"] < 0.4
+    like = np.array([[1.0, 0.9]] * 50 + [[0.8, 1.0]] * 50)
+    share, _ = mixtures(like, np.zeros(100, np.int64), 1, np.ones((1, 2)))
+    part = like * share
+    again = (part / part.sum(1, keepdims=True)).mean(0)
+    assert np.abs(again - share).max() <= 1e-4
+
+
 def test_neighbours(spark):
     import numpy as np
 
