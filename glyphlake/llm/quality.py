@@ -102,7 +102,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares: dict[str, np.ndarray] = {}
-        words: dict[str, dict[int, int]] = {}
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64())
+        made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "word", "class", "n"])
         for b in slices(batches, 1024):
             langs, own = b.column(0).to_pylist(), {}
             for name, t in zip(langs, b.column(1).to_pylist(), strict=True):
@@ -115,16 +116,14 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
                     own.setdefault(name, []).append(word_hashes().of(ws))
             for name, parts in own.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                often = n * 2000 >= n.sum()  # a common word is one of 2000 words or more
-                mine = words.setdefault(name, {})
-                for k, v in zip(as_long(h[often]).tolist(), n[often].tolist(), strict=True):
-                    mine[k] = mine.get(k, 0) + v
-        rows = [(k, None, i, float(v)) for k, s in shares.items() for i, v in enumerate(s)] + [(k, w, None, float(n)) for k, m in words.items() for w, n in m.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())], names=["lang", "word", "class", "n"])
+                yield made([name] * len(h), as_long(h), [None] * len(h), n.astype(np.float64))
+        for name, s in shares.items():
+            yield made([name] * len(s), [None] * len(s), range(len(s)), s)
 
     counts = text_bytes(docs.filter(F.col(lang).isNotNull()), F.col(lang).cast("string").alias("lang"), text=text).mapInArrow(run, "lang string, word long, class int, n double").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
-    ranked = saved(counts).withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.isnull("word")).orderBy(F.desc("n"), "word"))).filter((F.col("rank") <= common) | F.isnull("word"))
+    counts = saved(counts)
+    # The rank is limited before the shuffle, so that a language's words do not gather in one task.
+    ranked = counts.filter("word is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= common).drop("rank").unionByName(counts.filter("word is null"))
     found: dict[str, dict] = {}
     for r in ranked.toLocalIterator():
         x = found.setdefault(r["lang"], {"classes": np.zeros(len(CLASSES) + 1), "words": {}})

@@ -292,6 +292,18 @@ def test_quality(spark, texts):
     assert quality(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_quality_references_are_full_counts(spark):
+    """A word that is rare in a slice counts in full, however the documents are dealt."""
+    from glyphlake.llm.quality import references
+    from glyphlake.llm.words import as_long, word_hashes
+
+    docs = table(spark, ["the " * 5000 + "seldom", "seldom " * 10 + "rare", "rare other"])
+    key = lambda w: int(as_long(word_hashes().of([w]))[0])
+    want = {key(w): n / 5014 for w, n in ((b"the", 5000), (b"seldom", 11), (b"rare", 2), (b"other", 1))}
+    for parts in (1, 3):
+        assert references(docs.repartition(parts))[0]["words"] == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
