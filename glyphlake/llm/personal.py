@@ -1,16 +1,18 @@
 """Personal data: base patterns, and terms that disclose them by co-occurrence in the corpus. SQL functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, by pattern and check. Each distinct matched text is a
-protected entity. The words near its mentions are terms. Over the whole corpus, c(e) counts the distinct surroundings of an entity,
-c(t, e) those that hold the term, and c(t) the documents that hold the term. The term's pointwise mutual information with the entity,
-log2(c(t, e) N / (c(t) c(e))), is held against the entity's own information log2(N / c(e)): a term that gives away at least the share
-`DISCLOSURE` of it, with at least `SUPPORT` surroundings behind it, is a span of kind `term` at its mentions near the entity.
+protected entity. The whole words of a text, outside its base spans, are terms. Over the whole corpus, c(e) counts the distinct texts
+with an entity, c(t, e) those of them that hold the term, and c(t) the documents that hold the term, of N. The term's pointwise mutual
+information with the entity, log2(p(t | e) N / c(t)), is held against the entity's own information log2(N / c(e)): a term that gives away
+at least the share `DISCLOSURE` of it is a span of kind `term` at all its mentions in texts with the entity. p(t | e) is smoothed by one
+text that holds the term at its rate in the corpus, (c(t, e) + c(t) / N) / (c(e) + 1).
 `sanitised` puts a general label in the place of base spans and takes disclosing terms out.
 
-Counts are combined before each shuffle, so a frequent term or entity gathers nowhere; the bitmap that narrows the counted words
-has a fixed size and only lets too many pass. Patterns use possessive loops and a left border, so that long runs take linear time.
+Counts are combined before each shuffle, so a frequent term or entity gathers nowhere; the bitmaps that narrow the counted words and
+pairs have a fixed size and only let too many pass: a pair is left out where the term is too common to disclose any entity of that count.
+Terms and entities are 64-bit hashes. Patterns use possessive loops and a left border, so that long runs take linear time.
 
-Nulls and edge cases: null and empty texts have no spans; repeated rows are judged each and their equal surroundings count once; rows
+Nulls and edge cases: null and empty texts have no spans; repeated rows are judged each and equal texts count once with an entity; rows
 with a null key are judged too; any other columns are dropped.
 """
 
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.words import bitmap, in_bitmap, saved
 
-#: Characters on either side of a span that are its surroundings.
-NEAR = 60
-DISCLOSURE, SUPPORT = 0.6, 2
-TERM = r"\p{L}{4,}+"
+DISCLOSURE = 0.6
+#: What stands for a base span while words are counted; words that touch one are not terms.
+MARK = "\uE000"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+LONE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{MARK}]){TERM}(?!{MARK})"
 
 #: Patterns in the order of the kinds; each equals its plain form, see the module's text.
 KINDS = {
@@ -67,34 +70,47 @@ def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return out.select(key, "text", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])).alias("spans"))
 
 
-def disclosing_terms(rows: DataFrame, texts: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(row, terms): spans of terms that disclose an entity beside them. rows: row, spans and around (per span what stands before and after)."""
-    mentions = rows.select("row", "spans", F.posexplode("around").alias("k", "context")).select("row", "spans", F.col("spans")[F.col("k")].alias("span"), "context")
-    entity = F.concat_ws(":", F.col("span.kind"), F.lower("span.value"))
-    sides = mentions.select("row", "spans", entity.alias("entity"), F.xxhash64(F.lower("context.before"), F.lower("context.after")).alias("surroundings"), F.concat(_spans("context.before", TERM, "term", len(KINDS), base="span.start - length(context.before)"), _spans("context.after", TERM, "term", len(KINDS), base="span.end")).alias("terms"))
-    inside = sides.select("row", "entity", "surroundings", F.explode("terms").alias("t"), "spans").filter(~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
-    found = saved(inside.select("row", "entity", "surroundings", F.lower("t.value").alias("term"), "t"))
-    of_entity = sides.select("entity", "surroundings").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
-    joint = found.select("entity", "term", "surroundings").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cte")).filter(F.col("cte") >= support)
-    joint = saved(joint.join(of_entity, "entity"))
-    wanted = saved(bitmap(joint, "term"))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).filter(F.length("term") >= 4)
-    of_term = in_bitmap(words, "term", wanted).groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    scored = joint.join(of_term, "term").crossJoin(F.broadcast(n))  # one row
-    told = F.log2(F.col("cte") * F.col("n") / (F.col("ct") * F.col("ce")))
-    chosen = scored.filter((F.col("n") > F.col("ce")) & (told >= disclosure * F.log2(F.col("n") / F.col("ce")))).select("entity", "term")
-    return found.join(chosen, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("terms"))
-
-
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _words(text: str, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.expr(f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"), lambda w: F.xxhash64(F.lower(w))))
+
+
+def disclosing_terms(rows: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(row, terms): spans of terms that disclose an entity of their text. rows: row, spans and text, where there are spans."""
+    n = texts.count()
+    masked = F.expr(f"aggregate(spans, struct(0 as at, '' as out), (a, s) -> struct(greatest(a.at, s.end) as at, concat(a.out, substring(_text, a.at + 1, greatest(s.start - a.at, 0)), '{MARK}') as out), a -> concat(a.out, substring(_text, a.at + 1)))")
+    entities = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
+    about = saved(rows.withColumn("_text", F.translate("text", MARK, " ")).withColumn("_masked", masked).select("row", F.xxhash64(F.lower("text")).alias("digest"), entities.alias("entities"), _words("_masked", LONE).alias("terms")))
+    firsts = saved(about.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    mentions = about.select("row", F.explode("entities").alias("e"))
+    of_entity = saved(mentions.join(firsts, "row", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("ce")))
+    most = of_entity.agg(F.max("ce")).first()[0]
+    wanted = saved(bitmap(about.select(F.explode("terms").alias("t")), "t"))
+    of_term = saved(in_bitmap(texts.select(F.explode(_words("text", TERM)).alias("t")), "t", wanted).groupBy("t").agg(F.count(F.lit(1)).alias("ct")))
+    # p(t | e) is 1 at most, so a term can only disclose entities of at least a certain count; counts go by powers of 2.
+    band, last = (lambda c: F.floor(F.log2(c)).cast("int")), int(most or 1).bit_length()
+    lowest = F.greatest(F.lit(0), F.floor(F.log2(F.lit(max(n, 1))) - F.log2(F.lit(n) / F.col("ct")) / disclosure).cast("int") - 1)
+    able = of_term.withColumn("low", lowest).filter(F.col("low") <= last).select("t", F.explode(F.sequence("low", F.lit(last))).alias("band")).select(F.xxhash64("t", "band").alias("tb"))
+    slots = saved(bitmap(able, "tb"))
+    known = mentions.join(of_entity, "e").groupBy("row").agg(F.collect_list(F.struct("e", "ce")).alias("known"))
+    listed_pairs = about.join(known, "row").select("row", F.explode("known").alias("k"), "terms").select("row", "k.e", "k.ce", F.explode("terms").alias("t"))
+    pairs = saved(in_bitmap(listed_pairs.withColumn("tb", F.xxhash64("t", band(F.col("ce")))), "tb", slots).select("row", "e", "ce", "t"))
+    joint = pairs.join(firsts, "row", "left_semi").groupBy("e", "ce", "t").agg(F.count(F.lit(1)).alias("cte"))
+    rate = F.col("ct") / n
+    told = F.log2((F.col("cte") + rate) / (F.col("ce") + 1) / rate)
+    chosen = joint.join(of_term, "t").filter((F.col("ce") < n) & (told >= disclosure * F.log2(F.lit(n) / F.col("ce")))).select("e", "t")
+    of_row = pairs.join(chosen, ["e", "t"]).groupBy("row").agg(F.collect_set("t").alias("_terms"))
+    spans = _spans("text", TERM, "term", len(KINDS), valid="array_contains(_terms, xxhash64(lower(m)))")
+    found = rows.join(of_row, "row").select("row", "spans", spans.alias("terms"))
+    return found.select("row", F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))).alias("terms"))
+
+
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """Per row: the key, base (spans of the patterns) and spans (with disclosing terms), as arrays of structs by start."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    around = F.transform("spans", lambda s: F.struct(F.expr("text").substr(F.greatest(s["start"] - near, F.lit(0)) + 1, F.least(s["start"], F.lit(near))).alias("before"), F.expr("text").substr(s["end"] + 1, F.lit(near)).alias("after")))
-    rows = saved(base_spans(docs, key, text).select(key, "spans", around.alias("around"))).withColumn("row", F.monotonically_increasing_id())
-    terms = disclosing_terms(rows.filter(F.size("spans") > 0), texts, near, disclosure, support)
+    rows = saved(base_spans(docs, key, text).select(F.col(key).alias("_key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))).withColumn("row", F.monotonically_increasing_id())
+    terms = disclosing_terms(rows.filter(F.size("spans") > 0).select("row", "spans", "text"), texts, disclosure)
     none = F.expr("cast(array() as array<struct<start: int, rank: int, end: int, kind: string, value: string>>)")
-    joined = rows.select(key, "row", F.col("spans").alias("base")).join(terms, "row", "left")
+    joined = rows.select(F.col("_key").alias(key), "row", F.col("spans").alias("base")).join(terms, "row", "left")
     return joined.select(key, "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
 
 

@@ -336,6 +336,40 @@ def test_personal(spark):
     assert personal_data(table(spark, many).limit(0)).count() == 0
 
 
+def test_personal_whole_texts(spark):
+    """Terms count over the whole text, whatever their length, once mentioned or often, against counts by hand."""
+    import math
+    from collections import Counter
+
+    from glyphlake.llm.personal import DISCLOSURE, personal_data
+
+    r = random.Random(8)
+    common = [f"word{i}" for i in range(12)]
+    prose = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [prose(40) for _ in range(300)]
+    texts += [f"Li {prose(60)} mail jane@corp.example {prose(60)} R2 then li" for _ in range(3)]
+    texts += [f"{prose(50)} Zoë, {prose(50)} 10.1.2.3 end", f"call jane@corp.example {prose(5)}"]
+    texts += [texts[-1]] * 3
+    address = re.compile(r"jane@corp\.example|10\.1\.2\.3")
+    n, ct, ce, cte = len(texts), Counter(), Counter(), Counter()
+    words = lambda t: {w.lower() for w in re.findall(r"\w+", t)}
+    for t in texts:
+        ct.update(words(t))
+    for t in set(texts):
+        for e in set(address.findall(t)):
+            ce[e] += 1
+            cte.update((e, w) for w in words(address.sub(" ", t)))
+    told = lambda e, w: math.log2((cte[e, w] + ct[w] / n) / (ce[e] + 1) * n / ct[w]) >= DISCLOSURE * math.log2(n / ce[e])
+    got = {x["doc_id"]: x["spans"] for x in personal_data(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        chosen = {w for e in set(address.findall(t)) for w in words(address.sub(" ", t)) if told(e, w)}
+        base = [m.span() for m in address.finditer(t)]
+        want = {m.span() for m in re.finditer(r"\w+", t) if m[0].lower() in chosen and not any(a < m.end() and m.start() < b for a, b in base)}
+        assert {(s["start"], s["end"]) for s in got[i] if s["kind"] == "term"} == want
+    terms = lambda i: [s["value"] for s in got[i] if s["kind"] == "term"]
+    assert {"Li", "li", "R2"} <= set(terms(300)) and "Zoë" in terms(303)
+
+
 def test_secrets(spark):
     from glyphlake.llm.secrets import findings, labelled
 
