@@ -6,18 +6,19 @@ their documents, have an anchor in common that is at the same place in both. So:
 
 1. whole copies: of documents with the same words, only the one with the smallest id goes on; in the others every word that is in a
    window goes;
-2. anchors that occur in two documents (by a count per hash, combined before the shuffle);
-3. only windows around such anchors are hashed (128 bits), and per hash the smallest document id is found; this extends anchors to
-   whole windows. What a smaller id in the same slice of a task has is decided there, before the shuffle, so that a window that
-   many documents share does not gather all of them;
+2. anchors are dealt by hash; the places of those that two documents have go back to their documents, one row of places each;
+3. around these places anchors are extended to whole windows: only such windows are hashed (128 bits), and per hash the smallest
+   document id is found;
 4. a window goes if that id is smaller than its own document's.
 
-The anchors found in 2 come to step 3 as a bitmap of fixed size; where they are more than fill it, all windows are hashed, which
-gives the same result. Removed positions go back to their documents as arrays, one per document.
+What is decided among the texts of one slice of a task does not enter the groups of 2 and 3, so that an anchor or a window that many
+documents share does not gather them all: an anchor sends one row a slice with the smallest and the largest id, windows that a smaller id
+in the slice has go out as runs, one row a document. The cost grows with the words and with the words around shared anchors; no
+structure has a size that data can fill.
 
 Nulls and edge cases: null text has no words; documents with fewer than `window` words lose nothing; rows with the same id count as
-one document, so that a repeated row loses nothing to its twin, and rows that share an id are judged each by their own text; rows with a null id are
-judged by what the others hold, but take nothing from others. Any other columns stay as they are, but those
+one document, so that a repeated row loses nothing to its twin, and rows that share an id are judged each by their own text; rows with a
+null id lose nothing and take nothing from others; an empty table gives an empty table. Any other columns stay as they are, but those
 named like a result give way to it.
 """
 
@@ -37,8 +38,8 @@ from glyphlake.llm.words import MULTIPLIERS, as_long, bitmap, in_bitmap, mix, sa
 WINDOW = 50
 #: A perfect difference set of order 5 (fixed values).
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Bits of the bitmap of shared anchors: 8 MB at most in any task and on the driver.
-ANCHOR_BITS = 26
+#: Texts of a slice that is decided within its task.
+TEXTS = 1024
 
 
 def anchor_hashes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -49,114 +50,151 @@ def anchor_hashes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return at, w[at]
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+def _words(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Row and words of each text that has a window."""
+    for i, t in enumerate(batch.column("text").to_pylist()):
+        words = t.split() if t else []
+        if len(words) >= window:
+            yield i, words
 
 
-def _documents(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Per document: number of words and a 128-bit digest of them."""
+def _digests(docs: DataFrame, window: int) -> DataFrame:
+    """(_id, _tag, _digest) of the texts that have a window: a 128-bit digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, d = [], []
-            for t in b.column(1).to_pylist():
-                words = t.split() if t else []
-                n.append(len(words))
-                d.append(xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= window else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d, pa.binary())], names=["_id", "n_words", "_digest"])
+            rows, d = [], []
+            for i, words in _words(b, window):
+                rows.append(i)
+                d.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("_id").take(at), b.column("_tag").take(at), pa.array(d, pa.binary())], names=["_id", "_tag", "_digest"])
 
-    return text_bytes(docs, key, text=text).mapInArrow(run, "_id long, n_words long, _digest binary")
+    return docs.mapInArrow(run, "_id long, _tag long, _digest binary")
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, found, rows = b.column(0), [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                words = t.split() if t else []
-                if len(words) >= window:
-                    a = np.unique(anchor_hashes(word_hashes().of(words), window)[1])
-                    found.append(a)
-                    rows.append(np.full(len(a), i))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(found))), ids.take(pa.array(np.concatenate(rows)))], names=["anchor", "_id"])
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """n lists: the values of each row; rows ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
-    return docs.mapInArrow(run, "anchor long, _id long")
 
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Rows by anchor: the smallest and the largest id that a slice has for it, and, where that is one id, its text (_id, _tag) and the
+    places `at` and `more`. Where the slice has two ids, the places are known to be shared: they go out per text, with null lo and hi."""
 
-def _windows(docs: DataFrame, window: int, shared) -> DataFrame:
-    """128-bit hashes of the windows around shared anchors; shared: a broadcast bitmap, or None for all windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "lo", "hi", "_id", "_tag", "at", "more"]
+        for b in slices(batches, TEXTS):
+            ids, tags = b.column("_id").to_numpy(), b.column("_tag").to_numpy()
+            found, places, owners = [], [], []
+            for i, words in _words(b, window):
+                at, h = anchor_hashes(word_hashes().of(words), window)
+                found.append(h)
+                places.append(at)
+                owners.append(np.full(len(at), i, np.int32))
+            if not found:
+                continue
+            h, at, row = np.concatenate(found), np.concatenate(places), np.concatenate(owners)
+            order = np.lexsort((at, row, ids[row], h))
+            h, at, row = h[order], at[order], row[order]
+            head = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(head)
+            lo, hi = ids[row[first]], ids[row[np.concatenate([first[1:], [len(h)]]) - 1]]
+            two = lo < hi
+            known = two[np.cumsum(head) - 1]
+            lead = ~known & (head | np.concatenate([[True], row[1:] != row[:-1]]))
+            one = row[lead]
+            rest = ~known & ~lead
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h[lead])), pa.array(ids[one]), pa.array(ids[one]), pa.array(ids[one]), pa.array(tags[one]), pa.array(at[lead].astype(np.int32)), _lists((np.cumsum(lead) - 1)[rest], at[rest], len(one))], names=names)
+            if two.any():
+                n = int(two.sum())
+                no, none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[first[two]])), pa.array(lo[two]), pa.array(hi[two]), no, no, none, pa.nulls(n, pa.list_(pa.int32()))], names=names)
+                order = np.lexsort((at[known], row[known]))
+                texts, back = np.unique(row[known][order], return_inverse=True)
+                n = len(texts)
+                key = mix(ids[texts].astype(np.uint64) ^ mix(tags[texts].astype(np.uint64)))
+                no = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), no, no, pa.array(ids[texts]), pa.array(tags[texts]), pa.nulls(n, pa.int32()), _lists(back, at[known][order], n)], names=names)
+
+    return docs.mapInArrow(run, "anchor long, lo long, hi long, _id long, _tag long, at int, more array<int>")
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """Per text: the places `at` and `more` of its rows as one array."""
+    return rows.groupBy("_id", "_tag").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more"))).alias(name))
+
+
+def _shared_places(docs: DataFrame, window: int) -> DataFrame:
+    """(_id, _tag, places): where a text's anchors are that another document has, too. Running frames; groups spill."""
+    lowest = F.min("lo").over(Window.partitionBy("anchor").orderBy("lo"))
+    largest = F.max("hi").over(Window.partitionBy("anchor").orderBy(F.desc("hi")))
+    rows = _anchors(docs, window).withColumn("lowest", lowest).withColumn("largest", largest)
+    return _gathered(rows.filter("_id is not null and (lo is null or lowest < _id or largest > _id)"), "places")
+
+
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, _id, _tag, at) of the windows around the `places`; those that a smaller id in the slice has, as starts in `more`, one row a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8) if shared else None
-        for b in slices(batches):
-            ids, one, two, rows, at = b.column(0), [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                words = t.split() if t else []
+        names = ["h1", "h2", "_id", "_tag", "at", "more"]
+        for b in slices(batches, TEXTS):
+            ids, tags, places = b.column("_id").to_numpy(), b.column("_tag").to_numpy(), b.column("places")
+            ones, twos, owners, starts = [], [], [], []
+            for i, words in _words(b, window):
                 n = len(words) - window + 1
-                if n < 1:
-                    continue
-                h = word_hashes().of(words)
-                near = np.ones(n, bool)
-                if bits is not None:
-                    p, a = anchor_hashes(h, window)
-                    s = _slots(a)
-                    p = p[(bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
-                    if not len(p):
-                        continue
-                    marks = np.zeros(n + 1, np.int64)  # a window that starts at i holds anchors that start from i to i + PERIOD - 1
-                    np.add.at(marks, np.clip(p - PERIOD + 1, 0, n), 1)
-                    np.add.at(marks, np.minimum(p + 1, n), -1)
-                    near = np.cumsum(marks)[:n] > 0
-                k = np.flatnonzero(near)
-                if len(k):
-                    one.append(window_hashes(h, window)[k])
-                    two.append(window_hashes(word_hashes(1).of(words), window, MULTIPLIERS[1])[k])
-                    at.append(k)
-                    rows.append(np.full(len(k), i))
-            if one:
-                one, two, owner, at = np.concatenate(one), np.concatenate(two), ids.to_numpy()[np.concatenate(rows)], np.concatenate(at)
-                # What a smaller id of this slice has is decided here; such rows leave the hash's group, which may be a hot one.
-                order = np.lexsort((owner, two, one))
-                h, g, o = one[order], two[order], owner[order]
-                head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-                done = np.empty(len(o), bool)
-                done[order] = o > o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
-                one = np.where(done, mix(one ^ (owner.astype(np.uint64) << np.uint64(20)) ^ at.astype(np.uint64)), one)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(owner), pa.array(at.astype(np.int32)), pa.array(done)], names=["h1", "h2", "_id", "at", "done"])
-
-    return docs.mapInArrow(run, "h1 long, h2 long, _id long, at int, done boolean")
-
-
-def _bits(anchors: DataFrame) -> tuple[bytes, float]:
-    """The bitmap of the hashes, 2**ANCHOR_BITS bits whatever their number, and the share of bits that are set."""
-    slot = F.expr(f"shiftrightunsigned(anchor, {64 - ANCHOR_BITS})")
-    parts = anchors.groupBy(F.floor(slot / 32768).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(shiftrightunsigned(anchor, {64 - ANCHOR_BITS}), 32768))").alias("bits"))
-    out, full = bytearray(2**ANCHOR_BITS // 8), 0
-    for r in parts.toLocalIterator():  # 2048 rows of 4 KB at most
-        out[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["bits"])] = r["bits"]
-        full += int.from_bytes(r["bits"]).bit_count()
-    return bytes(out), full / 2**ANCHOR_BITS
-
-
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(id, starts of the windows that go) per document, in no set order; and (id, first) of whole copies: all their windows go."""
-    spark = docs.sparkSession
-    source = text_bytes(docs.filter(F.col(key).isNotNull()), F.col(key).cast("long").alias("_id"), text=text)
-    digests = saved(_documents(docs, key, text, window).filter("_digest is not null and _id is not null"))
+                p = places[i].values.to_numpy().astype(np.int64)
+                marks = np.zeros(n + 1, np.int64)  # a window that starts at i holds anchors that start from i to i + PERIOD - 1
+                np.add.at(marks, np.clip(p - PERIOD + 1, 0, n), 1)
+                np.add.at(marks, np.minimum(p + 1, n), -1)
+                k = np.flatnonzero(np.cumsum(marks)[:n] > 0)
+                ones.append(window_hashes(word_hashes().of(words), window)[k])
+                twos.append(window_hashes(word_hashes(1).of(words), window, MULTIPLIERS[1])[k])
+                owners.append(np.full(len(k), i, np.int32))
+                starts.append(k)
+            if not ones:
+                continue
+            one, two, row, at = np.concatenate(ones), np.concatenate(twos), np.concatenate(owners), np.concatenate(starts)
+            order = np.lexsort((ids[row], two, one))
+            h, g, o = one[order], two[order], ids[row[order]]
+            head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+            gone = np.empty(len(o), bool)
+            gone[order] = o > o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+            # Of equal windows of one id in the slice, each stays a row: all of them go, or none.
+            left = row[~gone]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(one[~gone])), pa.array(as_long(two[~gone])), pa.array(ids[left]), pa.array(tags[left]), pa.array(at[~gone].astype(np.int32)), pa.nulls(len(left), pa.list_(pa.int32()))], names=names)
+            if gone.any():
+                texts, back = np.unique(row[gone], return_inverse=True)
+                key = mix(ids[texts].astype(np.uint64) ^ mix(tags[texts].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(np.zeros(len(texts), np.int64)), pa.array(ids[texts]), pa.array(tags[texts]), pa.nulls(len(texts), pa.int32()), _lists(back, at[gone], len(texts))], names=names)
+
+    return docs.mapInArrow(run, "h1 long, h2 long, _id long, _tag long, at int, more array<int>")
+
+
+def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows with `_id` and `_tag`, which is 0, or a hash of the text where several rows share an id."""
+    base = docs.withColumn("_id", F.col(key).cast("long"))
+    twice = saved(base.groupBy("_id").count().filter("count > 1 and _id is not null").select("_id"))
+    if twice.isEmpty():
+        return base.withColumn("_tag", F.lit(0).cast("long"))
+    slots = saved(bitmap(twice, "_id"))
+    sure = in_bitmap(base, "_id", slots, keep=False).withColumn("_tag", F.lit(0).cast("long"))
+    rest = in_bitmap(base, "_id", slots).join(twice.withColumn("_twice", F.lit(True)), "_id", "left")
+    return sure.unionByName(rest.withColumn("_tag", F.when(F.col("_twice"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit(0))).drop("_twice").select(*sure.columns))
+
+
+def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """For `tagged` rows: (_id, _tag, starts of the windows that go), in no set order; and (_id, _tag) of whole copies: all their windows go."""
+    source = text_bytes(docs.filter("_id is not null"), "_id", "_tag", text=text)
+    digests = saved(_digests(source, window))
     first = digests.groupBy("_digest").agg(F.min("_id").alias("_first"))
-    copies = saved(digests.join(first, "_digest").filter("_id > _first").select("_id").distinct())
-    # A document is left out only if all rows with its id are copies.
-    whole = saved(copies.join(digests.join(first, "_digest").filter("_id = _first").select("_id"), "_id", "left_anti"))
+    whole = saved(digests.join(first, "_digest").filter("_id > _first").select("_id", "_tag").distinct())
     copied = saved(bitmap(whole, "_id"))
-    own = in_bitmap(source, "_id", copied, keep=False).unionByName(in_bitmap(source, "_id", copied).join(whole, "_id", "left_anti"))
-    shared = _anchors(own, window).groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("anchor")
-    bits, full = _bits(shared)
-    holder = spark.sparkContext.broadcast(bits) if full < 0.3 else None
-    lowest = F.first("_id").over(Window.partitionBy("h1", "h2").orderBy("_id"))  # a running frame: no group is held
-    windows = _windows(own, window, holder).withColumn("lo", lowest)
-    gone = windows.filter("done or lo < _id").groupBy("_id").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
-    return saved(gone), whole
+    own = in_bitmap(source, "_id", copied, keep=False).unionByName(in_bitmap(source, "_id", copied).join(whole, ["_id", "_tag"], "left_anti").select(*source.columns))
+    places = saved(_shared_places(own, window))
+    near = in_bitmap(own, "_id", saved(bitmap(places, "_id"))).join(places, ["_id", "_tag"])
+    lowest = F.min("_id").over(Window.partitionBy("h1", "h2").orderBy("_id"))  # a running frame; groups spill
+    return saved(_gathered(_windows(near, window).withColumn("lowest", lowest).filter("at is null or lowest < _id"), "starts")), whole
 
 
 def covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -173,14 +211,15 @@ def covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with the kept words, joined by one space, as `kept_text`, and n_words and n_removed."""
-    gone, whole = repeated_windows(docs, key, text, window)
-    touched = saved(bitmap(gone.select("_id").unionByName(whole), "_id"))
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    base = docs.withColumn("_id", F.col(key).cast("long"))
-    clean = in_bitmap(base, "_id", touched, keep=False).withColumn("_starts", F.lit(None).cast("array<int>")).withColumn("_copy", F.lit(False))
-    hit = in_bitmap(base, "_id", touched).join(gone.withColumnRenamed("starts", "_starts"), "_id", "left").join(whole.withColumn("_copy", F.lit(True)), "_id", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
-    both = clean.select(*names, "_starts", "_copy").unionByName(hit.select(*names, "_starts", "_copy"))
+    plain = [f"c{i}" for i in range(len(names))]  # so that no column can clash with those of the steps
     at = names.index(text)
+    base = tagged(docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)]), plain[names.index(key)], plain[at])
+    gone, whole = repeated_windows(base, plain[at], window)
+    touched = saved(bitmap(gone.select("_id").unionByName(whole.select("_id")), "_id"))
+    clean = in_bitmap(base, "_id", touched, keep=False).withColumn("_starts", F.lit(None).cast("array<int>")).withColumn("_copy", F.lit(False))
+    hit = in_bitmap(base, "_id", touched).join(gone.withColumnRenamed("starts", "_starts"), ["_id", "_tag"], "left").join(whole.withColumn("_copy", F.lit(True)), ["_id", "_tag"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
+    both = clean.select(*plain, "_starts", "_copy").unionByName(hit.select(*plain, "_starts", "_copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -197,7 +236,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     return both.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string")
 
 
@@ -206,19 +245,20 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """The same from the definition, for tests: id -> words, removed words, digest."""
-    words = {i: (t or "").encode().split() for i, t in rows}
+def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int, int, str]]:
+    """The same from the definition, for tests: words, removed words and digest of each row."""
+    split = [(i, (t or "").encode().split()) for i, t in rows]
     lowest: dict[tuple, int] = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - window + 1):
-            lowest.setdefault(tuple(words[i][k : k + window]), i)
-    out = {}
-    for i, w in words.items():
+    for i, w in split:
+        for k in range(len(w) - window + 1 if i is not None else 0):
+            g = tuple(w[k : k + window])
+            lowest[g] = min(i, lowest.get(g, i))
+    out = []
+    for i, w in split:
         keep = [True] * len(w)
-        for k in range(len(w) - window + 1):
+        for k in range(len(w) - window + 1 if i is not None else 0):
             if lowest[tuple(w[k : k + window])] < i:
                 keep[k : k + window] = [False] * window
         kept = [x for x, y in zip(w, keep, strict=True) if y]
-        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+        out.append((len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return out

@@ -73,13 +73,25 @@ def test_jaccard_empty(spark, texts):
     assert near_duplicates(table(spark, [None, ""])).count() == 2
 
 
+def removed(df):
+    from glyphlake.llm.repeats import remove_repeats
+
+    return [(r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in sorted(remove_repeats(df).collect(), key=lambda r: r["row"])]
+
+
 def test_repeats(spark, texts):
-    from glyphlake.llm.repeats import brute_force, remove_repeats
+    """Shared passages, copies, ids that repeat with other texts, null ids, and columns named like those of the steps, over several slices."""
+    from glyphlake.llm.repeats import brute_force
 
-    out = remove_repeats(table(spark, texts).drop("n_words"))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out.collect()}
-    assert got == brute_force(list(enumerate(texts)))
-    assert {"lang", "extra"} <= set(out.columns)
+    r = random.Random(8)
+    rows = list(enumerate(texts)) + [(3, texts[4] or ""), (3, texts[-3]), (None, texts[25]), (1000, texts[25])]
+    rows += [(2000 + i, " ".join((texts[25].split() * 3)[k : k + n])) for i, (k, n) in enumerate((r.randrange(80), r.randint(45, 120)) for _ in range(40))]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, t, k, "x", "x", "x", "x", "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, _id string, _tag string, _starts string, n_words string, kept_text string")
+    want = brute_force(rows)
+    assert sum(x[1] for x in want) > 1000
+    for n in (1, 7):
+        assert removed(df.repartition(n)) == want
 
 
 def test_repeats_cover():
@@ -451,7 +463,7 @@ def test_pipeline(spark, tokenizers):
             want = groups([(i, r["text"]) for i, r in before.items()], 5, 80)
             assert set(after) == {i for i, (_, c) in want.items() if i == c}
         if k == 2:
-            want = repeats([(i, r["text"]) for i, r in before.items()])
+            want = dict(zip(before, repeats([(i, r["text"]) for i, r in before.items()]), strict=True))
             assert {i: hashlib.sha256(b" ".join(r["text"].encode().split())).hexdigest() for i, r in after.items()} == {i: w[2] for i, w in want.items()}
         if k == 3:
             assert set(after) == set(before)
