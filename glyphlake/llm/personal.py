@@ -8,9 +8,11 @@ at least the share `DISCLOSURE` of it is a span of kind `term` at all its mentio
 text that holds the term at its rate in the corpus, (c(t, e) + c(t) / N) / (c(e) + 1).
 `sanitised` puts a general label in the place of base spans and takes disclosing terms out.
 
+Entities that the same texts hold count as one, so that a log of many rare addresses has few pairs of entity and term.
 Counts are combined before each shuffle, so a frequent term or entity gathers nowhere; the bitmaps that narrow the counted words and
 pairs have a fixed size and only let too many pass: a pair is left out where the term is too common to disclose any entity of that count.
-Terms and entities are 64-bit hashes. Patterns use possessive loops and a left border, so that long runs take linear time.
+Terms and entities are 64-bit hashes. Patterns use possessive loops and a left border, and arrays are folded in chunks
+and searched by bisection, so that long runs and many mentions in one text take no quadratic time.
 
 Nulls and edge cases: null and empty texts have no spans; repeated rows are judged each and equal texts count once with an entity; rows
 with a null key are judged too; any other columns are dropped.
@@ -24,10 +26,8 @@ from pyspark.sql import functions as F
 from glyphlake.llm.words import bitmap, in_bitmap, saved
 
 DISCLOSURE = 0.6
-#: What stands for a base span while words are counted; words that touch one are not terms.
-MARK = "\uE000"
+#: Words; those that touch a base span are not counted as terms.
 TERM = r"[\p{L}\p{M}\p{N}]++"
-LONE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{MARK}]){TERM}(?!{MARK})"
 
 #: Patterns in the order of the kinds; each equals its plain form, see the module's text.
 KINDS = {
@@ -52,22 +52,59 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str, kind: str, rank: int, valid: str = "true", sign: str = "true", base: str = "0") -> Column:
-    """Matches as structs (start, rank, end, kind, value), by the lengths of the parts between them."""
-    p = _quoted(pattern)
-    none = "cast(array() as array<struct<start: int, rank: int, end: int, kind: string, value: string>>)"
-    step = f"struct(a.at + length(x.gap) + length(x.m) as at, if(exists(array(x.m), m -> {valid}), concat(a.out, array(struct(a.at + length(x.gap) as start, {rank} as rank, a.at + length(x.gap) + length(x.m) as end, '{kind}' as kind, x.m as value))), a.out) as out)"
-    found = f"aggregate(arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))) as gap, regexp_extract_all({text}, {p}, 0) as m), struct({base} as at, {none} as out), (a, x) -> {step}, a -> a.out)"
-    found = found.replace(" as gap,", ",").replace(" as m)", ")").replace("x.gap", "x.`0`").replace("x.m", "x.`1`")
-    return F.expr(f"case when {sign} then {found} else {none} end")
+SPAN = "struct<start: int, rank: int, end: int, kind: string, value: string>"
+#: Elements of an array that are folded at once: appending one copies those before it.
+CHUNK = 64
+
+
+def _chunks(n: str) -> str:
+    """0 to n - 1 (n > 0) as arrays of CHUNK numbers."""
+    return f"transform(sequence(0, shiftright({n} - 1, {CHUNK.bit_length() - 1})), i -> sequence(i * {CHUNK}, least(i * {CHUNK} + {CHUNK - 1}, {n} - 1)))"
+
+
+def _folded(n: str, kind: str, step: str) -> str:
+    """Fold of n places of arrays to an array of element type `kind`: step gives struct(at, out) of a (so far) and the place x, at being an int."""
+    inner = f"aggregate(y, struct(b.at as at, cast(array() as array<{kind}>) as out), (a, x) -> {step}, a -> struct(a.at as at, concat(b.out, array(a.out)) as out))"
+    return f"case when {n} > 0 then aggregate({_chunks(n)}, struct(0 as at, cast(array() as array<array<{kind}>>) as out), (b, y) -> {inner}, b -> flatten(b.out)) else cast(array() as array<{kind}>) end"
+
+
+def _at_most(array: str, value: str) -> str:
+    """How many elements of an ascending array are `value` at most, by bisection."""
+    middle = "shiftright(s.lo + s.hi, 1)"
+    half = f"if(get({array}, {middle}) <= {value}, struct({middle} + 1 as lo, s.hi as hi), struct(s.lo as lo, {middle} as hi))"
+    return f"aggregate(sequence(1, cast(ceil(log2(size({array}) + 1)) as int)), struct(0 as lo, size({array}) as hi), (s, i) -> if(s.lo < s.hi, {half}, s), s -> s.lo)"
+
+
+def _matches(docs: DataFrame, patterns: dict[str, tuple[str, str]], text: str = "text") -> DataFrame:
+    """Adds per name the matches `_m_name` of its pattern, where the text has its sign, and their starts `_at_name`."""
+    names = docs.columns
+    found = docs.select(*names, *[F.expr(f"case when {sign} then regexp_extract_all({text}, {_quoted(p)}, 0) else array() end").alias(f"_m_{n}") for n, (p, sign) in patterns.items()])
+    gaps = found.select(*found.columns, *[F.expr(f"case when size(_m_{n}) > 0 then split({text}, {_quoted(p)}, -1) else array() end").alias(f"_g_{n}") for n, (p, _) in patterns.items()])
+    step = "struct(a.at + length(get(_g_{n}, x)) + length(get(_m_{n}, x)) as at, concat(a.out, array(a.at + length(get(_g_{n}, x)))) as out)"
+    return gaps.select(*found.columns, *[F.expr(_folded(f"size(_m_{n})", "int", step.format(n=n))).alias(f"_at_{n}") for n in patterns])
+
+
+def _spans(name: str, rank: int, valid: str) -> Column:
+    """Valid matches as structs (start, rank, end, kind, value)."""
+    places = f"filter(sequence(0, size(_m_{name}) - 1), x -> exists(array(get(_m_{name}, x)), m -> {valid}))"
+    span = f"struct(get(_at_{name}, x) as start, {rank} as rank, get(_at_{name}, x) + length(get(_m_{name}, x)) as end, '{name}' as kind, get(_m_{name}, x) as value)"
+    return F.expr(f"case when size(_m_{name}) > 0 then transform({places}, x -> {span}) else cast(array() as array<{SPAN}>) end")
 
 
 def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, the text (empty for null) and `spans` by start and kind."""
-    out = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    for rank, (kind, pattern) in enumerate(KINDS.items()):
-        out = out.withColumn(f"_{kind}", _spans("text", pattern, kind, rank, VALID[kind], SIGNS[kind]))
-    return out.select(key, "text", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])).alias("spans"))
+    out = _matches(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")), {k: (p, SIGNS[k]) for k, p in KINDS.items()})
+    spans = F.array_sort(F.concat(*[_spans(k, i, VALID[k]) for i, k in enumerate(KINDS)]))
+    return out.select(F.col("_key").alias(key), "text", spans.alias("spans"))
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """Adds to rows with `spans` and `text`: _tokens (start, end, t, value), words with their hashes, and _starts and _ends, the latter never falling, of the spans."""
+    names = rows.columns
+    token = "struct(get(_at_term, x) as start, get(_at_term, x) + length(get(_m_term, x)) as end, xxhash64(lower(get(_m_term, x))) as t, get(_m_term, x) as value)"
+    words = f"case when size(_m_term) > 0 then transform(sequence(0, size(_m_term) - 1), x -> {token}) else cast(array() as array<struct<start: int, end: int, t: bigint, value: string>>) end"
+    ends = _folded("size(spans)", "int", "struct(greatest(a.at, get(spans, x).end) as at, concat(a.out, array(greatest(a.at, get(spans, x).end))) as out)")
+    return _matches(rows, {"term": (TERM, "true")}).select(*names, F.expr(words).alias("_tokens"), F.expr("transform(spans, s -> s.start)").alias("_starts"), F.expr(ends).alias("_ends"))
 
 
 def _words(text: str, pattern: str) -> Column:
@@ -77,12 +114,13 @@ def _words(text: str, pattern: str) -> Column:
 def disclosing_terms(rows: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(row, terms): spans of terms that disclose an entity of their text. rows: row, spans and text, where there are spans."""
     n = texts.count()
-    masked = F.expr(f"aggregate(spans, struct(0 as at, '' as out), (a, s) -> struct(greatest(a.at, s.end) as at, concat(a.out, substring(_text, a.at + 1, greatest(s.start - a.at, 0)), '{MARK}') as out), a -> concat(a.out, substring(_text, a.at + 1)))")
     entities = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
-    about = saved(rows.withColumn("_text", F.translate("text", MARK, " ")).withColumn("_masked", masked).select("row", F.xxhash64(F.lower("text")).alias("digest"), entities.alias("entities"), _words("_masked", LONE).alias("terms")))
+    apart = F.expr(f"filter(_tokens, t -> not coalesce(get(_ends, {_at_most('_starts', 't.end')} - 1) >= t.start, false))")
+    about = saved(_tokens(rows.select("row", "spans", "text")).select("row", F.xxhash64(F.lower("text")).alias("digest"), entities.alias("entities"), F.array_distinct(F.transform(apart, lambda t: t["t"])).alias("terms")))
     firsts = saved(about.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
     mentions = about.select("row", F.explode("entities").alias("e"))
-    of_entity = saved(mentions.join(firsts, "row", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("ce")))
+    # Entities that the same texts hold have the same counts with every term: they are one, named by their count and texts.
+    of_entity = saved(mentions.join(firsts, "row", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("ce"), F.bit_xor(F.xxhash64("row")).alias("held")).select("e", F.xxhash64("ce", "held").alias("same"), "ce"))
     most = of_entity.agg(F.max("ce")).first()[0]
     wanted = saved(bitmap(about.select(F.explode("terms").alias("t")), "t"))
     of_term = saved(in_bitmap(texts.select(F.explode(_words("text", TERM)).alias("t")), "t", wanted).groupBy("t").agg(F.count(F.lit(1)).alias("ct")))
@@ -91,17 +129,17 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, disclosure: float = DISC
     lowest = F.greatest(F.lit(0), F.floor(F.log2(F.lit(max(n, 1))) - F.log2(F.lit(n) / F.col("ct")) / disclosure).cast("int") - 1)
     able = of_term.withColumn("low", lowest).filter(F.col("low") <= last).select("t", F.explode(F.sequence("low", F.lit(last))).alias("band")).select(F.xxhash64("t", "band").alias("tb"))
     slots = saved(bitmap(able, "tb"))
-    known = mentions.join(of_entity, "e").groupBy("row").agg(F.collect_list(F.struct("e", "ce")).alias("known"))
-    listed_pairs = about.join(known, "row").select("row", F.explode("known").alias("k"), "terms").select("row", "k.e", "k.ce", F.explode("terms").alias("t"))
-    pairs = saved(in_bitmap(listed_pairs.withColumn("tb", F.xxhash64("t", band(F.col("ce")))), "tb", slots).select("row", "e", "ce", "t"))
-    joint = pairs.join(firsts, "row", "left_semi").groupBy("e", "ce", "t").agg(F.count(F.lit(1)).alias("cte"))
+    known = mentions.join(of_entity, "e").groupBy("row").agg(F.collect_set(F.struct("same", "ce")).alias("known"))
+    listed_pairs = about.join(known, "row").select("row", F.explode("known").alias("k"), "terms").select("row", "k.same", "k.ce", F.explode("terms").alias("t"))
+    pairs = saved(in_bitmap(listed_pairs.withColumn("tb", F.xxhash64("t", band(F.col("ce")))), "tb", slots).select("row", "same", "ce", "t"))
+    joint = pairs.join(firsts, "row", "left_semi").groupBy("same", "ce", "t").agg(F.count(F.lit(1)).alias("cte"))
     rate = F.col("ct") / n
     told = F.log2((F.col("cte") + rate) / (F.col("ce") + 1) / rate)
-    chosen = joint.join(of_term, "t").filter((F.col("ce") < n) & (told >= disclosure * F.log2(F.lit(n) / F.col("ce")))).select("e", "t")
-    of_row = pairs.join(chosen, ["e", "t"]).groupBy("row").agg(F.collect_set("t").alias("_terms"))
-    spans = _spans("text", TERM, "term", len(KINDS), valid="array_contains(_terms, xxhash64(lower(m)))")
-    found = rows.join(of_row, "row").select("row", "spans", spans.alias("terms"))
-    return found.select("row", F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))).alias("terms"))
+    chosen = joint.join(of_term, "t").filter((F.col("ce") < n) & (told >= disclosure * F.log2(F.lit(n) / F.col("ce")))).select("same", "t")
+    of_row = pairs.join(chosen, ["same", "t"]).groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("_terms"))
+    told_at = f"get(_terms, {_at_most('_terms', 't.t')} - 1) = t.t and not coalesce(get(_ends, {_at_most('_starts', 't.end - 1')} - 1) > t.start, false)"
+    spans = F.expr(f"transform(filter(_tokens, t -> {told_at}), t -> struct(t.start as start, {len(KINDS)} as rank, t.end as end, 'term' as kind, t.value as value))")
+    return _tokens(rows.select("row", "spans", "text").join(of_row, "row")).select("row", spans.alias("terms"))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
@@ -109,7 +147,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disc
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = saved(base_spans(docs, key, text).select(F.col(key).alias("_key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))).withColumn("row", F.monotonically_increasing_id())
     terms = disclosing_terms(rows.filter(F.size("spans") > 0).select("row", "spans", "text"), texts, disclosure)
-    none = F.expr("cast(array() as array<struct<start: int, rank: int, end: int, kind: string, value: string>>)")
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     joined = rows.select(F.col("_key").alias(key), "row", F.col("spans").alias("base")).join(terms, "row", "left")
     return joined.select(key, "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
 
@@ -119,9 +157,16 @@ def listed(spans: str) -> Column:
 
 
 def sanitised(text: str, spans: str) -> Column:
-    """The text with a label such as [email] for each base span and nothing for a term; of overlapping spans the first counts."""
-    piece = "concat(a.out, substring({t}, a.at + 1, greatest(s.start - a.at, 0)), if(s.start < a.at or s.kind = 'term', '', concat('[', s.kind, ']')))".format(t=text)
-    return F.expr(f"aggregate({spans}, struct(0 as at, '' as out), (a, s) -> struct(greatest(a.at, s.end) as at, {piece} as out), a -> concat(a.out, substring({text}, a.at + 1)))")
+    """The text with a label such as [email] for each base span and nothing for a term; of overlapping spans the first counts.
+
+    The text is cut once per chunk of spans, so that finding a place in it costs the length of a chunk's part.
+    """
+    n, one = f"size({spans})", f"get({spans}, x)"
+    place = f"if({one}.start < a.at, '', concat(substring(c.part, a.at - c.low + 1, {one}.start - a.at), if({one}.kind = 'term', '', concat('[', {one}.kind, ']'))))"
+    step = f"struct(if({one}.start < a.at, a.at, {one}.end) as at, concat(a.out, array({place})) as out)"
+    cut = f"struct(b.at as low, substring({text}, b.at + 1, greatest(get({spans}, element_at(y, -1)).start - b.at, 0)) as part)"
+    inner = f"element_at(transform(array({cut}), c -> aggregate(y, struct(b.at as at, cast(array() as array<string>) as out), (a, x) -> {step}, a -> struct(a.at as at, concat(b.out, array(array_join(a.out, ''))) as out))), 1)"
+    return F.expr(f"case when {n} > 0 then aggregate({_chunks(n)}, struct(0 as at, cast(array() as array<string>) as out), (b, y) -> {inner}, b -> concat(array_join(b.out, ''), substring({text}, b.at + 1))) else {text} end")
 
 
 def op8_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,6 +382,24 @@ def test_personal_whole_texts(spark):
     assert {"Li", "li", "R2"} <= set(terms(300)) and "Zoë" in terms(303)
 
 
+def test_personal_many_mentions(spark):
+    """A log of 20,000 addresses, and one address 20,000 times, in one text each: seconds, not hours."""
+    import time
+
+    from glyphlake.llm.personal import listed, personal_data, sanitised
+
+    log = "\n".join(f"10.{i // 250}.{i % 250}.7 host{i} sent" for i in range(20000))
+    once = "to a@b.cc now " * 20000
+    rows = [log, once, "a plain text of words", "to 10.0.1.7 it went"] + [f"more words {i}" for i in range(50)]
+    began = time.time()
+    out = personal_data(table(spark, rows)).select("doc_id", F.size("base").alias("n"), "spans", listed("base").alias("base"))
+    got = {r["doc_id"]: r for r in out.join(table(spark, rows).select("doc_id", "text"), "doc_id").select("doc_id", "n", "base", sanitised("text", "spans").alias("clean")).collect()}
+    assert time.time() - began < 60
+    assert got[0]["base"] == base_of(log) and got[1]["base"] == base_of(once)
+    assert (got[0]["n"], got[1]["n"]) == (20000, 20000) and "[ip]" in got[0]["clean"] and "10." not in got[0]["clean"]
+    assert got[1]["clean"].count("[email]") == 20000
+
+
 def test_secrets(spark):
     from glyphlake.llm.secrets import findings, labelled
 
