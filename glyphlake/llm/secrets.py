@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,10 @@ TELLING = re.compile(rf"(?i)(?<![a-z])(?:{NAMES}|key|auth|login|user)(?![a-z])")
 DOUBTFUL = re.compile(r"(?i)(?<![a-z.@/-])(?:example|sample|dummy|fake|placeholder|test|todo|sha\d*|md5|hash|digest|checksum|commit|uuid|guid|version|card|isbn|phone|order|invoice|image|base64)(?![a-z]|\.[a-z])")
 DOUBTFUL_VALUE = re.compile(r"(?i)example|sample|dummy|fake|placeholder|changeme|your|test|todo|xxx")
 TEST_PATH = re.compile(r"(?i)test|spec|example|sample|mock|fixture|doc|vendor|node_modules|lock")
-ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:[a-z0-9_-]*(?:{NAMES})[a-z0-9_-]*)[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?([^\s\"'`,;<>()]{{6,}})")
+NAMED = re.compile(rf"(?i){NAMES}")
+# Possessive loops from a left border only, so that long runs take linear time; a name is looked for in the run before the sign.
+BEFORE_SIGN = re.compile(r"(?i)(?<![a-z0-9_-])[a-z0-9_-]++(?=[\"']?\s{0,3}[=:])")
+ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'`,;<>()]{6,})")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 ROUND = 40
@@ -46,7 +50,7 @@ ASSIGN_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans (start, end, rule), without overlaps: key blocks first, then assigned values, then long runs with a digit or a known prefix."""
+    """Spans (start, end, rule), without overlaps: key blocks and assigned values, and long runs with a digit or a known prefix apart from them."""
     digits = any(d in text for d in DIGITS)
     known = any(p in text for p in PREFIXES)
     found: list[tuple[int, int, str]] = []
@@ -54,23 +58,24 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "key_block") for m in BLOCK.finditer(text)]
     low = text.lower()
     if any(h in low for h in ASSIGN_HINTS):
-        for m in ASSIGNED.finditer(text):
-            value = m[1].rstrip(".")
+        for run in BEFORE_SIGN.finditer(text):
+            m = ASSIGNED.match(text, run.end()) if NAMED.search(run[0]) else None
+            value = m[1].rstrip(".") if m else ""
             if len(value) >= 6:
                 found.append((m.start(1), m.start(1) + len(value), "assigned"))
+    out: list[tuple[int, int, str]] = []
+    for span in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    runs = []
     if digits or known:
+        starts = [x[0] for x in out]
         for m in RUN.finditer(text):
-            value = m[0]
-            if value.startswith(PREFIXES) or any(c in value for c in DIGITS):
-                found.append((m.start(), m.end(), "run"))
-    rank = {"key_block": 0, "assigned": 1, "run": 2}
-    out: list[tuple[int, int, str]] = []
-    end = -1
-    for a, b, rule in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
-        if a >= end:
-            out.append((a, b, rule))
-            end = b
-    return out
+            if m[0].startswith(PREFIXES) or any(c in m[0] for c in DIGITS):
+                k = bisect_left(starts, m.end())
+                if not k or out[k - 1][1] <= m.start():
+                    runs.append((m.start(), m.end(), "run"))
+    return sorted(out + runs)
 
 
 def _classes(value: str) -> str:
