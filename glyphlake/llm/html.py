@@ -1,19 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with its root-to-leaf path of block-level tags. Text length, punctuation and link text are
-added up per path; each block's ratios (length and punctuation per block of its path) are smoothed over its neighbours in page order
-and averaged back per path; the two are fused into one score, lowered by the share of link text; paths over a threshold taken from
-the scores' own spread are content. Headings in a content path's container come with it. Elements that are never article text (scripts,
-navigation, forms and what their tag, role, class or id calls an advert, a notice, a sidebar, reader comments and so on) are left out
-before, and where a page marks an article or main element that holds a fair part of the text, the rest is.
+A page is read once into blocks of text, each with its root-to-leaf tag path: the block-level tags above it, with their classes. Text
+length, punctuation and link text are added up per path. Each path's ratios (length and punctuation per block) are smoothed over the
+neighbours in page order and averaged back per path; the two are fused into one score, lowered by the share of link text and raised
+where the path goes through an article or main element. Blocks of the paths over a threshold, which is taken from the scores' own spread,
+are content nodes. The deepest element that holds most of their text is the article: all its blocks are kept, but for paths that are mostly
+links. Where no element but the whole page holds them, the content nodes are kept, what stands between two of them in the same element,
+headings before them, and the rest of an article or main element that has one.
+
+Elements that are never article text (scripts, navigation, forms, hidden parts) are not read. Those that class or id call an advert, a
+notice, a sidebar, reader comments and so on are left out, unless they hold most of the page's text, as a wrapper does.
 
 Nulls and edge cases: null and empty pages, and pages without content, give the empty text; unclosed and misnested tags, comments and
-references are read as browsers do; text of any length is read whole; repeated rows are extracted each; any other columns stay.
+references are read as browsers do; text of any length and depth is read whole, in linear time; an empty table gives an empty table; repeated
+rows are extracted each; any other columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,11 +38,10 @@ NEVER = frozenset("head nav aside form button select option datalist dialog menu
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar sidebars aside widget widgets "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies discussion disqus share sharing social related recommended recommendations newsletter "
-    "subscribe subscription signup login search popup modal overlay pagination pager toolbar copyright legal".split()
-)
+# Words in class or id. The first tell of themselves; the second if only words of these sets stand beside them ("site-header", but not "entry-header").
+HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr sidebar sidebars nav navbar navigation breadcrumb breadcrumbs comment comments discussion disqus newsletter subscribe pagination popup".split())
+WEAK = frozenset("banner notice notices alert aside widget widgets menu footer header masthead reply replies share sharing social related recommended recommendations subscription signup login search modal overlay pager toolbar copyright legal".split())
+BESIDE = frozenset("site page global top bottom left right main list item items box wrapper wrap container inner outer section block area bar links link button buttons form text content body title posts stories articles icons media primary secondary sticky fixed js".split())
 REMARKS = frozenset("comment comments reply replies discussion disqus".split())
 #: An opening tag that ends elements still open: what it ends, and where looking for them stops.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table"), "option": ("option", "select"), "optgroup": ("option optgroup", "select")}
@@ -51,34 +56,62 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 #: A path is content from this part of the scores' standard deviation on, and never below this part of the best score.
 SPREAD, PART = 1.0, 0.2
-#: Share of the text outside of excluded elements that a marked article must hold.
-MARKED = 0.25
+#: Factor of paths through an article or main element.
+MARKED = 4.0
+#: Part of the content nodes' text that the article's element holds, and text of a wider element, in parts of its own, that it does not exceed.
+MOST, WIDER = 0.75, 1.25
+#: Part of a page's text (of that in article and main elements, if there are any) from which a hinted element is a wrapper, and the same for readers' remarks.
+WRAPPER, REMARK_WRAPPER = 0.5, 0.9
+#: Share of link text from which a path is a list of links.
+LINKS = 0.5
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _never(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is never article text; inside: it is in an article or main element."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id"):
-            names.update(x.lower() for x in NAME.findall(value))
-    return bool(names & (REMARKS if tag in CONTENT else HINTS))
+    return False
+
+
+def _classes(attributes: str) -> tuple[str, bool, bool]:
+    """The class, and whether class or id hint at what is no article: in an article or main element, and in others."""
+    name, remark, hint = "", False, False
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            value = m[2] or m[3] or m[4] or ""
+            name = value if m[1].lower() == "class" else name
+            for token in value.split():
+                words = {x.lower() for x in NAME.findall(token)}
+                remark |= bool(words & REMARKS)
+                hint |= bool(words & HINTS) or (bool(words & WEAK) and words <= WEAK | BESIDE)
+    return name, remark, hint
 
 
 class Page:
-    """Blocks of a page in order: text, path, link characters, whether in a marked article, leaf tag and container path."""
+    """A page read once. blocks: text, path, element, length of link text, whether in an article or main element, leaf tag.
+
+    Paths, elements and hinted elements are numbers; `parents` and `hinted` give the number above each.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, int, bool, str, str]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, unwanted, in an article
+        self.blocks: list[tuple[str, int, int, int, bool, str]] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.parents: list[int] = [-1]
+        self.hinted: list[int] = [-1]
+        self.remarks: list[bool] = [False]  # of hinted elements
+        self.articles: list[int] = [-1]  # of elements: the article or main element around each
+        self.hint_of: list[int] = []  # of each block
+        self.stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]  # tag, unwanted, in an article, path, element, hinted element
+        self.open_tags: Counter[str] = Counter()
+        self.whole = {0}  # html and body elements
         self.text: list[str] = []
         self.linked = self.links = 0
         at, n = 0, len(html)
@@ -102,7 +135,7 @@ class Page:
         self.flush()
 
     def add(self, text: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
+        if not self.stack[-1][1]:
             self.text.append(text)
             if self.links:
                 self.linked += len(text)
@@ -111,13 +144,16 @@ class Page:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text:
-                tags = [x[0] for x in self.stack]
-                self.blocks.append((text, ">".join(tags), min(self.linked, len(text)), bool(self.stack) and self.stack[-1][2], tags[-1] if tags else "", ">".join(tags[:-1])))
+                tag, _, marked, path, element, hinted = self.stack[-1]
+                self.blocks.append((text, path, element, min(self.linked, len(text)), marked, tag))
+                self.hint_of.append(hinted)
             self.text = []
         self.linked = 0
 
     def pop_to(self, k: int) -> None:
         self.flush()
+        for x in self.stack[k:]:
+            self.open_tags[x[0]] -= 1
         del self.stack[k:]
 
     def open(self, tag: str, attributes: str) -> None:
@@ -135,63 +171,129 @@ class Page:
             return
         self.flush()
         self.links = 0
-        if tag == "body":
-            self.stack = [x for x in self.stack if x[0] == "html"]
+        if tag == "body" and len(self.stack) > 1:
+            self.pop_to(2 if self.stack[1][0] == "html" else 1)
         ends, stops = CLOSES.get(tag, (frozenset("p"), SCOPE))
         if tag in HEADINGS:
             ends = ends | HEADINGS
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in stops:
-                break
-            if self.stack[k][0] in ends:
-                del self.stack[k:]
-                break
-        above = self.stack[-1] if self.stack else ("", False, False)
-        unwanted = above[1] or _unwanted(tag, attributes, above[2])
-        self.stack.append((tag, unwanted, above[2] or tag in CONTENT))
+        if any(self.open_tags[t] > 0 for t in ends):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in stops:
+                    break
+                if self.stack[k][0] in ends:
+                    self.pop_to(k)
+                    break
+        _, unwanted, inside, path, element, hinted = self.stack[-1]
+        unwanted = unwanted or _never(tag, attributes, inside)
+        name, remark, hint = _classes(attributes) if attributes and tag not in ("html", "body") and not unwanted else ("", False, False)
+        if remark if tag in CONTENT else hint:
+            self.hinted.append(hinted)
+            self.remarks.append(remark)
+            hinted = len(self.hinted) - 1
+        path = self.paths.setdefault((path, f"{tag}.{name}"), len(self.paths) + 1)
+        marks = tag in CONTENT and not remark
+        self.parents.append(element)
+        self.articles.append(len(self.parents) - 1 if marks and (tag == "article" or not inside) else self.articles[element])
+        self.stack.append((tag, unwanted, inside or marks, path, len(self.parents) - 1, hinted))
+        self.open_tags[tag] += 1
+        if tag in ("html", "body"):
+            self.whole.add(len(self.parents) - 1)
 
     def close(self, tag: str) -> None:
         if tag in INLINE:
             if tag == "a" and self.links:
                 self.links -= 1
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.pop_to(k)
-                return
+        if self.open_tags[tag] > 0:
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] == tag:
+                    self.pop_to(k)
+                    return
 
+    def container(self, element: int) -> bool:
+        """Whether it is a part of the page, not the whole."""
+        return element not in self.whole
 
-def content(html: str | None) -> str:
-    """The main text of a page."""
-    blocks = Page(html).blocks if html else []
-    if not blocks:
-        return ""
-    size = np.array([len(b[0]) for b in blocks], float)
-    marked = np.array([b[3] for b in blocks])
-    if size[marked].sum() >= MARKED * size.sum():
-        blocks, size = [b for b in blocks if b[3]], size[marked]
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b[1] for b in blocks))}
-    at = np.array([paths[b[1]] for b in blocks])
+    def wanted(self) -> list[tuple[str, int, int, int, bool, str]]:
+        """The blocks without those below hinted elements, unless these hold most of the text."""
+        size, marked = [0] * len(self.hinted), [0] * len(self.hinted)
+        for b, h in zip(self.blocks, self.hint_of, strict=True):
+            size[h] += len(b[0])
+            marked[h] += len(b[0]) * b[4]
+        for h in range(len(size) - 1, 0, -1):
+            size[self.hinted[h]] += size[h]
+            marked[self.hinted[h]] += marked[h]
+        held = marked if marked[0] else size
+        out = [False] * len(size)
+        for h in range(1, len(size)):
+            out[h] = out[self.hinted[h]] or held[h] <= (REMARK_WRAPPER if self.remarks[h] else WRAPPER) * held[0]
+        return [b for b, h in zip(self.blocks, self.hint_of, strict=True) if not out[h]]
+
+
+def path_scores(size: np.ndarray, marks: np.ndarray, links: np.ndarray, marked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fused score and share of link text per path, from what each block has; at: the path of each block."""
     count = np.bincount(at)
-    marks = np.array([len(PUNCTUATION.findall(b[0])) for b in blocks], float)
-    links = np.bincount(at, [b[2] for b in blocks]) / np.maximum(np.bincount(at, size), 1)
 
     def smoothed(x: np.ndarray) -> np.ndarray:
         ratio = (np.bincount(at, x) / count)[at]
         wide = np.concatenate([ratio[:1], ratio, ratio[-1:]])
         return np.bincount(at, 0.25 * wide[:-2] + 0.5 * wide[1:-1] + 0.25 * wide[2:]) / count
 
-    score = smoothed(size) * (1 + smoothed(marks)) * (1 - links)
+    share = np.bincount(at, links) / np.maximum(np.bincount(at, size), 1)
+    inside = np.bincount(at, marked) / count
+    return smoothed(size) * (1 + smoothed(marks)) * (1 - share) * (1 + (MARKED - 1) * inside), share
+
+
+def content(html: str | None) -> str:
+    """The main text of a page."""
+    page = Page(html) if html else None
+    blocks = page.wanted() if page else []
+    if not blocks:
+        return ""
+    size = np.array([len(b[0]) for b in blocks], float)
+    marked = np.array([b[4] for b in blocks], float)
+    _, at = np.unique([b[1] for b in blocks], return_inverse=True)
+    score, share = path_scores(size, np.array([len(PUNCTUATION.findall(b[0])) for b in blocks], float), np.array([b[3] for b in blocks], float), marked, at)
     floor = min(max(SPREAD * score.std(), PART * score.max()), score.max())
-    chosen = score >= floor
-    holders = {p.rpartition(">")[0] for p, i in paths.items() if chosen[i]} | {p for p, i in paths.items() if chosen[i]}
-    within = tuple(h + ">" for h in holders)
-    kept = []
-    for k, b in enumerate(blocks):
-        near = b[5] in holders or (b[1] + ">").startswith(within)
-        if chosen[at[k]] or (near and (b[4] in HEADINGS or links[at[k]] < 0.5)):
-            kept.append(b[0])
-    return "\n\n".join(kept)
+    chosen = (score >= floor)[at]
+    # The deepest element around chosen blocks with most of their text; elements are numbered so that parents come first.
+    up, holder = page.parents, [max(page.parents[b[2]], 0) for b in blocks]
+    held, whole = np.zeros(len(up)), np.zeros(len(up))
+    np.add.at(held, holder, size * chosen)
+    np.add.at(whole, holder, size)
+    depth, inside = [0] * len(up), [False] * len(up)
+    for e in range(len(up) - 1, 0, -1):
+        held[up[e]] += held[e]
+        whole[up[e]] += whole[e]
+    for e in range(1, len(up)):
+        depth[e] = depth[up[e]] + 1
+    article = max(np.flatnonzero(held >= MOST * held[0]).tolist(), key=lambda e: depth[e])
+    if page.articles[article] > 0:
+        article = page.articles[article]
+    while article and page.container(up[article]) and page.articles[article] < 0 and whole[up[article]] <= WIDER * whole[article]:
+        article = up[article]
+    for e in range(len(up)):
+        inside[e] = e == article or (e > 0 and inside[up[e]])
+    if article and page.container(article):
+        kept = np.array([inside[b[2]] and bool(chosen[k] or b[4] or share[at[k]] < LINKS) for k, b in enumerate(blocks)])
+        first = int(kept.argmax())
+        if first and kept[first] and not marked[first] and blocks[first - 1][5] in HEADINGS:
+            kept[first - 1] = True
+        return "\n\n".join(b[0] for k, b in enumerate(blocks) if kept[k])
+    kept = chosen.copy()
+    last: dict[int, int] = {}
+    for k in np.flatnonzero(chosen).tolist():
+        above = up[blocks[k][2]]
+        if above in last:
+            between = range(last[above] + 1, k)
+            kept[[j for j in between if up[blocks[j][2]] == above and share[at[j]] < LINKS]] = True
+        last[above] = k
+    for k in range(len(blocks) - 2, -1, -1):
+        if blocks[k][5] in HEADINGS and kept[k + 1]:
+            kept[k] = True
+    if (chosen & (marked > 0)).any():
+        kept |= marked > 0
+    return "\n\n".join(b[0] for k, b in enumerate(blocks) if kept[k])
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

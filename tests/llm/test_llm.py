@@ -175,10 +175,17 @@ def test_packing_rounds(spark):
     assert pack(df.limit(0)).count() == 0
 
 
+LONG = "It was a long day, and the rain, which had not stopped, went on; nobody knew why. It went on and on, as it does, until the night."
 PAGES = [
     ("<html><nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>Some text, with marks; and more.<br>It goes on &amp; on.<p>Second <b>block</b> here, also long enough.</article><footer>&copy; me</footer>", "Head\n\nSome text, with marks; and more. It goes on & on.\n\nSecond block here, also long enough."),
     ('<div class="cookie-notice">We use cookies, yes.</div><div id=main><h2>Title</h2><p>A paragraph of text, long enough to count. It has marks.</p><p>Another paragraph, much like it. It has marks.</p></div><section id="comments"><p>I object, strongly, to all this.</p></section>', "Title\n\nA paragraph of text, long enough to count. It has marks.\n\nAnother paragraph, much like it. It has marks."),
     ("<script>if (a < b) x('</p>')</script><p>only this</p>", "only this"),
+    (f"<body><div>Home / About / Contact</div><div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div>Read also: Other thing</div></body>", f"Title\n\n{LONG}\n\nShort one.\n\n{LONG}"),
+    (f"<nav>x</nav><article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p><ul><li><a href=x>linked item</a></li><li>plain item</li></ul></article>", f"T\n\n{LONG}\n\nlinked item\n\nplain item"),
+    (f"<article><h1>T</h1><p>{LONG}</p></article><div class='comments'><p>{LONG} {LONG} {LONG}</p></div>", f"T\n\n{LONG}"),
+    (f"<main><div class='social-history'><p>{LONG}</p></div><p>{LONG}</p></main>", f"{LONG}\n\n{LONG}"),
+    (f"<div class='has-sidebar'><div class='sidebar'><p>{LONG}</p></div><div class='c'><p>{LONG} {LONG}</p></div></div>", f"{LONG} {LONG}"),
+    (f"<body><h1>T</h1><p>{LONG}</p><ul><li><a>a</a></li><li><a>b</a></li></ul><p>{LONG}</p><div>&copy; 2020 x</div></body>", f"T\n\n{LONG}\n\n{LONG}"),
     ("plain text", "plain text"), (None, ""), ("", ""), ("<p></p><!-- open", ""), ("a < b", "a < b"),
 ]
 
@@ -190,6 +197,38 @@ def test_html(spark):
     assert {r["page_id"]: r["text"] for r in extracted(df).collect()} == {i: t for i, (_, t) in enumerate(PAGES)}
 
 
+def test_html_deep_and_empty(spark):
+    import time
+
+    from glyphlake.llm.html import content, extracted
+
+    began = time.time()
+    assert content("<div>" * 30000 + f"<p>{LONG}</p>" + "</div>" * 30000) == LONG
+    assert content("<ul><li>" * 20000 + LONG) == LONG
+    assert time.time() - began < 20
+    df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>")], "page_id long, url string, html string")
+    assert extracted(df.limit(0)).count() == 0 and extracted(df.union(df)).count() == 2
+
+
+def test_html_path_scores():
+    """Scores against the definition, path by path."""
+    import numpy as np
+
+    from glyphlake.llm.html import MARKED, path_scores
+
+    r = np.random.default_rng(1)
+    at = np.concatenate([np.arange(5), r.integers(0, 5, 40)])
+    size, marks = r.integers(1, 300, 45).astype(float), r.integers(0, 9, 45).astype(float)
+    links, inside = np.floor(size * r.random(45)), (r.random(45) < 0.5).astype(float)
+    score, share = path_scores(size, marks, links, inside, at)
+    for p in range(5):
+        own = [k for k in range(45) if at[k] == p]
+        mean = lambda x, q: np.mean([x[k] for k in range(45) if at[k] == q])
+        near = lambda x: np.mean([0.25 * mean(x, at[max(k - 1, 0)]) + 0.5 * mean(x, at[k]) + 0.25 * mean(x, at[min(k + 1, 44)]) for k in own])
+        assert np.isclose(share[p], sum(links[own]) / sum(size[own]))
+        assert np.isclose(score[p], near(size) * (1 + near(marks)) * (1 - share[p]) * (1 + (MARKED - 1) * mean(inside, p)))
+
+
 def test_html_articles(spark):
     import html as H
 
