@@ -45,8 +45,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Substring dedup: words of passages that a document with a smaller id has go; a text that loses none stays as it is."""
     importable(spark)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = repeats.remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))).select("_row.*", text.alias("_text"))
-    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # no column can clash with those of the operator
+    out = repeats.remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias("_row"))).select("doc_id", text.alias("text"), "_row.*")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,11 +77,18 @@ STAGES = [("quality rules", keep_good), ("n-gram Jaccard join", keep_one_of_each
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what goes between them is written to the shared checkpoint folder."""
+    """All stages over the documents; what goes between them is written to the shared checkpoint folder, where the last stage's rows stay."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

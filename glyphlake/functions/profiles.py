@@ -16,12 +16,10 @@ class Profile:
     punctuation: str
     shifts: tuple[tuple[str, str], ...]
     replacements: tuple[tuple[str, str], ...] = ()
-    allowed: str = ".,;:!?\"'«»„“”–—‐‑-()[]{}/*+=@#%&_<>|\\`~^№°§·…"
     unwanted: str = field(init=False)
 
     def __post_init__(self):
-        marks = "".join("\\" + c for c in self.allowed)
-        object.__setattr__(self, "unwanted", rf"[^{self.letters}{self.letters.upper()}A-Za-z\p{{Nd}}\s{marks}]")
+        object.__setattr__(self, "unwanted", rf"\p{{C}}|[\p{{L}}&&[^{self.letters}{self.letters.upper()}A-Za-z]]")
 
     def both_ways(self, pairs: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
         return sorted({*pairs, *((b, a) for a, b in pairs)})

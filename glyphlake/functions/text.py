@@ -18,6 +18,15 @@ BATCH_LINES = (r"(?m)^\s*#\d+\s*$", r"(?m)^\s*BATCH\s+\d+\s*$", r"(?m)^\s*={3,}.
 DASHES = (r"[—\-]{3,}", r"\s*[—\-]{2,}\s*", r"(?m)^\s*[—\-]{2,}\s*$", r"[—\-]{2,}(\s*[—\-]{2,})+")
 
 
+#: What a text must hold for any pattern of the kind to match; most texts hold nothing of it and are left as they are.
+PAGE_SIGNS, BATCH_SIGNS, DASH_SIGNS = r"[Pp]age|PAGE|-{3}", r"#|BATCH|={3}|\*{3}|МАКЕДОНСКИ|Датум:|\n{3}", r"[—\-]{2}"
+
+
+def _where(text: Column, signs: str, change) -> Column:
+    """The change of texts that hold one of the signs. The text is bound once: a column that is named twice is computed twice."""
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(t.rlike(signs), change(t)).otherwise(t)), 1)
+
+
 def has_page_marker(text: Column) -> Column:
     found = F.lit(False)
     for p in PAGE_MARKERS:
@@ -25,20 +34,22 @@ def has_page_marker(text: Column) -> Column:
     return found
 
 
-def without_page_markers(text: Column) -> Column:
-    for p in PAGE_MARKERS:
-        text = F.regexp_replace(text, p, "")
+def _replaced(text: Column, patterns: tuple[str, ...], by: str) -> Column:
+    for p in patterns:
+        text = F.regexp_replace(text, p, by)
     return text
 
 
+def without_page_markers(text: Column) -> Column:
+    return _where(text, PAGE_SIGNS, lambda t: _replaced(t, PAGE_MARKERS, ""))
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def without_batch_lines(text: Column) -> Column:
-    for p in BATCH_LINES:
-        text = F.regexp_replace(text, p, "")
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return _where(text, BATCH_SIGNS, lambda t: F.regexp_replace(_replaced(t, BATCH_LINES, ""), r"\n{3,}", "\n\n"))
 
 
 def batch_lines_removed(text: Column) -> Column:
@@ -46,9 +57,7 @@ def batch_lines_removed(text: Column) -> Column:
 
 
 def without_dash_noise(text: Column) -> Column:
-    for p in DASHES:
-        text = F.regexp_replace(text, p, " ")
-    return stripped(F.regexp_replace(text, r"\s{2,}", " "))
+    return stripped(F.regexp_replace(_where(text, DASH_SIGNS, lambda t: _replaced(t, DASHES, " ")), r"\s{2,}", " "))
 
 
 def stripped(text: Column) -> Column:
@@ -134,10 +143,9 @@ def in_script(token: Column, profile: Profile = MACEDONIAN) -> Column:
 
 
 def sanitized(text: Column, profile: Profile = MACEDONIAN) -> Column:
-    """Letters of kindred alphabets become the profile's; what is then neither its letter, ASCII, white space nor allowed punctuation goes."""
+    """Letters of kindred alphabets become the profile's; control signs, new lines among them, and letters that are then neither its own nor ASCII go."""
     for a, b in profile.replacements:
         text = F.replace(text, F.lit(a), F.lit(b))
-    text = F.regexp_replace(text, r"[\p{C}&&[^\n]]", "")
     return F.regexp_replace(text, profile.unwanted, "")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.edits import reduction
+from glyphlake.sources.tables import written
 
 BINS = 10
 REQUIRED = ("doc_id", "split", "subset_domain", "sample_id", "input_noisy", "prediction", "changed_flag")
@@ -56,16 +57,25 @@ def oracle_best(variants: DataFrame, sample: str = "sample_id", rank: str = "ran
     return best.agg(F.avg("b.cer").alias("oracle_cer"), F.avg("b.wer").alias("oracle_wer"), F.count(F.lit(1)).alias("n"))
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """The rows with `i`, their place from 0 in the order. Ranges of the order are sorted and written, then counted, so no task sees all rows."""
+    dealt = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("i", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def bootstrap(deltas: DataFrame, delta: str = "delta", order: str = "sample_id", resamples: int = 1000, salt: str = "boot") -> DataFrame:
     """Mean delta, its 95 % interval and two-sided p from resamples drawn by hash: draw k of resample b takes row md5(b:k:salt) mod n.
 
-    A resample is a count per row, so only sums per resample are shuffled. Deltas are per-sample scores of an evaluation set.
+    Rows are numbered within ranges of the order, which are then set one after another. Deltas are per-sample scores of an evaluation set.
     """
     n = deltas.count()
     if not n:
         return deltas.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 1.0, 0)], "mean double, low double, high double, p double, n long")
-    rows = deltas.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(delta).alias("d"))
-    grid = deltas.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    rows = numbered(deltas.select(order, F.col(delta).alias("d")), order).select("i", "d")
+    grid = deltas.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "k", F.lit(salt))), 1, 8), 16, 10).cast("bigint") % n
     means = grid.select("b", pick.alias("i")).join(rows, "i").groupBy("b").agg(F.avg("d").alias("m"))
     listed = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # `resamples` numbers

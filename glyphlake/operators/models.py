@@ -122,16 +122,46 @@ def channel_distance(noisy: Column, hyp: Column) -> Column:
 
 # Candidates
 
+#: Words up to this length meet by what is left after deletions, longer ones by parts that edits leave whole.
+SHORT = 20
+
+
+def _left_after(word: Column, edits: int) -> Column:
+    """The distinct strings that up to `edits` deletions of a letter leave."""
+    once = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    found = last = F.array(word)
+    for _ in range(edits):
+        last = F.array_distinct(F.flatten(F.transform(last, once)))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
+def within_edits(words_table: DataFrame, cands: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(word, cand, distance) of the pairs within `edits` of each other, from distinct (word) and (cand).
+
+    Two words within k edits leave a common string after k deletions each, so short words join on these. Of k + 1 parts of a long word, one
+    is in the other word, at most k places off; so long words join on length, part and its number. No key gathers all words of a length.
+    """
+    short = lambda df, c: df.filter(F.length(c) <= SHORT + edits).select(c, F.explode(_left_after(F.col(c), edits)).alias("key"))
+    parts, n = edits + 1, F.length("cand")
+    start = lambda i, n: F.floor(n * i / parts).cast("int")
+    own = cands.filter(n > SHORT).select("cand", F.explode(F.array(*[F.concat_ws(":", n, F.lit(i), F.substring("cand", start(i, n) + 1, start(i + 1, n) - start(i, n))) for i in range(parts)])).alias("key"))
+    size = F.length("word") + F.col("d")
+    shifted = words_table.filter(F.length("word") > SHORT).select("word", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("d")).select("word", size.alias("m"), F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("s"))
+    other = shifted.select("word", F.explode(F.array(*[F.when(start(i, F.col("m")) + F.col("s") >= 0, F.concat_ws(":", "m", F.lit(i), F.substring("word", start(i, F.col("m")) + F.col("s") + 1, start(i + 1, F.col("m")) - start(i, F.col("m"))))) for i in range(parts)])).alias("key")).distinct()
+    met = short(words_table, "word").join(short(cands, "cand"), "key").unionByName(other.join(own, "key")).select("word", "cand")
+    return met.withColumn("distance", F.levenshtein("word", "cand", edits)).filter("distance >= 0").distinct()
+
 
 def candidates(types: DataFrame, lexicon_table: DataFrame, swaps: DataFrame, scores: DataFrame | None = None, edits: int = EDITS, pool: int = POOL, top: int = TOP) -> DataFrame:
     """(word, cand, rank) for distinct words: itself, the lexicon within `edits` of it, and each confusion of a letter swapped; the best by `scores` (word, logp).
 
-    Length blocks the join, and two words within two edits share a deletion variant's length only, so the join key is the length and the
-    check is the capped distance; `pool` and `top` are the corrector's own beam sizes.
+    `pool` and `top` are the corrector's own beam sizes.
     """
     alpha = types.filter(F.col("word").rlike(r"^\p{L}+$")).withColumn("low", F.lower("word"))
-    wide = alpha.withColumn("len", F.explode(F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda d: F.length("low") + d)))
-    near = wide.join(lexicon_table.withColumnRenamed("word", "cand"), "len").filter(F.levenshtein("low", "cand", edits) >= 0)
+    lexemes = lexicon_table.withColumnRenamed("word", "cand")
+    met = within_edits(alpha.select(F.col("low").alias("word")).distinct(), lexemes.select("cand"), edits).withColumnRenamed("word", "low")
+    near = alpha.join(met, "low").join(lexemes, "cand")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.abs(F.length("low") - F.col("len")), F.desc("n"), "cand"))).filter(F.col("r") <= pool).select("word", "cand")
     letters = alpha.select("word", "low", F.explode(F.array_distinct(F.split("low", ""))).alias("noisy"))
     swapped = letters.join(F.broadcast(swaps.select("noisy", "hyp").distinct()), "noisy").select("word", F.expr("replace(low, noisy, hyp)").alias("cand"))  # swaps: all pairs of letters seen, bounded by the alphabet

@@ -24,14 +24,20 @@ def js_divergence(p: DataFrame, q: DataFrame, key: str, n: str = "n") -> DataFra
 
 
 def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row `ks`: the largest difference of the two empirical distributions; 0 if either is empty.
+    """One row `ks`: the largest difference of the two empirical distributions of a number; 0 if either is empty.
 
-    Values are counted first, so the running sums go over distinct values.
+    Values are counted first, so the running sums go over distinct values: within ranges, cut at quantiles, and over the ranges' totals.
     """
     rows = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     per = rows.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy"))
+    per = per.filter("v is not null")
+    ranges = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.broadcast(per.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)] or [0.5]).alias("cuts")))  # one row
+    dealt = per.crossJoin(cuts).withColumn("range", F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c <= F.col("v")))).drop("cuts")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = dealt.groupBy("range").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).select("range", F.coalesce(F.sum("x").over(before), F.lit(0)).alias("bx"), F.coalesce(F.sum("y").over(before), F.lit(0)).alias("by"))
+    w = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.join(F.broadcast(base), "range").select((F.col("bx") + F.sum("x").over(w)).alias("cx"), (F.col("by") + F.sum("y").over(w)).alias("cy"))
     total = per.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
     return run.crossJoin(F.broadcast(total)).agg(F.coalesce(F.max(F.abs(F.try_divide(F.col("cx"), F.col("nx")) - F.try_divide(F.col("cy"), F.col("ny")))), F.lit(0.0)).alias("ks"))  # one row
 

@@ -31,6 +31,7 @@ def alignment(books: DataFrame, splits: DataFrame, profile: Profile = MACEDONIAN
     cut = lambda t: T.extracted_sentences(t, profile)
     sentences = align.as_sentences(books, key, "noisy", "noisy", cut).unionByName(align.as_sentences(books, key, "clean", "clean", cut))
     pairs = align.sentence_pairs(sentences, key).join(splits, key, "left").withColumn("split", F.coalesce("split", F.lit("unassigned")))
+    pairs = tables.written(pairs)  # all tables come from it, and the sentences are aligned once
     keys = [key, "split", F.col("pos").alias("pair_pos")]
     keyed = pairs.select(*keys, "noisy", "clean")
     names = [key, "split", "pair_pos"]
@@ -134,8 +135,9 @@ def reports(records: DataFrame, baseline: DataFrame, seeds: int = 1000) -> dict[
 
 
 def corpus(spark: SparkSession, raw: str, corrected: str, splits: DataFrame, out: str, profile: Profile = MACEDONIAN) -> dict[str, DataFrame]:
-    """Folders of raw and corrected books to the tables of alignment and error analysis under `out`."""
+    """Folders of raw and corrected books to the tables of alignment and error analysis under `out`; made anew where a file has changed."""
     books = tables.book_pairs(spark, raw, corrected)
-    aligned = {k: stage(spark, out, k, {"raw": raw, "corrected": corrected}, lambda v=v: v) for k, v in alignment(books, splits, profile).items()}
-    analysed = {k: stage(spark, out, k, {"raw": raw, "corrected": corrected}, lambda v=v: v) for k, v in error_analysis(aligned["char_ops"], aligned["word_ops"], aligned["boundary"], profile=profile).items()}
+    content = {"raw": tables.listing(spark, raw), "corrected": tables.listing(spark, corrected)}
+    aligned = {k: stage(spark, out, k, content, lambda v=v: v) for k, v in alignment(books, splits, profile).items()}
+    analysed = {k: stage(spark, out, k, content, lambda v=v: v) for k, v in error_analysis(aligned["char_ops"], aligned["word_ops"], aligned["boundary"], profile=profile).items()}
     return aligned | analysed

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
-from glyphlake.functions.profiles import LATIN
+from glyphlake.functions.profiles import LATIN, MACEDONIAN
 from glyphlake.operators import align, models
 from glyphlake.plans.registry import query, table
 
@@ -47,7 +47,22 @@ def _cleaned_sql() -> str:
 @query(f"SELECT doc_id, md5({_cleaned_sql()}) AS digest, length({_cleaned_sql()}) AS n FROM documents")
 def cleaned_text(spark, sf_dir):
     text = T.without_dash_noise(T.without_batch_lines(T.without_page_markers(F.col("text"))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("cleaned")).select("doc_id", F.md5("cleaned").alias("digest"), F.length("cleaned").alias("n"))
+
+
+#: Texts with a page marker, a batch line and runs of dashes put in, by the document's number.
+MARKED = r"concat(text, chr(10), '-- Page ', doc_id % 9, ' --', chr(10), 'BATCH ', doc_id % 7, chr(10), '#', doc_id, chr(10), chr(10), chr(10), 'a -- b --- ', substr(text, 1, 30), chr(10), '=== part ===', chr(10), '----', chr(10), '[Page 3] end')"
+
+
+@query(f"SELECT doc_id, md5({_cleaned_sql()}) AS digest, length({_cleaned_sql()}) AS n FROM (SELECT doc_id, {MARKED} AS text FROM documents)")
+def cleaned_marked_text(spark, sf_dir):
+    text = T.without_dash_noise(T.without_batch_lines(T.without_page_markers(F.expr(MARKED.replace("chr(10)", "char(10)")))))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("cleaned")).select("doc_id", F.md5("cleaned").alias("digest"), F.length("cleaned").alias("n"))
+
+
+@query(rf"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(concat(text, ' 5€ x² ¿ж Кé'), '\p{{C}}', '', 'g'), ''), lambda c: NOT regexp_matches(c, '\p{{L}}') OR regexp_matches(c, '[A-Za-z{MACEDONIAN.letters}{MACEDONIAN.letters.upper()}]')), '')) AS digest FROM documents")
+def sanitized_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.sanitized(F.concat("text", F.lit(" 5€ x² ¿ж Кé")))).alias("digest"))
 
 
 SENTENCES = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
@@ -174,10 +189,8 @@ ASCII = rf"SELECT DISTINCT word FROM ({TYPES}) WHERE regexp_full_match(word, '[a
 
 @query(f"SELECT a.word AS word, b.word AS cand, levenshtein(a.word, b.word) AS distance FROM ({ASCII}) a JOIN ({ASCII}) b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
 def length_blocked_candidates(spark, sf_dir):
-    words = _types(spark, sf_dir).filter(F.col("word").rlike("^[a-z]+$")).withColumn("len", F.length("word"))
-    wide = words.select("word", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.col("len") + d)).alias("len"))
-    joined = wide.join(words.withColumnRenamed("word", "cand"), "len").withColumn("distance", F.levenshtein("word", "cand", 2))
-    return joined.filter("distance >= 0").select("word", "cand", "distance")
+    words = _types(spark, sf_dir).filter(F.col("word").rlike("^[a-z]+$")).select("word").distinct()
+    return models.within_edits(words, words.toDF("cand"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), ' '), '\s+([,.;:!?])', '\1', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g')) AS digest FROM documents")

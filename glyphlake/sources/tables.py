@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,12 +19,29 @@ CORRECTED = ("%s_corrected.txt", "%s_corrected.txt.txt", "%s.txt", "%s_gt.txt",
 RAW = r"^(.*)_ocr_raw\.txt(?:\.txt)?$"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that the cluster names in spark.checkpoint.dir; one of this machine only where Spark is local and none is named."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(name, path, text), one row per whole file."""
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows
 
 
+def listing(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of a folder's files, which tells whether any has changed."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "length", "modificationTime")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("x")).select(F.concat_ws(":", "n", "x")).first()[0]
+
+
 def book_pairs(spark: SparkSession, raw_folder: str, corrected_folder: str) -> DataFrame:
     """(book, noisy, clean): raw texts with the corrected text of the best matching name; books without one do not come (see `unmatched`)."""
     raw = texts(spark, raw_folder).withColumn("book", F.regexp_extract("name", RAW, 1)).filter("book <> ''").dropDuplicates(["book"])

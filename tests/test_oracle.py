@@ -1,6 +1,7 @@
 """Every query against its SQL, over whole tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import DATA
 
@@ -10,7 +11,7 @@ SF = f"{DATA}/sf0.001"
 
 
 def cell(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))

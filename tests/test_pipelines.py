@@ -37,7 +37,8 @@ def test_corpus(spark, books, tmp_path):
     assert sub["n"] == 1
     fam = out["families"].filter("clean = 'а' and noisy = 'a'").first()
     assert fam["is_homoglyph"] and not fam["is_diacritic"]
-    again = pipelines.stage(spark, str(tmp_path), "pairs", {"raw": books[0], "corrected": books[1]}, lambda: 1 / 0)
+    content = {"raw": tables.listing(spark, books[0]), "corrected": tables.listing(spark, books[1])}
+    again = pipelines.stage(spark, str(tmp_path), "pairs", content, lambda: 1 / 0)
     assert again.count() == 6
 
 
