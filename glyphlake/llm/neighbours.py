@@ -2,7 +2,7 @@
 
 Equal vectors are one class. A first neighbour graph comes from sorted runs in buckets of sign hashes. Rounds of NN-descent follow: every vector's
 neighbours, and those it is a neighbour of, meet at the vector, and each pair among them that is new may enter both lists. A list
-keeps the K best. Rounds go on until at most the share SETTLED of the entries changes; where nothing around a vector has changed, no pair
+keeps the K best. Rounds go on until at most the share SETTLED of the links is new; where nothing around a vector has changed, no pair
 is compared again. A list is saturated if all its K entries are links: such vectors have their lists enlarged to all vectors of their link
 component, block by block, and only the counts go on. Links below the threshold never count: every link is a cosine in double precision
 of both whole vectors.
@@ -29,7 +29,7 @@ from glyphlake.llm.components import components
 from glyphlake.llm.words import saved
 
 K = 12
-#: Share of the entries that may still change when rounds end.
+#: Share of the links that may still be new when rounds end.
 SETTLED = 0.001
 #: Tables of sign hashes at least, vectors in a bucket on average, and how far apart in a bucket two vectors may be to meet.
 TABLES, FILL, NEAR = 24, 2, 4
@@ -159,14 +159,17 @@ def _descend(graph: DataFrame, sent: DataFrame, nodes: DataFrame, k: int) -> Dat
     return ordered.mapInArrow(meet, "a long, b long, cos double")
 
 
-def _settled(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The graph after rounds of local joins, until few entries change."""
+def _settled(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The graph after rounds of local joins, until few links are new. Lists that links saturate do not count: they are enlarged later."""
     met = None
     while True:
         sent = saved(_sent(graph, k))
         fresh = sent if met is None else sent.join(sent.join(met, ["at", "class"], "left_anti").select("at").distinct(), "at", "left_semi")
         new = saved(_best(graph.select("a", "b", "cos").unionByName(_descend(graph, fresh, nodes, k)), k))
-        changed, total = new.join(graph, ["a", "b"], "left_anti").count(), new.count()
+        is_link = F.col("cos") >= threshold
+        open_lists = new.groupBy("a").agg(F.count_if(is_link).alias("n")).filter(F.col("n") < k).select("a")
+        links = new.filter(is_link).join(open_lists, "a", "left_semi")
+        changed, total = links.join(graph, ["a", "b"], "left_anti").count(), links.count()
         graph, met = new, sent
         if changed <= SETTLED * total:
             return graph
@@ -282,7 +285,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     graph, first = None, 0
     while True:
         met = _first_graph(nodes, bits, first, tables)
-        graph = _settled(saved(_best(met if graph is None else graph.select("a", "b", "cos").unionByName(met), k)), nodes, k)
+        graph = _settled(saved(_best(met if graph is None else graph.select("a", "b", "cos").unionByName(met), k)), nodes, k, threshold)
         rated = _counted(graph, nodes, threshold, k)
         if _share_found(true, audited, rated) >= RECALL:
             break
