@@ -20,6 +20,14 @@ def band(m: Column, n: Column) -> Column:
     return F.when((m == 0) | (n == 0), F.lit(0.4)).otherwise(F.least(F.lit(0.4), 0.10 + 0.5 * F.abs(1 - m / n)))
 
 
+def band_join(left: DataFrame, right: DataFrame, key: str, half: float, at: str = "at") -> DataFrame:
+    """Pairs of a key whose places `at`, shares of their lengths, are at most `half` apart. Places meet in cells of that width and their neighbours."""
+    cell = F.floor(F.col(at) / (half * (1 + 1e-9))).cast("long")
+    own = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    other = right.withColumn("_cell", cell).withColumnRenamed(at, "_at")
+    return own.join(other, [key, "_cell"]).filter(F.abs(F.col(at) - F.col("_at")) <= half).drop("_cell", "_at")
+
+
 def unique_anchors(left: DataFrame, right: DataFrame, key: str, text: str = "text", size: int = 5) -> DataFrame:
     """Shingles (lower case) that occur just once on either side of a key: key, shingle and both positions."""
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from glyphlake.functions.edits import edit_ops
 from glyphlake.functions.text import LETTERS, shingles, tokens, words
+from glyphlake.sources.tables import written
 
 # Fixed values of the models and the corrector.
 CHAR_ORDER, ADD_K, TOO_SHORT = 4, 0.1, -5.0
@@ -225,40 +228,97 @@ def beam(parts: list[str], options: dict[str, list[tuple[str, float]]], lm: Back
     return [*sorted(found, key=lambda x: (-x[0], x[1])), (same + weights[0] * math.log(lm.p(ctx, END)), list(parts))]
 
 
-def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0) -> DataFrame:
-    """(key, input, prediction, margin, changed) by beam search with an accept margin, raised where a token is a name or rare.
+#: Rows of n-grams and candidates that may go through the driver to every task; beyond, each sentence gets its own by joins.
+BROADCAST = 1_000_000
 
-    The models are broadcast: lexicon, candidates and n-grams are cut to fixed sizes where they are made.
+CORRECTED = "input string, prediction string, gain double, changed boolean"
+PARTS = re.compile(r"\w+|[^\w\s]")
+
+
+def _decided(parts: list[str], text: str, options: dict, lm, table: dict, known: Callable[[str], int], margin: float, extra: float) -> tuple[str, float, bool]:
+    """(prediction, gain, whether it was taken): the best rival of the input must lead it by the margin, raised where a token is a name or rare."""
+    *best, same = beam(parts, options, lm, table)
+    rival = next((x for x in best if x[1] != parts), None)
+    need = margin + (extra if any(p[:1].isupper() or known(p.lower()) <= 1 for p in parts if p.isalpha()) else 0.0)
+    gain = rival[0] - same[0] if rival else 0.0
+    taken = rival is not None and gain >= need
+    return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(rival[1])) if taken else text, gain, taken
+
+
+def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0, limit: int = BROADCAST) -> DataFrame:
+    """(key, input, prediction, gain, changed) by beam search with an accept margin, raised where a token is a name or rare.
+
+    Models of up to `limit` rows are broadcast. For larger ones the n-grams that a sentence's candidates can form are scored by joins and come
+    with the sentence; the results are the same. The channel has a row per pair of letters and is always broadcast.
     """
-    import re
-
-    context = sentences.sparkSession.sparkContext
-    grams = [(r["ctx"], r["w"], r["n"]) for t in counts.values() for r in t.collect()]
-    held = defaultdict(list)
-    for r in options.orderBy("word", "rank").collect():
-        held[r["word"]].append((r["cand"], r["logp"] if r["logp"] is not None else TOO_SHORT))
-    shared = context.broadcast((grams, dict(held), {(r["hyp"], r["noisy"]): r["logp"] for r in channel.collect()}))
+    held, grams = [], []
+    for found, t in [(held, options.select("word", "cand", "logp", "rank")), *[(grams, t) for t in counts.values()]]:
+        found += t.limit(limit + 1).collect()
+        if len(held) + len(grams) > limit:
+            return _corrected_by_joins(sentences, key, text, options, counts, channel, margin, extra)
+    listed = defaultdict(list)
+    for r in sorted(held, key=lambda r: (r["word"], r["rank"])):
+        listed[r["word"]].append((r["cand"], r["logp"] if r["logp"] is not None else TOO_SHORT))
+    shared = sentences.sparkSession.sparkContext.broadcast(([(r["ctx"], r["w"], r["n"]) for r in grams], dict(listed), {(r["hyp"], r["noisy"]): r["logp"] for r in channel.collect()}))
     kind = sentences.schema[key].dataType.simpleString()
-    cut = re.compile(r"\w+|[^\w\s]")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, options, table = shared.value
         lm = BackOff(rows)
-        known = {w: sum(f.values()) if isinstance(f, dict) else f for w, f in lm.n.get((), {}).items()}
+        known = lm.n.get((), {})
+        for b in batches:
+            out = [(k, t, *_decided(PARTS.findall(t or ""), t, options, lm, table, lambda w: known.get(w, 0), margin, extra)) for k, t in zip(b[key], b[text], strict=True)]
+            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed"])
+
+    return sentences.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CORRECTED}")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def parts_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: PARTS.findall(t or ""))
+
+
+class _Scored:
+    """The word model of one sentence: the probabilities that joins found for it."""
+
+    def __init__(self, rows):
+        self.found = {(tuple(r["ctx"]), r["w"]): r["p"] for r in rows}
+
+    def p(self, ctx: tuple, w: str) -> float:
+        return max(self.found.get((ctx, w), FLOOR), FLOOR)
+
+
+def _corrected_by_joins(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float, extra: float) -> DataFrame:
+    """`corrected` without a model in the driver: a place has at most TOP candidates, so it asks for at most TOP^3 trigrams, scored once each."""
+    rows = written(sentences.select(key, text, parts_udf(text).alias("parts")).withColumn("_id", F.monotonically_increasing_id()))
+    listed = options.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "cand", F.coalesce("logp", F.lit(TOO_SHORT)).alias("logp")))).alias("cands"))
+    known = counts[1].select(F.col("w").alias("low"), F.col("n").alias("known"))
+    flat = rows.select("_id", F.posexplode("parts").alias("pos", "word")).withColumn("low", F.lower("word"))
+    own = F.array(F.struct(F.lit(0).alias("rank"), F.col("word").alias("cand"), F.lit(0.0).alias("logp")))
+    flat = written(flat.join(listed, "word", "left").join(known, "low", "left").withColumn("cands", F.coalesce("cands", own)).withColumn("known", F.coalesce("known", F.lit(0))))
+    lows = flat.select("_id", "pos", F.array_distinct(F.concat(F.transform("cands", lambda c: F.lower(c["cand"])), F.array("low"))).alias("w"))
+    ends = rows.select("_id", F.size("parts").alias("pos"), F.array(F.lit(END)).alias("w"))
+    order, first = Window.partitionBy("_id").orderBy("pos"), F.array(F.lit(BEGIN))
+    met = lows.unionByName(ends).select("_id", F.coalesce(F.lag("w", 2).over(order), first).alias("a"), F.coalesce(F.lag("w", 1).over(order), first).alias("b"), "w")
+    asked = met.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).select("_id", F.array("a", "b").alias("ctx"), F.explode("w").alias("w"))
+    scored = written(kneser_ney(counts, asked.select("ctx", "w").distinct()).select("ctx", "w", "p"))
+    probs = asked.join(scored, ["ctx", "w"]).groupBy("_id").agg(F.collect_set(F.struct("ctx", "w", "p")).alias("probs"))
+    places = flat.groupBy("_id").agg(F.collect_set(F.struct("word", "low", "known", "cands")).alias("places"))
+    table = sentences.sparkSession.sparkContext.broadcast({(r["hyp"], r["noisy"]): r["logp"] for r in channel.collect()})
+    kind = sentences.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, t in zip(b[key], b[text], strict=True):
-                parts = cut.findall(t or "")
-                *best, same = beam(parts, options, lm, table)
-                rival = next((x for x in best if x[1] != parts), None)
-                need = margin + (extra if any(p[:1].isupper() or known.get(p.lower(), 0) <= 1 for p in parts if p.isalpha()) else 0.0)
-                gain = rival[0] - same[0] if rival else 0.0
-                taken = rival is not None and gain >= need
-                joined = re.sub(r"\s+([,.;:!?])", r"\1", " ".join(rival[1])) if taken else t
-                out.append((k, t, joined, gain, taken))
+            for k, t, parts, places, probs in zip(b[key], b[text], b["parts"], b["places"], b["probs"], strict=True):
+                places = [] if places is None else places
+                options = {x["word"]: [(c["cand"], c["logp"]) for c in x["cands"]] for x in places}
+                seen = {x["low"]: x["known"] for x in places}
+                out.append((k, t, *_decided(list(parts), t, options, _Scored(probs), table.value, lambda w, seen=seen: seen.get(w, 0), margin, extra)))
             yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed"])
 
-    return sentences.select(key, text).mapInPandas(run, f"`{key}` {kind}, input string, prediction string, gain double, changed boolean")
+    whole = rows.join(places, "_id", "left").join(probs, "_id", "left").select(key, text, "parts", "places", "probs")
+    return whole.mapInPandas(run, f"`{key}` {kind}, {CORRECTED}")
 
 
 def is_rare(n: Column) -> Column:

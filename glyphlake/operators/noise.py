@@ -128,3 +128,29 @@ def calibrated(ops: DataFrame, boundary: DataFrame, texts: DataFrame, text: str
     clamp = lambda a, b: F.least(F.lit(1.0), F.coalesce(F.col(a) / F.greatest(b, F.lit(1)), F.lit(0.0)))
     row = rates.crossJoin(edges).crossJoin(own)  # one row each
     return row.select("p_del", "p_sub", "p_ins", clamp("splits", F.col("n_words")).alias("p_split"), clamp("merges", F.col("n_words") - 1).alias("p_merge"), *[clamp(k, F.col(f"e_{k}")).alias(f"p_{k}") for k in ("diacritic", "homoglyph", "punctuation")])
+
+
+# At training time
+
+
+def swaps(counts: DataFrame) -> DataFrame:
+    """(a, b, n, p) of single characters read as others, from confusion counts; p is of all readings of a."""
+    p = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("clean"))).filter("length(clean) = 1 and length(noisy) = 1 and clean <> noisy")
+    return p.select(F.col("clean").alias("a"), F.col("noisy").alias("b"), "n", "p")
+
+
+def training_pairs(pairs: DataFrame, key: str, table: DataFrame, same: float = 0.0, swap: float = 0.25, noisy: str = "noisy", clean: str = "clean") -> DataFrame:
+    """(key, clean, noisy): a share `same` becomes identity pairs, and in a share `swap` one letter is swapped by the weights of `swaps`."""
+    rows = pairs.select(key, F.col(clean).alias("clean"), F.when(draw(F.col(key), F.lit("same")) < same, F.col(clean)).otherwise(F.col(noisy)).alias("t"))
+    letters = F.filter(F.transform(F.split("t", ""), lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda x: x["c"].rlike(r"^\p{L}$"))
+    place = F.floor(draw(F.col(key), F.lit("place")) * F.size("_letters")).cast("int")
+    hit = F.when((F.size("_letters") > 0) & (draw(F.col(key), F.lit("swap")) < swap), F.element_at("_letters", place + 1))
+    rows = rows.withColumn("_letters", letters).withColumn("_hit", hit).drop("_letters")
+    w = Window.partitionBy("a")
+    upto = table.withColumn("hi", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w))
+    lists = upto.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("hi", "b"))).alias("_row"))
+    found = rows.join(lists, F.col("_hit.c") == F.col("a"), "left")
+    other = F.element_at(F.filter("_row", lambda x: x["hi"] > draw(F.col(key), F.lit("letter"))), 1)["b"]
+    at = F.col("_hit.at")
+    changed = F.when(F.col("_row").isNotNull(), F.concat(F.substring("t", F.lit(1), at), other, F.col("t").substr(at + 2, F.length("t")))).otherwise(F.col("t"))
+    return found.select(key, "clean", changed.alias("noisy"))

@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.plans import error_queries, registry, text_queries
+from glyphlake.plans import error_queries, registry, report_queries, text_queries
 
-MODULES = (text_queries, error_queries)
+MODULES = (text_queries, error_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
