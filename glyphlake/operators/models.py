@@ -22,6 +22,7 @@ DISCOUNT = 0.75
 SUBSTITUTED, INSERTED = -2.0, -3.0
 LEXICON, EDITS, POOL, TOP, BEAM = 120_000, 2, 64, 8, 6
 BEGIN, END = "<bos>", "<eos>"
+WEIGHTS = (1.0, 0.6, 0.3)
 FLOOR = 1e-12
 
 
@@ -205,7 +206,7 @@ class BackOff:
         return max(p, FLOOR)
 
 
-def beam(parts: list[str], options: dict[str, list[tuple[str, float]]], lm: BackOff, channel: dict, weights=(1.0, 0.6, 0.3), width: int = BEAM) -> list[tuple[float, list[str]]]:
+def beam(parts: list[str], options: dict[str, list[tuple[str, float]]], lm: BackOff, channel: dict, weights=WEIGHTS, width: int = BEAM) -> list[tuple[float, list[str]]]:
     """Best token sequences by word model, channel and mean character score; the input itself comes last, without the character term."""
     states: list[tuple[float, float, tuple[str, ...]]] = [(0.0, 0.0, ())]
     for token in parts:
@@ -231,22 +232,23 @@ def beam(parts: list[str], options: dict[str, list[tuple[str, float]]], lm: Back
 #: Rows of n-grams and candidates that may go through the driver to every task; beyond, each sentence gets its own by joins.
 BROADCAST = 1_000_000
 
-CORRECTED = "input string, prediction string, gain double, changed boolean"
+CORRECTED = "input string, prediction string, gain double, changed boolean, raised boolean"
 PARTS = re.compile(r"\w+|[^\w\s]")
 
 
-def _decided(parts: list[str], text: str, options: dict, lm, table: dict, known: Callable[[str], int], margin: float, extra: float) -> tuple[str, float, bool]:
-    """(prediction, gain, whether it was taken): the best rival of the input must lead it by the margin, raised where a token is a name or rare."""
-    *best, same = beam(parts, options, lm, table)
+def _decided(parts: list[str], text: str, options: dict, lm, table: dict, known: Callable[[str], int], margin: float, extra: float, weights: tuple) -> tuple[str, float, bool, bool]:
+    """(prediction, gain, whether it was taken, whether the margin was raised): the best rival of the input must lead it by the margin, raised where a token is a name or rare."""
+    *best, same = beam(parts, options, lm, table, weights)
     rival = next((x for x in best if x[1] != parts), None)
-    need = margin + (extra if any(p[:1].isupper() or known(p.lower()) <= 1 for p in parts if p.isalpha()) else 0.0)
+    raised = any(p[:1].isupper() or known(p.lower()) <= 1 for p in parts if p.isalpha())
+    need = margin + (extra if raised else 0.0)
     gain = rival[0] - same[0] if rival else 0.0
     taken = rival is not None and gain >= need
-    return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(rival[1])) if taken else text, gain, taken
+    return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(rival[1])) if taken else text, gain, taken, raised
 
 
-def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0, limit: int = BROADCAST) -> DataFrame:
-    """(key, input, prediction, gain, changed) by beam search with an accept margin, raised where a token is a name or rare.
+def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0, limit: int = BROADCAST, weights: tuple = WEIGHTS) -> DataFrame:
+    """(key, input, prediction, gain, changed, raised) by beam search with an accept margin, raised where a token is a name or rare.
 
     Models of up to `limit` rows are broadcast. For larger ones the n-grams that a sentence's candidates can form are scored by joins and come
     with the sentence; the results are the same. The channel has a row per pair of letters and is always broadcast.
@@ -255,7 +257,7 @@ def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, cou
     for found, t in [(held, options.select("word", "cand", "logp", "rank")), *[(grams, t) for t in counts.values()]]:
         found += t.limit(limit + 1).collect()
         if len(held) + len(grams) > limit:
-            return _corrected_by_joins(sentences, key, text, options, counts, channel, margin, extra)
+            return _corrected_by_joins(sentences, key, text, options, counts, channel, margin, extra, weights)
     listed = defaultdict(list)
     for r in sorted(held, key=lambda r: (r["word"], r["rank"])):
         listed[r["word"]].append((r["cand"], r["logp"] if r["logp"] is not None else TOO_SHORT))
@@ -267,8 +269,8 @@ def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, cou
         lm = BackOff(rows)
         known = lm.n.get((), {})
         for b in batches:
-            out = [(k, t, *_decided(PARTS.findall(t or ""), t, options, lm, table, lambda w: known.get(w, 0), margin, extra)) for k, t in zip(b[key], b[text], strict=True)]
-            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed"])
+            out = [(k, t, *_decided(PARTS.findall(t or ""), t, options, lm, table, lambda w: known.get(w, 0), margin, extra, weights)) for k, t in zip(b[key], b[text], strict=True)]
+            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed", "raised"])
 
     return sentences.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CORRECTED}")
 
@@ -288,7 +290,7 @@ class _Scored:
         return max(self.found.get((ctx, w), FLOOR), FLOOR)
 
 
-def _corrected_by_joins(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float, extra: float) -> DataFrame:
+def _corrected_by_joins(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float, extra: float, weights: tuple) -> DataFrame:
     """`corrected` without a model in the driver: a place has at most TOP candidates, so it asks for at most TOP^3 trigrams, scored once each."""
     rows = written(sentences.select(key, text, parts_udf(text).alias("parts")).withColumn("_id", F.monotonically_increasing_id()))
     listed = options.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "cand", F.coalesce("logp", F.lit(TOO_SHORT)).alias("logp")))).alias("cands"))
@@ -314,8 +316,8 @@ def _corrected_by_joins(sentences: DataFrame, key: str, text: str, options: Data
                 places = [] if places is None else places
                 options = {x["word"]: [(c["cand"], c["logp"]) for c in x["cands"]] for x in places}
                 seen = {x["low"]: x["known"] for x in places}
-                out.append((k, t, *_decided(list(parts), t, options, _Scored(probs), table.value, lambda w, seen=seen: seen.get(w, 0), margin, extra)))
-            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed"])
+                out.append((k, t, *_decided(list(parts), t, options, _Scored(probs), table.value, lambda w, seen=seen: seen.get(w, 0), margin, extra, weights)))
+            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed", "raised"])
 
     whole = rows.join(places, "_id", "left").join(probs, "_id", "left").select(key, text, "parts", "places", "probs")
     return whole.mapInPandas(run, f"`{key}` {kind}, {CORRECTED}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphlake.functions import edits
-from glyphlake.operators import align, confusion, noise, reports
+from glyphlake.operators import align, confusion, noise, reports, tuning
 from glyphlake.plans.error_queries import CHARS, FOLD, P_DEL, P_INS, P_SUB, SUBBED, _letter, _u, noised, subbed
 from glyphlake.plans.registry import query, table
 
@@ -136,3 +136,19 @@ def band_candidates(spark, sf_dir):
     s = table(spark, sf_dir, "conversations").select("conv_id", (F.row_number().over(conv.orderBy("turn", "text")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(conv).alias("n"))
     a = s.select("conv_id", "i", (F.col("i") / F.col("n")).alias("at"))
     return align.band_join(a, a.filter("i % 2 = 0").withColumnRenamed("i", "j"), "conv_id", 0.15).select("conv_id", "i", "j")
+
+
+# Acceptance token by token
+
+
+@query(r"""WITH t AS (SELECT item_id, (item_id % 7) / 4.0::DOUBLE AS lead, string_split(text, ' ') AS w FROM benchmark), e AS (SELECT item_id, lead, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM t),
+b AS (SELECT *, CASE WHEN substr(md5(tok), 1, 1) < '6' THEN tok || 'x' ELSE tok END AS best, greatest(1.0, CASE WHEN regexp_matches(tok, '^\p{Lu}') THEN 1.5 ELSE 0 END, CASE WHEN length(tok) > 7 THEN 1.3 ELSE 0 END)::DOUBLE AS need, greatest(lead, length(tok) / 5.0::DOUBLE) AS m FROM e)
+SELECT item_id, string_agg(CASE WHEN m >= need THEN best ELSE tok END, ' ' ORDER BY pos) AS chosen, count(*) FILTER (m >= need AND best <> tok) AS n_changed, round(sum(CASE WHEN best = tok THEN 0 ELSE least(1, m) END), 5) AS confidence FROM b GROUP BY item_id""")
+def token_acceptance(spark, sf_dir):
+    """Of made-up candidates, those whose lead or whose token's own lead is enough."""
+    w = F.split("text", " ")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", w.alias("tokens"), ((F.col("item_id") % 7) / 4.0).alias("lead"))
+    rows = rows.withColumns({"best": F.transform("tokens", lambda t: F.when(F.substring(F.md5(t), 1, 1) < "6", F.concat(t, F.lit("x"))).otherwise(t)), "leads": F.transform("tokens", lambda t: F.length(t) / 5.0), "is_rare": F.transform("tokens", lambda t: F.length(t) > 7)})
+    got = tuning.accepted(rows, 1.0)
+    changed = F.size(F.filter(F.arrays_zip("tokens", "chosen"), lambda z: z["tokens"] != z["chosen"])).cast("long")
+    return got.select("item_id", F.array_join("chosen", " ").alias("chosen"), changed.alias("n_changed"), F.round(F.aggregate("confidence", F.lit(0.0), lambda a, x: a + x), 5).alias("confidence"))

@@ -3,8 +3,9 @@
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from glyphlake.operators import models, reports
+from glyphlake.operators import metrics, models, reports, tuning
 from glyphlake.plans import error_queries, report_queries
+from glyphlake.sources import stores
 
 
 def test_corrector_by_joins_equals_broadcast(spark):
@@ -16,7 +17,7 @@ def test_corrector_by_joins_equals_broadcast(spark):
         a, b = take(models.BROADCAST, margin), take(0, margin)
         assert len(a) == len(b) == rows.count()
         for x, y in zip(a, b, strict=True):
-            assert x[:3] == y[:3] and x[4] == y[4] and abs(x[3] - y[3]) < 1e-6
+            assert x[:3] == y[:3] and x[4:] == y[4:] and abs(x[3] - y[3]) < 1e-6
 
 
 def test_runs_are_made_once_and_reported(spark, tmp_path):
@@ -50,3 +51,23 @@ def test_efficiency_by_rank(spark):
     rows = spark.createDataFrame([("a", float(x)) for x in (5, 1, 1, 9)] + [("b", 2.0)], "model string, ms double")
     got = {r["model"]: (r["median_ms_per_sentence"], r["p95_ms_per_sentence"]) for r in reports.efficiency(rows, ["model"]).collect()}
     assert got == {"a": (5.0, 9.0), "b": (2.0, 2.0)}
+
+
+def test_tuning_agrees_with_single_runs(spark):
+    _, pairs, options, counts, channel = error_queries._corrector(spark, f"{DATA}/sf0.001")
+    val = pairs.filter("item_id < 5").cache()
+    cells = tuning.classical_grid(val, "item_id", options, counts, channel, margins=(-5.0, 1.0), lm=(1.0,), ch=(0.6,))
+    got = {r["margin"]: r["change_rate"] for r in cells.collect()}
+    for m, rate in got.items():
+        done = models.corrected(val, "item_id", "noisy", options, counts, channel, margin=m).collect()
+        assert abs(sum(r["prediction"] != r["input"] for r in done) / len(done) - rate) < 1e-9
+    assert metrics.best_cell(cells)["mean_cer"] == min(r["mean_cer"] for r in cells.collect())
+
+
+def test_models_come_back(spark, tmp_path):
+    words = spark.createDataFrame([("a", 1)], "word string, n long")
+    stores.save_model(spark, str(tmp_path / "m"), {"lexicon": words}, {"margin": 1.0, "old": 3})
+    found, settings = stores.load_model(spark, str(tmp_path / "m"), {"margin": 2.0, "weight": 0.5})
+    assert settings == {"margin": 1.0, "weight": 0.5} and found["lexicon"].collect() == words.collect()
+    assert stores.first_document(spark, [str(tmp_path / "none"), str(tmp_path / "m" / "settings")])["margin"] == 1.0
+    assert stores.first_document(spark, [str(tmp_path / "none")], {}) == {}
