@@ -1,4 +1,4 @@
-"""Connected components of a link table."""
+"""Connected components of a link table, and a join with keys that may hold much of a table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.words import saved
 
+#: A key of more than one row in HOT is joined by broadcast; there are fewer than HOT such keys in any table.
+HOT = 1000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link; null ends and self-links do not count.
@@ -26,3 +29,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("x", F.col("new").alias("label"))
         if not moved:
             return labels.toDF("node", "component")
+
+
+def join_skewed(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """`rows` left joined with `values`, which have a key once at most and in `count` how many of the rows have it; `count` goes.
+
+    Rows of a key that holds much of the table stay where they are, so that no task gets all of them. `values` are read three times.
+    """
+    total = values.agg(F.sum(count).alias("total")).first()["total"] or 0
+    is_hot = F.col(count) * HOT > total
+    hot = saved(values.filter(is_hot))
+    some = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values.filter(~is_hot), keys, "left")
+    return some.unionByName(rest).drop(count)

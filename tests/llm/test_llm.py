@@ -568,6 +568,18 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_join_skewed(spark):
+    """Hot and rare keys, keys without a value and null keys give what a left join gives."""
+    from glyphlake.llm.components import join_skewed
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 3000 + [2] * 2 + [3, None, None])], "k long, i long")
+    values = spark.createDataFrame([(1, 3000, "a"), (2, 2, "b")], "k long, n long, v string")
+    want = sorted((r["i"], r["v"]) for r in rows.join(values, "k", "left").collect())
+    assert sorted((r["i"], r["v"]) for r in join_skewed(rows, values, ["k"], "n").collect()) == want
+    assert join_skewed(rows, values.limit(0), ["k"], "n").filter("v is null").count() == rows.count()
+    assert join_skewed(rows.limit(0), values.limit(0), ["k"], "n").count() == 0
+
+
 def test_bitmap(spark):
     from glyphlake.llm.words import bitmap, in_bitmap
 
