@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from glyphlake.llm.words import as_long, slices, text_bytes, word_hashes
 
 PER_FORMAT, DICTIONARY, THRESHOLD, SEED = 200, 20_000, 0.5, 7
+#: Lists of common words that are merged in one task.
+FAN = 16
 TREES, DEPTH = 40, 8
 
 # Names that secrets are assigned to, prefixes of known key formats, and words that tell for or against.
@@ -143,7 +145,10 @@ def labelled(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str,
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[int]:
-    """Hashes of the most common words, by their counts over all texts and then by hash, however the texts are dealt."""
+    """Hashes of the most common words, by their counts over all texts and then by hash, however the texts are dealt.
+
+    Tasks keep `size` words each, which are merged FAN tasks at a time: no task and not the driver gets more than FAN times `size` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
@@ -153,7 +158,22 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> l
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n)], names=["word", "n"])
 
     counts = text_bytes(docs, text=text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            word, n = np.concatenate([word, b.column(0).to_numpy()]), np.concatenate([n, b.column(1).to_numpy()])
+            if len(word) > 4 * size:
+                at = np.lexsort((word, -n))[:size]
+                word, n = word[at], n[at]
+        at = np.lexsort((word, -n))[:size]
+        yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(n[at])], names=["word", "n"])
+
+    kept, parts = counts.mapInArrow(best, "word long, n long"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // FAN)
+        kept = kept.repartition(parts).mapInArrow(best, "word long, n long")
+    return [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))][:size]
 
 
 def scanned(docs: DataFrame, common: list[int], key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
