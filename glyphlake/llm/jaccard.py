@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.components import components
+from glyphlake.llm.components import components, join_skewed
 from glyphlake.llm.words import as_long, bitmap, distinct_shingles, in_bitmap, saved, slices, text_bytes
 
 #: Fragments of the global order: ranges of the hash.
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """Per row: the key, n_shingles, component_id (the smallest key in its component) and class_id (equal for equal sets)."""
     source = text_bytes(docs, F.col(key).cast("long").alias("_id"), text=text)
     base = saved(_sets(source, key, size, percent)).withColumn("row", F.monotonically_increasing_id())
-    classes = saved(base.filter("n > 0").groupBy("n", "digest").agg(F.min("row").alias("class"), F.min("_id").alias("low_id")))
+    classes = saved(base.filter("n > 0").groupBy("n", "digest").agg(F.min("row").alias("class"), F.min("_id").alias("low_id"), F.count(F.lit(1)).alias("copies")))
 
     # First n-grams that two classes have, and the classes that have enough of them.
     firsts = in_bitmap(base.filter("n > 0"), "row", saved(bitmap(classes, "class")))
@@ -205,10 +205,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rest = _linked(_overlaps(saved(_possible(more, chosen, parts, alone_cells, sizes, percent, fragments)), parts), sizes, percent)
     whole = components(links.unionByName(rest))
 
-    of_class = classes.select("class", "n", "digest", "low_id").join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = of_class.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    labels = of_class.join(lowest, "component").select("n", "digest", "class", "component_id")
-    joined = base.select("_id", "n", "digest").join(labels, ["n", "digest"], "left")
+    of_class = saved(classes.join(whole.withColumnRenamed("node", "class"), "class", "left"))
+    linked = of_class.filter("component is not null")
+    lowest = saved(linked.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    labels = join_skewed(linked, lowest, ["component"], "members").unionByName(of_class.filter("component is null").withColumn("component_id", F.col("low_id")))
+    labels = saved(labels.select("n", "digest", "copies", "class", "component_id"))
+    found = join_skewed(base.filter("n > 0").select("_id", "n", "digest"), labels, ["n", "digest"], "copies").select("_id", "n", "component_id", "class")
+    joined = found.unionByName(base.filter("n = 0").select("_id", "n", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class")))
     return joined.select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.col("class").alias("class_id"))
 
 
