@@ -18,6 +18,7 @@ length than a partner's do not link with it; repeated rows are linked; rows with
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.components import components
-from glyphlake.llm.words import saved
+from glyphlake.llm.components import components, join_skewed
+from glyphlake.llm.words import saved, shared_folder
 
 K = 12
 #: Share of the links that may still be new when rounds end.
@@ -37,6 +38,8 @@ TABLES, FILL, NEAR = 24, 2, 4
 RECALL, EVERY, AUDITED = 0.9, 50, 2048
 #: Vectors in a block of the enlarged lists, and blocks of a component that meet in one task.
 BLOCK = 512
+#: What a vector v must be to link with any.
+USABLE = "(v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0))"
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -51,7 +54,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def classes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Usable vectors, once each: v (array of double), low_id, copies, and audited, the copies whose id is divisible by EVERY."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    usable = vectors.select(F.col(key).cast("long").alias("_id"), v.alias("v")).filter("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
+    usable = vectors.select(F.col(key).cast("long").alias("_id"), v.alias("v")).filter(USABLE)
     return usable.groupBy("v").agg(F.min("_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("_id") % EVERY == 0).alias("audited"))
 
 
@@ -243,10 +246,14 @@ def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return saved(found.join(met.filter("other is null").select("class", "links"), "class"))
 
 
-def _true_links(queries: DataFrame, usable: DataFrame, threshold: float) -> dict[int, int]:
-    """Links in vectors of each of `queries` (id, v, dim) with all of `usable` (id, v, dim, copies) of another id; AUDITED of them at a time."""
+def _true_links(queries: DataFrame, usable: DataFrame, threshold: float) -> DataFrame:
+    """(id, n): links in vectors of each of `queries` (id, v, dim) with all of `usable` (id, v, dim, copies) of another id.
+
+    AUDITED of them at a time; the counts go to a table in the shared folder, the vectors of one block only to the driver.
+    """
+    spark, folder = queries.sparkSession, f"{shared_folder(queries.sparkSession)}/audit-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "id long, n long").write.parquet(folder)
     blocks = {r["dim"]: -(-r["n"] // AUDITED) for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    seen: dict[int, int] = {}
     for dim, n in sorted(blocks.items()):
         for p in range(n):
             q = queries.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n)) == p)).select("id", "v").toArrow()
@@ -262,16 +269,16 @@ def _true_links(queries: DataFrame, usable: DataFrame, threshold: float) -> dict
                         total += hit @ s.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total)], names=["id", "n"])
 
-            for r in usable.filter(F.col("dim") == dim).select("id", "v", "copies").mapInArrow(near, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-                seen[r["id"]] = r["n"]
-    return seen
+            usable.filter(F.col("dim") == dim).select("id", "v", "copies").mapInArrow(near, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).write.mode("append").parquet(folder)
+    return spark.read.schema("id long, n long").parquet(folder)
 
 
-def _share_found(true: dict[int, int], audited: DataFrame, rated: DataFrame) -> float:
+def _share_found(true: DataFrame, audited: DataFrame, rated: DataFrame) -> float:
     """Share of the true links of the audited vectors that `rated` counts; copies are links that are always found."""
-    got = audited.select("class", "copies", "audited").join(rated.select("class", "links"), "class", "left").select("class", "copies", "audited", F.coalesce("links", F.lit(0)).alias("links")).collect()
-    total = sum(r["audited"] * (true.get(r["class"], 0) + r["copies"] - 1) for r in got)
-    return sum(r["audited"] * (min(r["links"], true.get(r["class"], 0)) + r["copies"] - 1) for r in got) / total if total else 1.0
+    got = audited.select("class", "copies", "audited").join(true.withColumnRenamed("id", "class"), "class", "left").join(rated.select("class", "links"), "class", "left").na.fill(0, ["n", "links"])
+    copies = F.col("copies") - 1
+    r = got.agg(F.sum(F.col("audited") * (F.col("n") + copies)).alias("total"), F.sum(F.col("audited") * (F.least("links", "n") + copies)).alias("found")).first()
+    return r["found"] / r["total"] if r["total"] else 1.0
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, k: int = K) -> DataFrame:
@@ -293,37 +300,25 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if 2 * NEAR * tables >= n:
             rated = _all_pairs(nodes, threshold)
             break
-    labels = nodes.select("class", "v", "low_id", "copies").join(rated, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = labels.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    rated = labels.join(lowest, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = saved(nodes.select("class", "v", "low_id", "copies").join(rated, "class", "left"))
+    lowest = saved(linked.filter("component is not null").groupBy("component").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    labels = join_skewed(linked.filter("component is not null"), lowest, ["component"], "members")
+    labels = labels.unionByName(linked.filter("component is null").withColumn("component_id", F.col("low_id")))
+    labels = saved(labels.select("v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     rows = vectors.select(F.col(key).alias("_key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    out = rows.join(rated, "v", "left").select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("_key").cast("long")).alias("component_id"))
+    found = join_skewed(rows.filter(USABLE), labels, ["v"], "copies").select("_key", "n_links", "component_id")
+    out = found.unionByName(rows.filter(f"not coalesce({USABLE}, false)").select("_key", F.lit(0).alias("n_links"), F.lit(None).cast("long").alias("component_id")))
+    out = out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("_key").cast("long")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def recall(vectors: DataFrame, result: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, every: int = 50, block: int = 2048) -> float:
+def recall(vectors: DataFrame, result: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, every: int = EVERY) -> float:
     """Share of the links of the vectors whose id is divisible by `every`, against all vectors in blocks, that `result` counts."""
-    usable = vectors.select(F.col(key).alias("_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).filter("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    queries = usable.filter(F.col("_id") % every == 0).withColumn("dim", F.size("v"))
-    parts = queries.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("dim").orderBy("_id")) - 1) / block))
-    seen: dict[int, int] = {}
-    for dim, p in sorted((r["dim"], r["part"]) for r in parts.select("dim", "part").distinct().collect()):
-        q = parts.filter((F.col("dim") == dim) & (F.col("part") == p)).select("_id", "v").toArrow()
-        x, i = _unit(_matrix(q.column("v").combine_chunks())), q.column("_id").to_numpy()
-
-        def near(batches: Iterator[pa.RecordBatch], x=x, i=i) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                g = x @ _unit(_matrix(b.column(1))).T
-                hit = ((g >= threshold) & (i[:, None] != b.column(0).to_numpy()[None, :])).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(hit)], names=["_id", "n"])
-
-        for r in usable.filter(F.size("v") == dim).mapInArrow(near, "_id long, n long").groupBy("_id").agg(F.sum("n").alias("n")).collect():
-            seen[r["_id"]] = r["n"]
-    true = sum(seen.values())
-    got = {r[key]: r["n_links"] for r in result.filter(F.col(key) % every == 0).select(key, "n_links").collect()}
-    return sum(min(got[i], n) for i, n in seen.items()) / true if true else 1.0
+    usable = vectors.select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).filter(USABLE)
+    usable = usable.withColumn("dim", F.size("v")).withColumn("copies", F.lit(1).cast("long"))
+    true = _true_links(usable.filter(F.col("id") % every == 0), usable, threshold)
+    r = true.join(result.select(F.col(key).alias("id"), "n_links"), "id").agg(F.sum("n").alias("total"), F.sum(F.least("n", "n_links")).alias("found")).first()
+    return r["found"] / r["total"] if r["total"] else 1.0
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
