@@ -7,11 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, html, jaccard, languages, neighbours, packing, personal, quality, repeats, secrets
+from glyphlake.llm import bpe, centroids, crosstokens, html, jaccard, languages, neighbours, packing, personal, quality, repeats, secrets, warc
 from glyphlake.llm.oracles import ORACLES
 from glyphlake.llm.words import importable
 
-QUERIES = [secrets.op1_forest_secret_scan, jaccard.op2_ngram_jaccard_join, html.op3_tag_path_ratios, bpe.op4_bpe_round_trip, languages.op5_language_mixture, neighbours.op6_nn_descent, quality.op7_distribution_divergence, personal.op8_disclosure_sanitisation, repeats.op9_difference_cover, packing.op10_best_fit_packing]
+QUERIES = [secrets.op1_forest_secret_scan, jaccard.op2_ngram_jaccard_join, html.op3_tag_path_ratios, bpe.op4_bpe_round_trip, languages.op5_language_mixture, neighbours.op6_nn_descent, quality.op7_distribution_divergence, personal.op8_disclosure_sanitisation, repeats.op9_difference_cover, packing.op10_best_fit_packing, centroids.op11_partial_distance_clusters, warc.op12_revisit_resolution, crosstokens.op13_cross_tokenizer_alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
