@@ -18,7 +18,6 @@ length than a partner's do not link with it; repeated rows are linked; rows with
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphlake.llm.components import components, join_skewed
-from glyphlake.llm.words import saved, shared_folder
+from glyphlake.llm.words import saved
 
 K = 12
 #: Share of the links that may still be new when rounds end.
 SETTLED = 0.001
 #: Tables of sign hashes at least, vectors in a bucket on average, and how far apart in a bucket two vectors may be to meet.
 TABLES, FILL, NEAR = 24, 2, 4
-#: Share of the links that must be found, of the vectors whose id is divisible by EVERY; rows of a block of these.
-RECALL, EVERY, AUDITED = 0.9, 50, 2048
+#: Share of the links that must be found, of the vectors whose id is divisible by EVERY; rows of a block of these, and numbers in a block of the table.
+RECALL, EVERY, AUDITED, COMPONENTS = 0.9, 50, 2048, 1 << 20
 #: Vectors in a block of the enlarged lists, and blocks of a component that meet in one task.
 BLOCK = 512
 #: What a vector v must be to link with any.
@@ -48,6 +47,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are brought near 1 by a power of two first, which is exact, so that no square leaves the range of a double."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -203,8 +204,8 @@ def _enlarged(members: DataFrame, threshold: float, joined: bool = False) -> Dat
 
     `other` is null; with `joined`, further rows without links have in it what connects the members of each pair of blocks.
     """
-    sizes = members.groupBy("component", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    blocks = members.join(sizes, ["component", "dim"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    sizes = saved(members.groupBy("component", "dim").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)))
+    blocks = join_skewed(members, sizes, ["component", "dim"], "members").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = blocks.withColumn("other", other).select("component", "dim", F.col("block").alias("p"), F.col("other").alias("q"), "class", "v", "copies", F.lit(True).alias("own"))
     right = blocks.withColumn("other", other).select("component", "dim", F.col("other").alias("p"), F.col("block").alias("q"), "class", "v", "copies", F.lit(False).alias("own"))
@@ -249,28 +250,26 @@ def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
 def _true_links(queries: DataFrame, usable: DataFrame, threshold: float) -> DataFrame:
     """(id, n): links in vectors of each of `queries` (id, v, dim) with all of `usable` (id, v, dim, copies) of another id.
 
-    AUDITED of them at a time; the counts go to a table in the shared folder, the vectors of one block only to the driver.
+    Blocks of AUDITED queries meet blocks of the table, of COMPONENTS numbers each, in one job; a table's block goes to each block of queries.
     """
-    spark, folder = queries.sparkSession, f"{shared_folder(queries.sparkSession)}/audit-{uuid.uuid4().hex}"
-    spark.createDataFrame([], "id long, n long").write.parquet(folder)
-    blocks = {r["dim"]: -(-r["n"] // AUDITED) for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for dim, n in sorted(blocks.items()):
-        for p in range(n):
-            q = queries.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n)) == p)).select("id", "v").toArrow()
-            if not q.num_rows:
-                continue
-            x, i = _unit(_matrix(q.column("v").combine_chunks())), q.column("id").to_numpy()
-
-            def near(batches: Iterator[pa.RecordBatch], x=x, i=i) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(len(i), np.int64)
-                for b in batches:
-                    for s in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
-                        hit = (x @ _unit(_matrix(s.column(1))).T >= threshold) & (i[:, None] != s.column(0).to_numpy()[None, :])
-                        total += hit @ s.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total)], names=["id", "n"])
-
-            usable.filter(F.col("dim") == dim).select("id", "v", "copies").mapInArrow(near, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).write.mode("append").parquet(folder)
-    return spark.read.schema("id long, n long").parquet(folder)
+    blocks = lambda df, each: df.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / each).alias("n"))
+    sizes = blocks(queries, F.lit(AUDITED)).withColumnRenamed("n", "ps").join(blocks(usable, F.lit(COMPONENTS) / F.col("dim")).withColumnRenamed("n", "cs"), "dim")
+    sizes = F.broadcast(saved(sizes))  # a row per length of vectors
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = queries.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("id"), F.col("ps")).alias("p"), all_of("cs").alias("c"), "id", "v", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("own"))
+    two = usable.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("id"), F.col("cs")).alias("c"), all_of("ps").alias("p"), "id", "v", "copies", F.lit(False).alias("own"))
+
+    def count(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        a, b = table.filter(pa.array(own)), table.filter(pa.array(~own))
+        i, total = a.column("id").to_numpy(), np.zeros(a.num_rows, np.int64)
+        if len(i) and b.num_rows:
+            x, y, j = _unit(_matrix(a.column("v").combine_chunks())), _unit(_matrix(b.column("v").combine_chunks())), b.column("id").to_numpy()
+            for k in range(0, len(y), 1024):
+                total += ((x @ y[k : k + 1024].T >= threshold) & (i[:, None] != j[None, k : k + 1024])) @ b.column("copies").to_numpy()[k : k + 1024]
+        return pa.table({"id": pa.array(i), "n": pa.array(total)})
+
+    return saved(one.unionByName(two).groupBy("dim", "p", "c").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
 
 
 def _share_found(true: DataFrame, audited: DataFrame, rated: DataFrame) -> float:
