@@ -1,12 +1,14 @@
 """Personal data: base patterns, and terms that disclose them by co-occurrence in the corpus. SQL functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, by pattern and check. Each distinct matched text is a
-protected entity. The whole words of a text, outside its base spans, are terms. Over the whole corpus, c(e) counts the distinct texts
-with an entity, c(t, e) those of them that hold the term, and c(t) the documents that hold the term, of N. The term's pointwise mutual
-information with the entity, log2(p(t | e) N / c(t)), is held against the entity's own information log2(N / c(e)): a term that gives away
-at least the share `DISCLOSURE` of it is a span of kind `term` at all its mentions in texts with the entity. p(t | e) is smoothed by one
-text that holds the term at its rate in the corpus, (c(t, e) + c(t) / N) / (c(e) + 1).
-`sanitised` puts a general label in the place of base spans and takes disclosing terms out.
+protected entity. The whole words of a text, outside its base spans, are terms. All counts are of distinct texts of the corpus: N of them, c(e)
+with an entity, c(t) with a term, c(t, e) with both. A text that holds both is judged by the others alone, so that one text, or any number of copies of it,
+proves nothing: the term's pointwise mutual information with the entity there, log2(p (N - 1) / (c(t) - 1)), is held against the
+entity's own information log2((N - 1) / (c(e) - 1)). p is the lower end of the confidence interval of the term's share of the other texts with
+the entity, c(t, e) - 1 of c(e) - 1. A term that gives away at least the share `DISCLOSURE` is a span of kind `term` at all its mentions in texts
+with the entity. A word that an e-mail address itself spells before its @ needs no other text, as p is 1: its log2(N / c(t)) is held
+against log2(N / c(e)).
+`sanitised` puts general labels in the place of base spans, of terms with a capital letter and of those with digits, and takes other terms out.
 
 Entities that the same texts hold count as one, so that a log of many rare addresses has few pairs of entity and term.
 Counts are combined before each shuffle, so a frequent term or entity gathers nowhere; the bitmaps that narrow the counted words and
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from glyphlake.llm.words import bitmap, in_bitmap, saved
 
 DISCLOSURE = 0.6
+#: One-sided 95 % in standard deviations.
+CONFIDENCE = 1.645
 #: Words; those that touch a base span are not counted as terms.
 TERM = r"[\p{L}\p{M}\p{N}]++"
 
@@ -111,35 +115,59 @@ def _words(text: str, pattern: str) -> Column:
     return F.array_distinct(F.transform(F.expr(f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"), lambda w: F.xxhash64(F.lower(w))))
 
 
+def _term_counts(texts: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int]:
+    """(t, ct): how many distinct texts hold each wanted word, and how many distinct texts there are.
+
+    Only texts that may be there more than once, by a bitmap of their digests, are shuffled, one of each task and digest.
+    """
+    named = texts.select(F.xxhash64(F.lower("text")).alias("digest"), "text")
+    copies = saved(named.groupBy("digest").count())
+    n = copies.count()
+    slots = saved(bitmap(copies.filter("count > 1"), "digest"))
+    single = in_bitmap(named, "digest", slots, keep=False).select(_words("text", TERM).alias("ts"))
+    several = in_bitmap(named, "digest", slots).select("digest", _words("text", TERM).alias("ts")).groupBy("digest").agg(F.any_value("ts").alias("ts")).select("ts")
+    words = single.unionByName(several).select(F.explode("ts").alias("t"))
+    return saved(in_bitmap(words, "t", wanted).groupBy("t").agg(F.count(F.lit(1)).alias("ct"))), n
+
+
+def _surely(hits: Column, of: Column) -> Column:
+    """Lower end of the one-sided confidence interval (Wilson's, at CONFIDENCE) of a share that is `hits` of `of`."""
+    share, z2 = hits / of, CONFIDENCE**2
+    return (share + z2 / (2 * of) - CONFIDENCE * F.sqrt(share * (1 - share) / of + z2 / (4 * of * of))) / (1 + z2 / of)
+
+
 def disclosing_terms(rows: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(row, terms): spans of terms that disclose an entity of their text. rows: row, spans and text, where there are spans."""
-    n = texts.count()
-    entities = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
+    entity = lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))
     apart = F.expr(f"filter(_tokens, t -> not coalesce(get(_ends, {_at_most('_starts', 't.end')} - 1) >= t.start, false))")
-    about = saved(_tokens(rows.select("row", "spans", "text")).select("row", F.xxhash64(F.lower("text")).alias("digest"), entities.alias("entities"), F.array_distinct(F.transform(apart, lambda t: t["t"])).alias("terms")))
+    spelled = F.flatten(F.transform(F.filter("spans", lambda x: x["kind"] == "email"), lambda x: F.transform(F.filter(F.regexp_extract_all(F.substring_index(F.lower(x["value"]), "@", 1), F.lit(TERM), F.lit(0)), lambda w: w.rlike(r"\p{L}{2}")), lambda w: F.struct(entity(x).alias("e"), F.xxhash64(w).alias("t")))))
+    tokens = saved(_tokens(rows.select("row", "spans", "text")))
+    about = saved(tokens.select("row", F.xxhash64(F.lower("text")).alias("digest"), F.array_distinct(F.transform("spans", entity)).alias("entities"), F.array_distinct(F.transform(apart, lambda t: t["t"])).alias("terms"), F.array_distinct(spelled).alias("spelled")))
+    wanted = saved(bitmap(about.select(F.explode("terms").alias("t")), "t"))
+    of_term, n = _term_counts(texts, wanted)
     firsts = saved(about.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
     mentions = about.select("row", F.explode("entities").alias("e"))
     # Entities that the same texts hold have the same counts with every term: they are one, named by their count and texts.
     of_entity = saved(mentions.join(firsts, "row", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("ce"), F.bit_xor(F.xxhash64("row")).alias("held")).select("e", F.xxhash64("ce", "held").alias("same"), "ce"))
     most = of_entity.agg(F.max("ce")).first()[0]
-    wanted = saved(bitmap(about.select(F.explode("terms").alias("t")), "t"))
-    of_term = saved(in_bitmap(texts.select(F.explode(_words("text", TERM)).alias("t")), "t", wanted).groupBy("t").agg(F.count(F.lit(1)).alias("ct")))
-    # p(t | e) is 1 at most, so a term can only disclose entities of at least a certain count; counts go by powers of 2.
-    band, last = (lambda c: F.floor(F.log2(c)).cast("int")), int(most or 1).bit_length()
-    lowest = F.greatest(F.lit(0), F.floor(F.log2(F.lit(max(n, 1))) - F.log2(F.lit(n) / F.col("ct")) / disclosure).cast("int") - 1)
-    able = of_term.withColumn("low", lowest).filter(F.col("low") <= last).select("t", F.explode(F.sequence("low", F.lit(last))).alias("band")).select(F.xxhash64("t", "band").alias("tb"))
+    # The share of the other texts with the entity is 1 at most, so a term can only disclose entities of at least a certain count; counts go by powers of 2.
+    band, last, others = (lambda c: F.floor(F.log2(c)).cast("int")), int(most or 1).bit_length(), float(max(n - 1, 1))
+    lowest = F.greatest(F.lit(0), F.floor(F.log2(F.lit(others)) - F.log2(F.lit(others) / (F.col("ct") - 1)) / disclosure).cast("int") - 1)
+    able = of_term.filter("ct > 1").withColumn("low", lowest).filter(F.col("low") <= last).select("t", F.explode(F.sequence("low", F.lit(last))).alias("band")).select(F.xxhash64("t", "band").alias("tb"))
     slots = saved(bitmap(able, "tb"))
-    known = mentions.join(of_entity, "e").groupBy("row").agg(F.collect_set(F.struct("same", "ce")).alias("known"))
+    known = mentions.join(of_entity.filter("ce > 1"), "e").groupBy("row").agg(F.collect_set(F.struct("same", "ce")).alias("known"))
     listed_pairs = about.join(known, "row").select("row", F.explode("known").alias("k"), "terms").select("row", "k.same", "k.ce", F.explode("terms").alias("t"))
     pairs = saved(in_bitmap(listed_pairs.withColumn("tb", F.xxhash64("t", band(F.col("ce")))), "tb", slots).select("row", "same", "ce", "t"))
-    joint = pairs.join(firsts, "row", "left_semi").groupBy("same", "ce", "t").agg(F.count(F.lit(1)).alias("cte"))
-    rate = F.col("ct") / n
-    told = F.log2((F.col("cte") + rate) / (F.col("ce") + 1) / rate)
-    chosen = joint.join(of_term, "t").filter((F.col("ce") < n) & (told >= disclosure * F.log2(F.lit(n) / F.col("ce")))).select("same", "t")
-    of_row = pairs.join(chosen, ["same", "t"]).groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("_terms"))
+    joint = pairs.join(firsts, "row", "left_semi").groupBy("same", "ce", "t").agg(F.count(F.lit(1)).alias("cte")).filter("cte > 1")
+    told = F.log2(_surely(F.col("cte") - 1, F.col("ce") - 1) * others / (F.col("ct") - 1))
+    chosen = joint.join(of_term, "t").filter((F.col("ce") < n) & (told >= disclosure * F.log2(F.lit(others) / (F.col("ce") - 1)))).select("same", "t")
+    # A word that an address itself spells stands for it for certain; it counts if it is rare enough.
+    named = about.select("row", F.explode("spelled").alias("x")).select("row", "x.e", "x.t").join(of_entity, "e").join(of_term, "t")
+    named = named.filter((F.col("ce") < n) & (F.log2(F.lit(float(n)) / F.col("ct")) >= disclosure * F.log2(F.lit(float(n)) / F.col("ce")))).select("row", "t")
+    of_row = pairs.join(chosen, ["same", "t"]).select("row", "t").unionByName(named).groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("_terms"))
     told_at = f"get(_terms, {_at_most('_terms', 't.t')} - 1) = t.t and not coalesce(get(_ends, {_at_most('_starts', 't.end - 1')} - 1) > t.start, false)"
     spans = F.expr(f"transform(filter(_tokens, t -> {told_at}), t -> struct(t.start as start, {len(KINDS)} as rank, t.end as end, 'term' as kind, t.value as value))")
-    return _tokens(rows.select("row", "spans", "text").join(of_row, "row")).select("row", spans.alias("terms"))
+    return tokens.select("row", "_tokens", "_starts", "_ends").join(of_row, "row").select("row", spans.alias("terms"))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
@@ -157,12 +185,12 @@ def listed(spans: str) -> Column:
 
 
 def sanitised(text: str, spans: str) -> Column:
-    """The text with a label such as [email] for each base span and nothing for a term; of overlapping spans the first counts.
+    """The text with a label such as [email] for each base span, and a label or nothing for a term; of overlapping spans the first counts.
 
     The text is cut once per chunk of spans, so that finding a place in it costs the length of a chunk's part.
     """
     n, one = f"size({spans})", f"get({spans}, x)"
-    place = f"if({one}.start < a.at, '', concat(substring(c.part, a.at - c.low + 1, {one}.start - a.at), if({one}.kind = 'term', '', concat('[', {one}.kind, ']'))))"
+    place = f"if({one}.start < a.at, '', concat(substring(c.part, a.at - c.low + 1, {one}.start - a.at), case when {one}.kind <> 'term' then concat('[', {one}.kind, ']') when {one}.value rlike '^\\\\p{{Lu}}' then '[name]' when {one}.value rlike '\\\\p{{N}}' then '[number]' else '' end))"
     step = f"struct(if({one}.start < a.at, a.at, {one}.end) as at, concat(a.out, array({place})) as out)"
     cut = f"struct(b.at as low, substring({text}, b.at + 1, greatest(get({spans}, element_at(y, -1)).start - b.at, 0)) as part)"
     inner = f"element_at(transform(array({cut}), c -> aggregate(y, struct(b.at as at, cast(array() as array<string>) as out), (a, x) -> {step}, a -> struct(a.at as at, concat(b.out, array(array_join(a.out, ''))) as out))), 1)"
