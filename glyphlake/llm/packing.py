@@ -205,9 +205,19 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY, fan_
         bins = saved(grouped.applyInArrow(lambda t: _merge(t, capacity), schema))
     for d in done:
         bins = bins.unionByName(d)
-    placed = bins.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.posexplode("items").alias("_at", "_item"), "items")
-    before = F.aggregate(F.slice("items", F.lit(1), F.col("_at")), F.lit(0).cast("long"), lambda s, x: s + x[size].cast("long"))
-    return placed.select(*[F.col("_item")[c].alias(c) for c in names], "sequence_id", before.alias("offset"))
+    at = names.index(size)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = b.column(1).flatten()
+            n = np.diff(b.column(1).offsets.to_numpy())
+            length = items.field(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(length)])
+            first = before[np.cumsum(n) - n]
+            yield pa.RecordBatch.from_arrays([*(items.field(k) for k in range(len(names))), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(before[:-1] - np.repeat(first, n))], names=[*names, "sequence_id", "offset"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items").mapInArrow(spread, f"{fields}, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
