@@ -8,8 +8,9 @@ are content nodes. The deepest element that holds most of their text is the arti
 links. Where no element but the whole page holds them, the content nodes are kept, what stands between two of them in the same element,
 headings before them, and the rest of an article or main element that has one.
 
-Elements that are never article text (scripts, navigation, forms, hidden parts) are not read. Those that class or id call an advert, a
-notice, a sidebar, reader comments and so on are left out, unless they hold most of the page's text, as a wrapper does.
+Elements that are never article text (scripts, navigation, buttons, hidden parts) are not read; pictures and the like in a sentence do not end it.
+Forms, and what class or id call an advert, a notice, a sidebar, reader comments and so on, are left out, unless they hold most of the page's text, as a
+wrapper does. Links alone after the last content node of an article go, too.
 
 Nulls and edge cases: null and empty pages, and pages without content, give the empty text; unclosed and misnested tags, comments and
 references are read as browsers do; text of any length and depth is read whole, in linear time; an empty table gives an empty table; repeated
@@ -19,7 +20,7 @@ rows are extracted each; any other columns stay.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,23 +34,26 @@ from glyphlake.llm.words import slices
 # Element names by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math menclose mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template".split())
-NEVER = frozenset("head nav aside form button select option datalist dialog menu svg math object canvas audio video footer".split())
+NEVER = frozenset("head nav aside dialog menu footer".split())
+# Never article text, too, but they may stand within a sentence, which goes on after them.
+HOLES = frozenset("annotation audio button canvas datalist object option select svg video".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words in class or id. The first tell of themselves; the second if only words of these sets stand beside them ("site-header", but not "entry-header").
-HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr sidebar sidebars nav navbar navigation breadcrumb breadcrumbs comment comments discussion disqus newsletter subscribe pagination popup".split())
+# Words in class or id. They tell if only words of these sets stand beside them ("site-header", but not "entry-header").
+HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr sidebar sidebars nav navbar navigation breadcrumb breadcrumbs comment comments disqus newsletter subscribe pagination popup".split())
 WEAK = frozenset("banner notice notices alert aside widget widgets menu footer header masthead reply replies share sharing social related recommended recommendations subscription signup login search modal overlay pager toolbar copyright legal".split())
-BESIDE = frozenset("site page global top bottom left right main list item items box wrapper wrap container inner outer section block area bar links link button buttons form text content body title posts stories articles icons media primary secondary sticky fixed js".split())
-REMARKS = frozenset("comment comments reply replies discussion disqus".split())
+BESIDE = frozenset("has no is the user users reader readers visitor visitors post thread policy by us our your about slot unit google site page global top bottom left right main list item items box wrapper wrap container inner outer section block area bar links link button buttons form text content body title posts stories articles icons media primary secondary sticky fixed js".split())
+REMARKS = frozenset("comment comments reply replies disqus".split())
 #: An opening tag that ends elements still open: what it ends, and where looking for them stops.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table"), "option": ("option", "select"), "optgroup": ("option optgroup", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-SCOPE = frozenset("button table td th caption html object template".split())
+SCOPE = frozenset("table td th caption html template".split()) | HOLES
 
 MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
@@ -62,8 +66,8 @@ MARKED = 4.0
 MOST, WIDER = 0.75, 1.25
 #: Part of a page's text (of that in article and main elements, if there are any) from which a hinted element is a wrapper, and the same for readers' remarks.
 WRAPPER, REMARK_WRAPPER = 0.5, 0.9
-#: Share of link text from which a path is a list of links.
-LINKS = 0.5
+#: Share of link text from which a path is a list of links, and from which it is nothing else.
+LINKS, ONLY_LINKS = 0.5, 0.9
 
 
 def _never(tag: str, attributes: str, inside: bool) -> bool:
@@ -81,6 +85,11 @@ def _never(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _last(places: dict[str, list[int]], tags: frozenset[str]) -> int:
+    """Place in the stack of the innermost open element of these, or -1."""
+    return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+
 def _classes(attributes: str) -> tuple[str, bool, bool]:
     """The class, and whether class or id hint at what is no article: in an article or main element, and in others."""
     name, remark, hint = "", False, False
@@ -90,8 +99,10 @@ def _classes(attributes: str) -> tuple[str, bool, bool]:
             name = value if m[1].lower() == "class" else name
             for token in value.split():
                 words = {x.lower() for x in NAME.findall(token)}
-                remark |= bool(words & REMARKS)
-                hint |= bool(words & HINTS) or (bool(words & WEAK) and words <= WEAK | BESIDE)
+                # Other words beside them ("law-comment", "navigation-methods") name a subject of the text.
+                if words <= HINTS | WEAK | BESIDE:
+                    remark |= bool(words & REMARKS)
+                    hint |= bool(words & (HINTS | WEAK))
     return name, remark, hint
 
 
@@ -110,7 +121,7 @@ class Page:
         self.articles: list[int] = [-1]  # of elements: the article or main element around each
         self.hint_of: list[int] = []  # of each block
         self.stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]  # tag, unwanted, in an article, path, element, hinted element
-        self.open_tags: Counter[str] = Counter()
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
         self.whole = {0}  # html and body elements
         self.text: list[str] = []
         self.linked = self.links = 0
@@ -151,9 +162,12 @@ class Page:
         self.linked = 0
 
     def pop_to(self, k: int) -> None:
-        self.flush()
+        if k == len(self.stack):
+            return
+        if self.stack[k][0] not in HOLES and not self.stack[k - 1][1]:
+            self.flush()
         for x in self.stack[k:]:
-            self.open_tags[x[0]] -= 1
+            self.places[x[0]].pop()
         del self.stack[k:]
 
     def open(self, tag: str, attributes: str) -> None:
@@ -169,24 +183,25 @@ class Page:
             if tag == "hr":
                 self.flush()
             return
-        self.flush()
-        self.links = 0
+        _, unwanted, inside, path, element, hinted = self.stack[-1]
+        if tag in HOLES:
+            self.push(tag, True, inside, path, element, hinted)
+            return
+        if not unwanted:
+            self.flush()
+            self.links = 0
         if tag == "body" and len(self.stack) > 1:
             self.pop_to(2 if self.stack[1][0] == "html" else 1)
         ends, stops = CLOSES.get(tag, (frozenset("p"), SCOPE))
         if tag in HEADINGS:
             ends = ends | HEADINGS
-        if any(self.open_tags[t] > 0 for t in ends):
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] in stops:
-                    break
-                if self.stack[k][0] in ends:
-                    self.pop_to(k)
-                    break
+        k = _last(self.places, ends)
+        if k > _last(self.places, stops):
+            self.pop_to(k)
         _, unwanted, inside, path, element, hinted = self.stack[-1]
         unwanted = unwanted or _never(tag, attributes, inside)
         name, remark, hint = _classes(attributes) if attributes and tag not in ("html", "body") and not unwanted else ("", False, False)
-        if remark if tag in CONTENT else hint:
+        if remark if tag in CONTENT else hint or tag == "form":  # a form may be the frame of a page
             self.hinted.append(hinted)
             self.remarks.append(remark)
             hinted = len(self.hinted) - 1
@@ -194,21 +209,21 @@ class Page:
         marks = tag in CONTENT and not remark
         self.parents.append(element)
         self.articles.append(len(self.parents) - 1 if marks and (tag == "article" or not inside) else self.articles[element])
-        self.stack.append((tag, unwanted, inside or marks, path, len(self.parents) - 1, hinted))
-        self.open_tags[tag] += 1
+        self.push(tag, unwanted, inside or marks, path, len(self.parents) - 1, hinted)
         if tag in ("html", "body"):
             self.whole.add(len(self.parents) - 1)
 
+    def push(self, tag: str, *rest) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, *rest))
+
     def close(self, tag: str) -> None:
         if tag in INLINE:
             if tag == "a" and self.links:
                 self.links -= 1
             return
-        if self.open_tags[tag] > 0:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] == tag:
-                    self.pop_to(k)
-                    return
+        if self.places.get(tag):
+            self.pop_to(self.places[tag][-1])
 
     def container(self, element: int) -> bool:
         """Whether it is a part of the page, not the whole."""
@@ -276,6 +291,9 @@ def content(html: str | None) -> str:
         inside[e] = e == article or (e > 0 and inside[up[e]])
     if article and page.container(article):
         kept = np.array([inside[b[2]] and bool(chosen[k] or b[4] or share[at[k]] < LINKS) for k, b in enumerate(blocks)])
+        # Nothing but links after the last content node: where to go next, not what the article says.
+        after = np.flatnonzero(chosen & kept)
+        kept[[k for k in range(int(after[-1]) + 1 if len(after) else len(blocks), len(blocks)) if share[at[k]] > ONLY_LINKS]] = False
         first = int(kept.argmax())
         if first and kept[first] and not marked[first] and blocks[first - 1][5] in HEADINGS:
             kept[first - 1] = True

@@ -163,6 +163,20 @@ def test_packing(spark, tokenizers, texts):
     assert len(sequences) <= -(-sum(r["length"] for r in got) // 4096) + 1
 
 
+def test_packing_many_small_pieces(spark):
+    """Offsets of bins of thousands of pieces come from running sums."""
+    import time
+
+    from glyphlake.llm.packing import pack
+
+    pieces = spark.range(60_000).select("id", F.lit(1).cast("long").alias("length"))
+    began = time.time()
+    bins = pack(pieces).groupBy("sequence_id").agg(F.count("offset").alias("n"), F.countDistinct("offset").alias("d"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).collect()
+    assert time.time() - began < 30
+    assert sum(b["n"] for b in bins) == 60_000 and all(b["n"] == b["d"] == b["hi"] + 1 and b["lo"] == 0 for b in bins)
+    assert len(bins) <= -(-60_000 // 4096) + 2
+
+
 def test_packing_rounds(spark):
     from glyphlake.llm.packing import best_fit, pack
 
@@ -210,6 +224,30 @@ def test_html_deep_and_empty(spark):
     assert extracted(df.limit(0)).count() == 0 and extracted(df.union(df)).count() == 2
 
 
+def test_html_frames_and_names():
+    """Forms as frames, attributes by their whole names, subjects in class names, pictures in a sentence, links after the article."""
+    import time
+
+    from glyphlake.llm.html import content
+
+    twice = f"{LONG}\n\n{LONG}"
+    for html, text in (
+        (f"<form id=f><input><main><h1>T</h1><p>{LONG}</p></main></form>", f"T\n\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><form><label>Name</label><p>Send us your address, please, and more.</p></form>", LONG),
+        (f'<article data-hidden="false"><p>{LONG}</p></article>', LONG),
+        (f'<div title="the hidden truth"><p>{LONG}</p></div>', LONG),
+        (f"<article><p>{LONG}</p><div hidden><p>{LONG}</p></div><p aria-hidden = 'true'>x</p><p style=\"color:red;display: none\">y</p></article>", LONG),
+        *[(f"<article><p>{LONG}</p><div {name}><p>{LONG}</p></div></article>", twice) for name in ("class='law-comment'", "class=promotion-of-health", 'class="discussion"', "id='navigation-methods'")],
+        *[(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article>", LONG) for name in ("comment", "user-comments", "ad", "newsletter-box", "cookie_notice", "related-articles")],
+        (f"<p>The value <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><text>no</text></svg> a <button>b<div>u</div></button> so <object>x</object>on. {LONG}</p>", f"The value x=1 and a so on. {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=x>Related one</a></li><li><a href=y>Related two</a></li></ul></article>", LONG),
+    ):
+        assert content(html) == text, html
+    began = time.time()
+    content("<p><td>" + "<div>" * 60_000)
+    assert time.time() - began < 10
+
+
 def test_html_path_scores():
     """Scores against the definition, path by path."""
     import numpy as np
@@ -301,6 +339,17 @@ def test_neighbours(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_any_size(spark):
+    """Components near the ends of a double's range: no link is made up and none is lost."""
+    from glyphlake.llm.neighbours import near_vectors, recall
+
+    rows = [(1, [1e-200, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1e200, 0.0, 1e180]), (4, [5e-324, 0.0, 0.0]), (5, [0.0, 1.0, 0.1]), (6, [1.0, 0.0, 0.0]), (7, [1.7e308, 1.7e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = near_vectors(df)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == {1: (3, 1), 2: (1, 2), 3: (3, 1), 4: (3, 1), 5: (1, 2), 6: (3, 1), 7: (0, 7)}
+    assert recall(df, out, every=1) == 1.0
+
+
 def test_neighbours_in_a_cone(spark):
     """Isolated pairs among vectors that share most signs, so that few buckets hold nearly all: found only if the query audits itself."""
     import numpy as np
@@ -392,7 +441,7 @@ def test_personal_whole_texts(spark):
     import math
     from collections import Counter
 
-    from glyphlake.llm.personal import DISCLOSURE, personal_data
+    from glyphlake.llm.personal import CONFIDENCE, DISCLOSURE, personal_data
 
     r = random.Random(8)
     common = [f"word{i}" for i in range(12)]
@@ -402,15 +451,25 @@ def test_personal_whole_texts(spark):
     texts += [f"{prose(50)} Zoë, {prose(50)} 10.1.2.3 end", f"call jane@corp.example {prose(5)}"]
     texts += [texts[-1]] * 3
     address = re.compile(r"jane@corp\.example|10\.1\.2\.3")
-    n, ct, ce, cte = len(texts), Counter(), Counter(), Counter()
+    once = list(dict.fromkeys(texts))
+    n, ct, ce, cte = len(once), Counter(), Counter(), Counter()
     words = lambda t: {w.lower() for w in re.findall(r"\w+", t)}
-    for t in texts:
+    for t in once:
         ct.update(words(t))
-    for t in set(texts):
         for e in set(address.findall(t)):
             ce[e] += 1
             cte.update((e, w) for w in words(address.sub(" ", t)))
-    told = lambda e, w: math.log2((cte[e, w] + ct[w] / n) / (ce[e] + 1) * n / ct[w]) >= DISCLOSURE * math.log2(n / ce[e])
+
+    def told(e, w):
+        if w == "jane" and e.startswith("jane"):  # spelled by the address
+            return math.log2(n / ct[w]) >= DISCLOSURE * math.log2(n / ce[e])
+        if cte[e, w] < 2:
+            return False
+        hits, of, z = cte[e, w] - 1, ce[e] - 1, CONFIDENCE
+        p = hits / of
+        low = (p + z * z / (2 * of) - z * math.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+        return math.log2(low * (n - 1) / (ct[w] - 1)) >= DISCLOSURE * math.log2((n - 1) / of)
+
     got = {x["doc_id"]: x["spans"] for x in personal_data(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
         chosen = {w for e in set(address.findall(t)) for w in words(address.sub(" ", t)) if told(e, w)}
@@ -418,7 +477,26 @@ def test_personal_whole_texts(spark):
         want = {m.span() for m in re.finditer(r"\w+", t) if m[0].lower() in chosen and not any(a < m.end() and m.start() < b for a, b in base)}
         assert {(s["start"], s["end"]) for s in got[i] if s["kind"] == "term"} == want
     terms = lambda i: [s["value"] for s in got[i] if s["kind"] == "term"]
-    assert {"Li", "li", "R2"} <= set(terms(300)) and "Zoë" in terms(303)
+    assert {"Li", "li", "R2"} <= set(terms(300)) and terms(303) == []
+
+
+def test_personal_one_text_proves_nothing(spark):
+    """What stands in one text, or in copies of it, stays, but for words that an address spells; verdicts do not change with copies."""
+    from glyphlake.llm.personal import personal_data, sanitised
+
+    prose = [f"please at contact the word{i % 7} and rare{i}" for i in range(300)]
+    several = [f"Then Quuxley{' and again' * i} wrote to q@corp.example" for i in range(4)]
+    seen = []
+    for copies in (1, 20):
+        df = table(spark, [*prose, *several, *["Contact Zorblax at zorblax@example.org please, oddity"] * copies])
+        rows = personal_data(df).join(df.select("doc_id", "text"), "doc_id").filter("doc_id >= 300")
+        seen.append({tuple(x["value"] for x in r["spans"]) + (r["clean"],) for r in rows.select("spans", sanitised("text", "spans").alias("clean")).collect()})
+    assert seen[0] == seen[1]
+    assert ("Zorblax", "zorblax@example.org", "Contact [name] at [email] please, oddity") in seen[0]
+    assert all("Quuxley" in x for x in seen[0] if "q@corp.example" in x)
+    mine = personal_data(spark.read.parquet(f"{SF}/documents.parquet")).select(F.explode("spans").alias("s")).filter("s.kind = 'term'").count()
+    words = spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.size(F.split("text", r"\s+")))).first()[0]
+    assert mine < 0.02 * words
 
 
 def test_personal_many_mentions(spark):
@@ -616,6 +694,17 @@ def test_pipeline(spark, tokenizers):
     assert {r["doc_id"] for r in P.run(spark, SF).collect()} == set(after)
 
 
+def test_pipeline_shared_ids(spark):
+    """Of rows that share an id the same one stays, however they are dealt out."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows = [(i % 60, " ".join(f"w{r.randrange(10**6)}" for _ in range(30)), "en", "s", 1, {"k": i}) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>")
+    seen = {tuple(sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.keep_one_of_each_group(spark, df.repartition(k), SF).collect())) for k in (1, 3, 7)}
+    assert len(seen) == 1 and len(next(iter(seen))) == 60
+
+
 def test_pipeline_awkward(spark, tokenizers):
     import corpus_pipeline as P
 
