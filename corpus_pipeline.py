@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates on five-word shingles at a similarity of 0.8: of each group the document with the smallest id stays.
 
-    Of rows that share an id one stays, too. Only rows that may be affected are joined; the other texts are not moved.
+    Of rows that share an id the one with the smallest text stays (ties: by the row as JSON). Only rows that may be affected are joined; the other texts are not moved.
     """
     importable(spark)
     found = jaccard.near_duplicates(docs, size=5, percent=80)
@@ -37,7 +37,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rest = in_bitmap(docs, "doc_id", slots, keep=False).select(*docs.columns)
     near = in_bitmap(docs, "doc_id", slots).join(touched, "doc_id", "left")
     single = near.filter("gone is null").select(*docs.columns)
-    repeated = near.filter("not gone").select(*docs.columns).dropDuplicates(["doc_id"])
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.struct("text", F.to_json(row)))  # the same one however the rows are dealt out
+    repeated = near.filter("not gone").groupBy("doc_id").agg(first.alias("_row")).select("_row.*")
     return rest.unionByName(single).unionByName(repeated)
 
 
