@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.words import saved, slices
+from glyphlake.llm.words import forget, saved, slices
 
 CAPACITY = 4096
 #: Entries after which the cache of chunks and words starts anew.
@@ -108,6 +108,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPAC
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         encoder = ENCODERS.get(path) or ENCODERS.setdefault(path, ChunkIds(path))
         end, step = array("I", [end_id]).tobytes(), 4 * capacity
         for b in slices(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +30,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine: worker processes are reused, and idle ones count, too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -53,6 +63,12 @@ class WordHashes(dict):
 HASHES: dict[int, WordHashes] = {}
 
 
+def forget() -> None:
+    """Empties the caches of words in this process, before an operator that needs much memory of its own."""
+    HASHES.clear()
+    trim()
+
+
 def word_hashes(seed: int = 0) -> WordHashes:
     """One cache for each seed and worker process; it outlives a task."""
     return HASHES.setdefault(seed, WordHashes(seed))
