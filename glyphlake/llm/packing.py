@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.words import forget, saved, slices
+from glyphlake.llm.words import OTHERS, forget, saved, slices
 
 CAPACITY = 4096
 #: Entries after which the cache of chunks and words starts anew.
@@ -38,7 +38,8 @@ class ChunkIds:
 
     TAIL = ".,;:!?"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -51,7 +52,7 @@ class ChunkIds:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known = {"": b""}
         known, tail = self.known, self.TAIL
         new = chunks.difference(known)
@@ -87,29 +88,30 @@ class ChunkIds:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [self.lower(t or "").replace("\n", " ").split(" ") for t in texts]
         need = set().union(*split) if split else set()
-        if len(need) > CACHE // 2:  # very long texts: one at a time
+        if len(need) > self.cache // 2:  # very long texts: one at a time
             return [self.encode([t])[0] for t in texts] if len(texts) > 1 else [self._long(split[0])]
         self.learn(need)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
     def _long(self, chunks: list[str]) -> bytes:
         out = []
-        for k in range(0, len(chunks), CACHE // 2):
-            self.learn(set(chunks[k : k + CACHE // 2]))
-            out += map(self.known.__getitem__, chunks[k : k + CACHE // 2])
+        for k in range(0, len(chunks), self.cache // 2):
+            self.learn(set(chunks[k : k + self.cache // 2]))
+            out += map(self.known.__getitem__, chunks[k : k + self.cache // 2])
         return b"".join(out)
 
 
 ENCODERS: dict[str, ChunkIds] = {}
+OTHERS.append(ENCODERS)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """Per piece: the key, piece (from 0), start (ids before it), length, ids (binary, little-endian unsigned 32-bit)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        encoder = ENCODERS.get(path) or ENCODERS.setdefault(path, ChunkIds(path))
+        encoder = ENCODERS.get(path) or ENCODERS.setdefault(path, ChunkIds(path, cache))
         end, step = array("I", [end_id]).tobytes(), 4 * capacity
         for b in slices(batches):
             rows, piece, ids = [], [], []
@@ -227,6 +229,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def packed_documents(docs: DataFrame, path: str) -> DataFrame:
-    pieces = tokenized(docs, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def packed_documents(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
+    pieces = tokenized(docs, path, cache=cache).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(saved(pieces))  # two Python stages in a row would keep twice the workers, each with a cache

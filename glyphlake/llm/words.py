@@ -63,6 +63,10 @@ class WordHashes(dict):
 HASHES: dict[int, WordHashes] = {}
 
 
+#: Caches of other operators that go when hashes of words are asked for.
+OTHERS: list[dict] = []
+
+
 def forget() -> None:
     """Empties the caches of words in this process, before an operator that needs much memory of its own."""
     HASHES.clear()
@@ -70,7 +74,11 @@ def forget() -> None:
 
 
 def word_hashes(seed: int = 0) -> WordHashes:
-    """One cache for each seed and worker process; it outlives a task."""
+    """One cache for each seed and worker process; it outlives a task, until an operator with another kind of cache runs in the process."""
+    if any(OTHERS):
+        for other in OTHERS:
+            other.clear()
+        trim()
     return HASHES.setdefault(seed, WordHashes(seed))
 
 
