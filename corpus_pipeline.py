@@ -70,7 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     importable(spark)
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=120_000)  # of chunks, as workers hold memory of the stages before
 
 
 STAGES = [("quality rules", keep_good), ("n-gram Jaccard join", keep_one_of_each_group), ("substring dedup", without_repeats), ("secret scans", without_secrets), ("best-fit packing", packed)]
