@@ -191,6 +191,30 @@ def chunks(df: DataFrame, group: str, order: str, window: int = 20) -> DataFrame
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / window).cast("int"))
 
 
+def paragraph_chunks(sentences: DataFrame, paragraphs: DataFrame, group: str, order: str, text: str, window: int = 20, least: int = 8) -> DataFrame:
+    """`chunk` of each sentence: along the paragraphs of its group, where there are `least` of them, else by windows of fixed size.
+
+    A paragraph ends at the first sentence with which the sentences' running length reaches the paragraphs' running length less one; one that ends several
+    paragraphs closes one chunk. So a sentence closes a chunk just if it reaches more paragraph ends than the one before, and its chunk is how many did
+    before it: running sums only. Sentences after the last paragraph are one more chunk. Both tables have `group`, `order` (unique in a group) and `text`;
+    null texts count as empty.
+    """
+    w, before = Window.partitionBy(group).orderBy(order), Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    parts = paragraphs.select(F.col(group).alias("_g"), (F.sum(size).over(w) - 1).alias("_end"))
+    enough = parts.groupBy("_g").agg(F.count(F.lit(1)).alias("_parts")).filter(F.col("_parts") >= least)
+    rows = sentences.withColumn("_sum", F.sum(size).over(w)).join(enough, F.col(group) == F.col("_g"), "left").drop("_g")
+    marks = parts.join(enough.select("_g"), "_g").select("_g", F.col("_end").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"), F.lit(None).cast(sentences.schema[order].dataType).alias("_order"))
+    places = rows.filter("_parts is not null").select(F.col(group).alias("_g"), F.col("_sum").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_one"), F.col(order).alias("_order"))
+    reached = marks.unionByName(places).withColumn("_reached", F.sum("_one").over(Window.partitionBy("_g").orderBy("_at", "_kind", "_order").rowsBetween(Window.unboundedPreceding, 0)))
+    reached = reached.filter("_kind = 1").select("_g", "_order", "_reached")
+    out = rows.join(reached, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_order")), "left").drop("_g", "_order")
+    closes = (F.coalesce("_reached", F.lit(0)) > F.coalesce(F.lag("_reached").over(w), F.lit(0))).cast("int")
+    out = out.withColumn("_closes", closes).withColumn("_number", F.row_number().over(w))
+    chunk = F.when(F.col("_parts").isNull(), F.floor((F.col("_number") - 1) / window)).otherwise(F.coalesce(F.sum("_closes").over(before), F.lit(0)))
+    return out.withColumn("chunk", chunk.cast("int")).drop("_sum", "_parts", "_reached", "_closes", "_number")
+
+
 def usable_pairs(pairs: DataFrame, source: str, target: str, cap: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Pairs with two non-empty sides, and how many sides are over the cap in bytes."""
     kept = pairs.filter((stripped(F.col(source)) != "") & (stripped(F.col(target)) != ""))

@@ -146,12 +146,33 @@ def edit_gate(make_scorer: Callable[[], object], **settings):
 
 
 def margin_grid(scored: DataFrame, margins: list[float], edit_margins: list[float]) -> DataFrame:
-    """Mean error per (margin, edit_margin) from cached rows: sentence_delta, and windows array<struct<delta, cer_gain>> with input_cer."""
-    grid = scored.sparkSession.createDataFrame([(float(a), float(b)) for a in margins for b in edit_margins], "margin double, edit_margin double")
-    rows = scored.crossJoin(F.broadcast(grid))  # a short grid
-    gained = F.aggregate(F.filter("windows", lambda w: w["delta"] >= F.col("edit_margin")), F.lit(0.0), lambda s, w: s + w["cer_gain"])
-    out = F.when(F.col("sentence_delta") >= F.col("margin"), F.col("input_cer") - gained).otherwise(F.col("input_cer"))
-    return rows.groupBy("margin", "edit_margin").agg(F.avg(out).alias("mean_cer")).orderBy("mean_cer", F.desc("edit_margin"), F.desc("margin"))
+    """Mean error per (margin, edit_margin) from cached rows: sentence_delta, and windows array<struct<delta, cer_gain>> with input_cer.
+
+    One pass: the gains of all windows are added up by how many margins their sentence and they themselves reach, and a cell's gain is the sum of all that
+    reach both of its margins. Windows and sentences without a finite delta reach none. The best cell comes first; of equal errors the one with the
+    larger edit margin, then with the larger margin.
+    """
+    spark, margins, edit_margins = scored.sparkSession, sorted(map(float, margins)), sorted(map(float, edit_margins))
+    reached = lambda value, steps: F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0).otherwise(sum(((value >= s).cast("int") for s in steps), F.lit(0)))
+    total = scored.agg(F.count("input_cer").alias("rows"), F.avg("input_cer").alias("input"))
+    windows = scored.filter("input_cer is not null").select(reached(F.col("sentence_delta"), margins).alias("a"), F.explode("windows").alias("w")).filter("a > 0")
+    gains = windows.select("a", reached(F.col("w.delta"), edit_margins).alias("b"), F.col("w.cer_gain").alias("gain")).filter("b > 0").groupBy("a", "b").agg(F.sum("gain").alias("gain"))
+    cells = spark.createDataFrame([(i + 1, j + 1, a, b) for i, a in enumerate(margins) for j, b in enumerate(edit_margins)], "i int, j int, margin double, edit_margin double")
+    summed = cells.join(F.broadcast(gains), (F.col("a") >= F.col("i")) & (F.col("b") >= F.col("j")), "left").groupBy("margin", "edit_margin").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"))  # a row per cell on both sides
+    out = summed.crossJoin(F.broadcast(total))  # one row
+    return out.select("margin", "edit_margin", (F.col("input") - F.col("gain") / F.col("rows")).alias("mean_cer")).orderBy("mean_cer", F.desc("edit_margin"), F.desc("margin"))
+
+
+#: Margins tried for sentences and for single edits.
+MARGINS = (0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5)
+
+
+def best_margins(scored: DataFrame, margins: list[float] = MARGINS, edit_margins: list[float] = MARGINS, tie: float = 1e-9) -> dict:
+    """The cell of the least error; within `tie` of it the largest edit margin, then the largest margin."""
+    rows = [r.asDict() for r in margin_grid(scored, margins, edit_margins).collect()]  # a row per cell
+    least = min((r["mean_cer"] for r in rows if r["mean_cer"] is not None), default=None)
+    near = [r for r in rows if least is not None and r["mean_cer"] <= least + tie]
+    return max(near, key=lambda r: (r["edit_margin"], r["margin"]), default={})
 
 
 def whitelist(confusions: DataFrame, k: int = 200) -> DataFrame:

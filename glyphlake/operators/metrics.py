@@ -188,6 +188,42 @@ def temperature(logits: DataFrame, grid: list[float]) -> DataFrame:
     return rows.groupBy("temperature").agg(F.avg(norm - F.element_at(scaled, F.col("target") + 1)).alias("nll"))
 
 
+#: Temperatures tried; 1 is always among them.
+TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.15, 1.3, 1.5, 1.75, 2.0, 2.5)
+BINS = 10
+
+
+def temperature_table(logits: DataFrame, grid: tuple[float, ...] = TEMPERATURES, bins: int = BINS) -> DataFrame:
+    """Per temperature: mean negative log-likelihood, expected calibration error and number of rows, from rows (logits array, target index).
+
+    A row becomes a short array of its figures at all temperatures; one aggregate by temperature and bin of confidence has all of them. The predicted index is
+    the first of the largest logits.
+    """
+    temperatures = sorted({float(t) for t in grid} | {1.0})
+    rows = logits.filter("target is not null and size(logits) > target and target >= 0").select("logits", "target", F.array_max("logits").alias("_top"))
+    hit = (F.array_position("logits", F.col("_top")) - 1 == F.col("target")).cast("double")
+    gold = F.element_at("logits", (F.col("target") + 1).cast("int"))
+
+    def at(t: float) -> Column:
+        mass = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("_top")) / max(t, 1e-3)))
+        return F.struct(F.lit(t).alias("temperature"), (1.0 / mass).alias("confidence"), (F.log(mass) - (gold - F.col("_top")) / max(t, 1e-3)).alias("nll"))
+
+    flat = rows.select(hit.alias("hit"), F.explode(F.array(*map(at, temperatures))).alias("x")).select("hit", "x.*")
+    flat = flat.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("confidence") * bins)))
+    binned = flat.groupBy("temperature", "bin").agg(F.sum("confidence").alias("c"), F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"), F.sum("nll").alias("nll"))
+    out = binned.groupBy("temperature").agg(F.sum("n").alias("n_tokens"), (F.sum("nll") / F.sum("n")).alias("nll"), (F.sum(F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"))
+    return out.select("temperature", "nll", "ece", "n_tokens")
+
+
+def calibrated_temperature(logits: DataFrame, grid: tuple[float, ...] = TEMPERATURES, bins: int = BINS) -> dict:
+    """The temperature of the least negative log-likelihood (ties: nearest 1), with likelihood and calibration error before and after."""
+    rows = {r["temperature"]: r for r in temperature_table(logits, grid, bins).collect()}  # a row per temperature
+    if not rows:
+        return {"temperature": 1.0, "n_tokens": 0}
+    best = min(rows, key=lambda t: (rows[t]["nll"], abs(t - 1.0), t))
+    return {"temperature": best, "pre_nll": rows[1.0]["nll"], "post_nll": rows[best]["nll"], "pre_ece": rows[1.0]["ece"], "post_ece": rows[best]["ece"], "n_tokens": rows[1.0]["n_tokens"]}
+
+
 def valid_predictions(records: DataFrame, blind: bool = False) -> DataFrame:
     """Rows that break the schema, with the reason; none if all is well."""
     missing = [c for c in REQUIRED if c not in records.columns]

@@ -350,25 +350,6 @@ def beam_correct(spark, sf_dir):
     return models.corrected(pairs, "item_id", "noisy", options, counts, channel)
 
 
-@query()
-def per_edit_gate(spark, sf_dir):
-    _, pairs, options, counts, channel = _corrector(spark, sf_dir)
-    done = models.corrected(pairs, "item_id", "noisy", options, counts, channel, margin=-1e9)
-    rows = done.select("item_id", F.col("input").alias("input_noisy"), "prediction", "gain", F.col("input").rlike(r"\b\p{Lu}").alias("has_name"), F.lit(False).alias("has_rare"))
-    return metrics.gated(rows, "gain", 0.4)
-
-
-@query()
-def hybrid_grid(spark, sf_dir):
-    """Grid of fusion weights over candidate words of the benchmark, errors by edit distance."""
-    _, pairs, options, _, _ = _corrector(spark, sf_dir)
-    words = pairs.select("item_id", F.arrays_zip(T.words(F.col("noisy")).alias("n"), T.words(F.col("clean")).alias("c")).alias("z")).select(F.explode("z").alias("z")).select(F.col("z.n").alias("word"), F.col("z.c").alias("clean")).filter("word is not null and clean is not null").distinct()
-    rows = words.join(options, "word").withColumn("sample_id", F.concat_ws("|", "word", "clean"))
-    scores = rows.select("sample_id", "cand", F.coalesce("logp", F.lit(-20.0)).alias("lm"), models.channel_distance(F.col("word"), F.col("cand")).alias("channel"), (-F.abs(F.length("word") - F.length("cand"))).cast("double").alias("neural"), edits.cer_levenshtein(F.col("clean"), F.col("cand")).alias("cer"), (F.col("cand") == F.col("word")).alias("is_identity"))
-    grid = [(a, b, c, m) for a in (0.5, 1.0, 1.5) for b in (0.3, 0.6, 1.0) for c in (0.5, 1.5, 2.5) for m in (0.4, 1.2, 2.0)]
-    return metrics.grid_search(scores, grid)
-
-
 @query()
 def structure_noise(spark, sf_dir):
     return noise.structure_noise(table(spark, sf_dir, "benchmark"), "item_id", "text")

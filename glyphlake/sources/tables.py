@@ -6,7 +6,7 @@ import json
 import tempfile
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPS = "op string, noisy string, clean string"
@@ -14,8 +14,10 @@ PAIR = "noisy string, clean string"
 MANIFEST = "doc_id string, split string, subset_domain string, sample_id string, order_key int, token_or_sentence_level string, noisy string, clean string, source_type string"
 PREDICTION = "doc_id string, split string, subset_domain string, sample_id string, input_noisy string, prediction string, changed_flag boolean"
 
-#: Names that a corrected text may have beside a raw one, by priority; %s is the book.
-CORRECTED = ("%s_corrected.txt", "%s_corrected.txt.txt", "%s.txt", "%s_gt.txt", "%s_поправено.txt", "%s corrected.txt")
+#: Names that a corrected text may have beside a raw one, by priority; %s is the book (fixed values).
+CORRECTED = ("%s_corrected.txt", "%s поправено_corrected.txt", "%s_поправено_corrected.txt", "%s_поправено.txt", "%s поправено.txt")
+#: Characters of a run by which names are looked up.
+RUN = 3
 RAW = r"^(.*)_ocr_raw\.txt(?:\.txt)?$"
 
 
@@ -46,14 +48,41 @@ def book_pairs(spark: SparkSession, raw_folder: str, corrected_folder: str) -> D
     """(book, noisy, clean): raw texts with the corrected text of the best matching name; books without one do not come (see `unmatched`)."""
     raw = texts(spark, raw_folder).withColumn("book", F.regexp_extract("name", RAW, 1)).filter("book <> ''").dropDuplicates(["book"])
     fixed = texts(spark, corrected_folder).select(F.col("name").alias("file"), F.col("text").alias("clean"))
-    ranked = raw.select("book", F.posexplode(F.array(*[F.format_string(c, "book") for c in CORRECTED])).alias("rank", "file"))
-    exact = ranked.join(fixed, "file")
-    stem = F.lower(F.regexp_replace("file", r"(?i)[_ ]?(corrected|поправено).*$", ""))
-    loose = fixed.filter(F.lower("file").rlike("corrected|поправено")).withColumn("stem", stem).join(raw.select("book", F.lower("book").alias("stem")), "stem").select("book", F.lit(len(CORRECTED)).alias("rank"), "file", "clean")
-    best = exact.select("book", "rank", "file", "clean").unionByName(loose).withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy("rank", "file"))).filter("r = 1")
+    best = resolved_names(raw.select("book"), fixed.select("file"), "book").select("book", "file").join(fixed, "file")
     return raw.select("book", F.col("text").alias("noisy")).join(best.select("book", "clean"), "book")
 
 
+def _runs(name: Column) -> Column:
+    """The distinct runs of up to RUN characters of a name."""
+
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(k)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, range(1, RUN + 1)))))
+
+
+def resolved_names(names: DataFrame, files: DataFrame, name: str = "name", file: str = "file") -> DataFrame:
+    """Per distinct name that has one: the name, its file, rank and how many files match at that rank (more than one: it is ambiguous).
+
+    First the names of CORRECTED in their order, then, ranked behind them, any file whose stem holds the name without regard to case and either ends in
+    "corrected" or has "поправено" in it. Of several the smallest file name is taken. Names meet files by the run of characters of theirs that the
+    fewest files have, so no file is compared with all names. Null and empty names and files match nothing.
+    """
+    bases = names.select(F.col(name).alias("name")).filter("name <> ''").distinct()
+    listed = files.select(F.col(file).alias("file")).filter("file <> ''").distinct()
+    exact = bases.select("name", F.posexplode(F.array(*[F.format_string(c.replace("%s", "%1$s"), "name") for c in CORRECTED])).alias("rank", "file")).join(listed, "file").select("name", "rank", "file")
+    stem = F.lower(F.regexp_replace("file", r"\.[^.]*$", ""))
+    loose = listed.withColumn("stem", stem).filter(F.col("stem").endswith("corrected") | F.lower("file").contains("поправено"))
+    index = written(loose.select("file", "stem", F.explode(_runs(F.col("stem"))).alias("run")))
+    common = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    low = bases.withColumn("low", F.lower("name"))
+    asked = low.select("name", "low", F.explode(F.filter(_runs(F.col("low")), lambda x: F.length(x) == F.least(F.lit(RUN), F.length("low")))).alias("run")).join(common, "run", "left")
+    rarest = asked.groupBy("name", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x")).filter("x.n > 0").select("name", "low", "x.run")
+    held = rarest.join(index, "run").filter(F.expr("contains(stem, low)")).select("name", F.lit(len(CORRECTED)).alias("rank"), "file")
+    found = exact.unionByName(held).groupBy("name", "rank").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("matches"))
+    return found.groupBy("name").agg(F.min(F.struct("rank", "file", "matches")).alias("x")).select(F.col("name").alias(name), F.col("x.file").alias(file), "x.rank", "x.matches")
+
+
 def unmatched(spark: SparkSession, raw_folder: str, corrected_folder: str) -> DataFrame:
     raw = texts(spark, raw_folder).select(F.regexp_extract("name", RAW, 1).alias("book")).filter("book <> ''").distinct()
     return raw.join(book_pairs(spark, raw_folder, corrected_folder).select("book"), "book", "left_anti")
