@@ -18,14 +18,18 @@ from glyphlake.sources import tables
 
 
 def stage(spark: SparkSession, folder: str, name: str, content: dict, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table <folder>/<name>, made unless a run with the same content is complete."""
+    """The table <folder>/<name>, made unless a run with the same content is complete and its table is there whole."""
     path, key = f"{folder}/{name}", manifest.content_hash({"name": name, **content})
-    if force or not tables.finished(spark, f"{folder}/runs", key):
+    if force or not tables.finished(spark, f"{folder}/runs", key) or not tables.exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
         tables.append_run(spark, f"{folder}/runs", {"name": name, "hash": key, "status": "complete"})
     return spark.read.parquet(path)
 
 
+#: Tables of `alignment`.
+ALIGNED = ("pairs", "char_ops", "word_ops", "boundary", "stats", "quality")
+
+
 def alignment(books: DataFrame, splits: DataFrame, profile: Profile = MACEDONIAN, key: str = "book") -> dict[str, DataFrame]:
     """From (book, noisy, clean) whole texts: pairs, char_ops, word_ops, boundary, stats, quality. Books without a split are `unassigned`."""
     cut = lambda t: T.extracted_sentences(t, profile)
@@ -136,8 +140,16 @@ def reports(records: DataFrame, baseline: DataFrame, seeds: int = 1000) -> dict[
 
 def corpus(spark: SparkSession, raw: str, corrected: str, splits: DataFrame, out: str, profile: Profile = MACEDONIAN) -> dict[str, DataFrame]:
     """Folders of raw and corrected books to the tables of alignment and error analysis under `out`; made anew where a file has changed."""
-    books = tables.book_pairs(spark, raw, corrected)
-    content = {"raw": tables.listing(spark, raw), "corrected": tables.listing(spark, corrected)}
-    aligned = {k: stage(spark, out, k, content, lambda v=v: v) for k, v in alignment(books, splits, profile).items()}
+    given = splits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(splits.columns))), F.lit(0)).alias("x")).first()
+    content = {"raw": tables.listing(spark, raw), "corrected": tables.listing(spark, corrected), "splits": f"{given['n']}:{given['x']}", "profile": repr(profile)}
+    made: dict[str, DataFrame] = {}
+
+    def one(name: str) -> DataFrame:
+        """Sentences are aligned when the first table that is not there yet asks for it."""
+        if not made:
+            made.update(alignment(tables.book_pairs(spark, raw, corrected), splits, profile))
+        return made[name]
+
+    aligned = {k: stage(spark, out, k, content, lambda k=k: one(k)) for k in ALIGNED}
     analysed = {k: stage(spark, out, k, content, lambda v=v: v) for k, v in error_analysis(aligned["char_ops"], aligned["word_ops"], aligned["boundary"], profile=profile).items()}
     return aligned | analysed

@@ -1,5 +1,7 @@
 """The phases end to end on two small books, sources and sinks, and the stream."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def test_sources(spark, books):
     assert tables.jsonl(spark, books[0] + "/none", "a int").count() == 0
 
 
-def test_corpus(spark, books, tmp_path):
+def test_corpus(spark, books, tmp_path, monkeypatch):
     splits = spark.createDataFrame([("book0", "train")], "book string, split string")
     out = pipelines.corpus(spark, *books, splits, str(tmp_path))
     assert out["pairs"].count() == 6
@@ -37,9 +39,16 @@ def test_corpus(spark, books, tmp_path):
     assert sub["n"] == 1
     fam = out["families"].filter("clean = 'а' and noisy = 'a'").first()
     assert fam["is_homoglyph"] and not fam["is_diacritic"]
-    content = {"raw": tables.listing(spark, books[0]), "corrected": tables.listing(spark, books[1])}
-    again = pipelines.stage(spark, str(tmp_path), "pairs", content, lambda: 1 / 0)
-    assert again.count() == 6
+    aligned = pipelines.alignment
+    asked = []
+    monkeypatch.setattr(pipelines, "alignment", lambda *a: asked.append(a) or aligned(*a))
+    again = pipelines.corpus(spark, *books, splits, str(tmp_path))
+    assert not asked and again["pairs"].count() == 6  # nothing is aligned before a table turns out to be missing
+    shutil.rmtree(tmp_path / "stats")
+    assert pipelines.corpus(spark, *books, splits, str(tmp_path))["stats"].count() == 2 and len(asked) == 1
+    other = spark.createDataFrame([("book0", "test")], "book string, split string")
+    renewed = pipelines.corpus(spark, *books, other, str(tmp_path))["pairs"]
+    assert len(asked) == 2 and {r["split"] for r in renewed.select("split").distinct().collect()} == {"test", "unassigned"}
 
 
 def test_synthetic(spark):
