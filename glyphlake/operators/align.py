@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,46 +58,70 @@ def fast_similarity(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFr
     return joined.withColumn("similarity", SHINGLE_PART * by_shingles + WORD_PART * by_words).drop("dot", "aa", "bb")
 
 
-def _features(texts: list[str]) -> list[tuple[dict[str, int], set[str], float]]:
-    out = []
-    for t in texts:
-        counts: dict[str, int] = {}
-        for i in range(len(t) - 4):
-            counts[t[i : i + 5]] = counts.get(t[i : i + 5], 0) + 1
-        out.append((counts, set(t.lower().split()), float(np.sqrt(sum(v * v for v in counts.values())))))
-    return out
-
-
-def _alike(x, y) -> float:
-    few, many = (x[0], y[0]) if len(x[0]) <= len(y[0]) else (y[0], x[0])
-    dot = sum(n * many.get(s, 0) for s, n in few.items())
-    return SHINGLE_PART * dot / (x[2] * y[2] + EPSILON) + WORD_PART * len(x[1] & y[1]) / (np.sqrt(len(x[1]) * len(y[1])) + EPSILON)
+def _similarities(noisy: list[str], clean: list[str], rows: list[tuple[int, int]]) -> Iterator[dict[int, float]]:
+    """Per noisy sentence the clean ones in its range that it shares a shingle or a word with, and their similarity; of the others it is 0.
+
+    Sentences meet by an index of the clean side, so the cost is that of what they share, not of all cells.
+    """
+    shingled = lambda t: Counter(t[i : i + 5] for i in range(len(t) - 4))
+    norm = lambda counts: math.sqrt(sum(n * n for n in counts.values()))
+    by_shingle, by_word = defaultdict(list), defaultdict(list)
+    norms, sizes = [], []
+    for j, t in enumerate(clean):
+        counts, words = shingled(t), set(t.lower().split())
+        norms.append(norm(counts))
+        sizes.append(len(words))
+        for s, n in counts.items():
+            by_shingle[s].append((j, n))
+        for w in words:
+            by_word[w].append(j)
+    for t, (low, high) in zip(noisy, rows, strict=True):
+        counts, words = shingled(t), set(t.lower().split())
+        dot, both = defaultdict(int), defaultdict(int)
+        for s, n in counts.items():
+            places = by_shingle.get(s, ())
+            for j, k in places[bisect_left(places, (low,)) : bisect_left(places, (high + 1,))]:
+                dot[j] += n * k
+        for w in words:
+            places = by_word.get(w, ())
+            for j in places[bisect_left(places, low) : bisect_left(places, high + 1)]:
+                both[j] += 1
+        own = norm(counts)
+        yield {j: SHINGLE_PART * dot.get(j, 0) / (own * norms[j] + EPSILON) + WORD_PART * both.get(j, 0) / (math.sqrt(len(words) * sizes[j]) + EPSILON) for j in dot.keys() | both.keys()}
 
 
 def aligned(noisy: list[str], clean: list[str], min_diagonal: float = MIN_DIAGONAL, gap: float = GAP, min_pair: float = MIN_PAIR) -> list[tuple[str, str, float]]:
-    """Pairs of sentences on the best path within the band, with their ratio; ties go to the pair, then to skipping a noisy sentence."""
+    """Pairs of sentences on the best path within the band, with their ratio; ties go to the pair, then to skipping a noisy sentence.
+
+    Two rows of scores and a byte per cell of the band are held. Where the band has no path, sentences pair by their places.
+    """
     m, n = len(noisy), len(clean)
     if not m or not n:
         return []
     wide = min(0.4, 0.10 + 0.5 * abs(1 - m / n))
-    fa, fb = _features(noisy), _features(clean)
-    score = np.full((m + 1, n + 1), -np.inf)
-    move = np.zeros((m + 1, n + 1), np.int8)
-    score[0, :], score[:, 0] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    move[0, 1:], move[1:, 0] = 3, 2
-    for i in range(1, m + 1):
-        low, high = max(1, int(np.ceil((i / m - wide) * n - 1e-9))), min(n, int(np.floor((i / m + wide) * n + 1e-9)))
+    ranges = [(max(1, math.ceil((i / m - wide) * n - 1e-9)), min(n, math.floor((i / m + wide) * n + 1e-9))) for i in range(1, m + 1)]
+    none = -math.inf
+    last, moves = [gap * j for j in range(n + 1)], []
+    for i, ((low, high), alike) in enumerate(zip(ranges, _similarities(noisy, clean, [(a - 1, b - 1) for a, b in ranges]), strict=True), 1):
+        row, moved = [none] * (n + 1), bytearray(max(high - low + 1, 0))
+        row[0] = gap * i
         for j in range(low, high + 1):
-            s = _alike(fa[i - 1], fb[j - 1])
-            ways = (score[i - 1, j - 1] + s if s >= min_diagonal else -np.inf, score[i - 1, j] + gap, score[i, j - 1] + gap)
-            k = int(np.argmax(ways))  # the first of equal ones
-            score[i, j], move[i, j] = ways[k], k + 1
-    if np.isfinite(score[m, n]):
+            s = alike.get(j - 1, 0.0)
+            top, move = (last[j - 1] + s if s >= min_diagonal else none), 1
+            if last[j] + gap > top:
+                top, move = last[j] + gap, 2
+            if row[j - 1] + gap > top:
+                top, move = row[j - 1] + gap, 3
+            row[j], moved[j - low] = top, move
+        last = row
+        moves.append(moved)
+    if math.isfinite(last[n]):
         pairs, i, j = [], m, n
         while i and j:
-            if move[i, j] == 1:
+            move = moves[i - 1][j - ranges[i - 1][0]]
+            if move == 1:
                 pairs.append((noisy[i - 1], clean[j - 1]))
-            i, j = i - (move[i, j] != 3), j - (move[i, j] != 2)
+            i, j = i - (move != 3), j - (move != 2)
         pairs.reverse()
     else:
         pairs = list(zip(noisy, clean, strict=False))

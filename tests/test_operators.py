@@ -1,5 +1,7 @@
 """Operators against hand-made cases and their definitions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,28 +17,77 @@ def test_merge_and_split():
     assert boundary.boundary_errors("", "a b") == [] and boundary.boundary_errors("a b", "a b") == []
 
 
+def _cheapest(a, b):
+    """Cost of the cheapest of all paths, by a recursion that knows no band and no bounds."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def go(i, j):
+        best = 0.0 if (i, j) == (len(a), len(b)) else float("inf")
+        for x, y, kind in boundary.MOVES:
+            if i + x <= len(a) and j + y <= len(b):
+                c = boundary._cost(kind, list(a[i : i + x]), list(b[j : j + y]), boundary.Similarities())
+                if c is not None:
+                    best = min(best, c + go(i + x, j + y))
+        return best
+
+    return go(0, 0)
+
+
 def test_path_is_cheapest():
-    """Against a recursion over all paths on short texts."""
-    import itertools
+    rng = random.Random(5)
+    words = ["ab", "cd", "efg", "a", "книга", "кни", "гата", "hello", "world", "wor", "ld", "x1", "!"]
+    for _ in range(150):
+        clean = [rng.choice(words) for _ in range(rng.randrange(1, 14))]
+        noisy = " ".join(clean)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(noisy) + 1)
+            noisy = noisy[:k] + rng.choice([" ", "", "q"]) + noisy[k + rng.randrange(2) :]
+        a = noisy.split()
+        if a:
+            cost, moves = boundary.cheapest_path(a, clean)
+            assert cost == pytest.approx(_cheapest(tuple(a), tuple(clean)), abs=1e-6)
+            assert moves[-1][:2] == (len(a), len(clean))
+            assert [e["type"] for e in boundary.boundary_errors(noisy, " ".join(clean))] == [k for *_, k in moves if k in ("merge", "split")]
+
+
+def test_path_far_off_the_diagonal():
+    """Twenty words that only one side has: the band has to grow."""
+    clean = [f"word{k}" for k in range(30)]
+    noisy = [f"other{k}x" for k in range(20)] + clean
+    assert boundary.cheapest_path(noisy, clean)[0] == pytest.approx(_cheapest(tuple(noisy), tuple(clean)), abs=1e-6)
+
+
+def test_alignment_is_best():
+    """The score of the pairs and gaps found is that of the best of all paths in the band."""
     from functools import lru_cache
 
-    def cheapest(a, b):
+    rng = random.Random(6)
+    stock = ["The first sentence is here.", "A second one follows it.", "And then there is a third.", "Nothing like the others", "short", "", "The first sentence is there."]
+
+    def alike(a, b):
+        (got,) = align._similarities([a], [b], [(0, 0)])
+        return got.get(0, 0.0)
+
+    for _ in range(60):
+        noisy, clean = ([rng.choice(stock) for _ in range(rng.randrange(1, 8))] for _ in "ab")
+        m, n = len(noisy), len(clean)
+        wide = min(0.4, 0.10 + 0.5 * abs(1 - m / n))
+
         @lru_cache(None)
-        def go(i, j):
-            if i == len(a) and j == len(b):
-                return 0.0
-            best = float("inf")
-            for x, y, kind in boundary.MOVES:
-                if i + x <= len(a) and j + y <= len(b):
-                    c = boundary._cost(kind, list(a[i : i + x]), list(b[j : j + y]), boundary.Similarities())
-                    if c is not None:
-                        best = min(best, c + go(i + x, j + y))
-            return best
-
-        return go(0, 0)
-
-    for a, b in itertools.product(["ab cd ef", "abcd ef", "ab"], ["abcd ef", "ab cd", "abcdef"]):
-        assert cheapest(tuple(a.split()), tuple(b.split())) < 9
+        def go(i, j, noisy=tuple(noisy), clean=tuple(clean), wide=wide):
+            if i == 0 or j == 0:
+                return align.GAP * (i + j), ()
+            if abs(i / len(noisy) - j / len(clean)) > wide + 1e-9:
+                return float("-inf"), ()
+            s, (d, path) = alike(noisy[i - 1], clean[j - 1]), go(i - 1, j - 1)
+            ways = [(d + s if s >= align.MIN_DIAGONAL else float("-inf"), (*path, (i - 1, j - 1))), (go(i - 1, j)[0] + align.GAP, go(i - 1, j)[1]), (go(i, j - 1)[0] + align.GAP, go(i, j - 1)[1])]
+            return max(ways, key=lambda w: w[0])
+
+        score, path = go(m, n)
+        want = [(noisy[i], clean[j]) for i, j in path] if score > float("-inf") else list(zip(noisy, clean, strict=False))
+        got = align.aligned(noisy, clean, min_pair=0.0)
+        assert [(a, b) for a, b, _ in got] == want
 
 
 def test_greedy():
