@@ -66,23 +66,35 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return dealt.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("i", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
 
 
-def bootstrap(deltas: DataFrame, delta: str = "delta", order: str = "sample_id", resamples: int = 1000, salt: str = "boot") -> DataFrame:
-    """Mean delta, its 95 % interval and two-sided p from resamples drawn by hash: draw k of resample b takes row md5(b:k:salt) mod n.
+def bootstraps(deltas: DataFrame, columns: list[str], order: str = "sample_id", resamples: int = 1000, salt: str = "boot") -> DataFrame:
+    """`n` and, per column of deltas, a struct of its mean, its 95 % interval and two-sided p from resamples drawn by hash: draw k of resample b takes row
+    md5(b:k:salt) mod n. All columns are taken from the same draws.
 
     Rows are numbered within ranges of the order, which are then set one after another. Deltas are per-sample scores of an evaluation set.
     """
     n = deltas.count()
     if not n:
-        return deltas.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 1.0, 0)], "mean double, low double, high double, p double, n long")
-    rows = numbered(deltas.select(order, F.col(delta).alias("d")), order).select("i", "d")
+        none = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(1.0).alias("p"))
+        return deltas.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), *[none.alias(c) for c in columns])
+    rows = numbered(deltas.select(order, *columns), order).select("i", *columns)
     grid = deltas.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "k", F.lit(salt))), 1, 8), 16, 10).cast("bigint") % n
-    means = grid.select("b", pick.alias("i")).join(rows, "i").groupBy("b").agg(F.avg("d").alias("m"))
-    listed = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # `resamples` numbers
-    whole = rows.agg(F.avg("d").alias("mean"))
-    opposite = F.when(F.col("mean") < 0, F.size(F.filter("m", lambda x: x >= 0))).otherwise(F.size(F.filter("m", lambda x: x <= 0))) / resamples
+    means = grid.select("b", pick.alias("i")).join(rows, "i").groupBy("b").agg(*[F.avg(c).alias(c) for c in columns])
+    listed = means.agg(*[F.sort_array(F.collect_list(c)).alias(f"{c}_m") for c in columns])  # `resamples` numbers each
+    whole = rows.agg(*[F.avg(c).alias(c) for c in columns])
     low, high = int(0.025 * resamples), int(0.975 * resamples) - 1
-    return whole.crossJoin(listed).select("mean", F.col("m")[low].alias("low"), F.col("m")[high].alias("high"), F.least(F.lit(1.0), 2 * opposite).alias("p"), F.lit(n).cast("long").alias("n"))
+
+    def found(c: str) -> Column:
+        m = F.col(f"{c}_m")
+        opposite = F.when(F.col(c) < 0, F.size(F.filter(m, lambda x: x >= 0))).otherwise(F.size(F.filter(m, lambda x: x <= 0))) / resamples
+        return F.struct(F.col(c).alias("mean"), m[low].alias("low"), m[high].alias("high"), F.least(F.lit(1.0), 2 * opposite).alias("p")).alias(c)
+
+    return whole.crossJoin(listed).select(F.lit(n).cast("long").alias("n"), *map(found, columns))  # one row each
+
+
+def bootstrap(deltas: DataFrame, delta: str = "delta", order: str = "sample_id", resamples: int = 1000, salt: str = "boot") -> DataFrame:
+    """`bootstraps` of one column: mean, low, high, p, n."""
+    return bootstraps(deltas.select(order, F.col(delta).alias("d")), ["d"], order, resamples, salt).select("d.*", "n")
 
 
 def latency(records: DataFrame, ms: str = "ms") -> DataFrame:

@@ -59,20 +59,24 @@ def calibration_table(records: DataFrame, confidence: str, correct: str, tempera
 
 
 def significance_table(records: DataFrame, baseline: str = "identity", rival: str = "classical", resamples: int = 1000) -> DataFrame | None:
-    """Paired bootstraps of each system against the baseline and the rival, per regime. Systems with other samples than the baseline's are left out."""
-    sizes = {(r["regime"], r["model"]): r["n"] for r in records.groupBy("regime", "model").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per run
+    """Paired bootstraps of each system against the baseline and the rival, per regime. Where the two have not the same samples, there is no row; None without any."""
+    runs = records.select("regime", "model", "sample_id")
+    sizes = {(r["regime"], r["model"]): r["n"] for r in runs.groupBy("regime", "model").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per run
+    others = runs.filter(F.col("model").isin(baseline, rival)).withColumnRenamed("model", "other")
+    shared = runs.join(others, ["regime", "sample_id"]).groupBy("regime", "model", "other").agg(F.count(F.lit(1)).alias("n"))
     out = None
-    for regime, system in sorted(sizes):
-        for other in (baseline, rival):
-            if system in (baseline, other) or sizes.get((regime, other)) != sizes[regime, system]:
-                continue
-            of = lambda m, regime=regime: records.filter((F.col("regime") == regime) & (F.col("model") == m)).select("sample_id", "cer", "wer")
-            both = of(system).join(of(other).withColumnsRenamed({"cer": "cer0", "wer": "wer0"}), "sample_id")
-            c, w = (metrics.bootstrap(both.select("sample_id", (F.col(m) - F.col(f"{m}0")).alias("delta")), resamples=resamples) for m in ("cer", "wer"))
-            row = c.select(
-                F.lit(regime).alias("regime"), F.lit(system).alias("system"), F.lit(other).alias("vs_baseline"), "n", F.round("mean", 6).alias("cer_mean_delta"), F.round("low", 6).alias("cer_ci_low"), F.round("high", 6).alias("cer_ci_high"), F.round("p", 5).alias("cer_p_value")
-            ).crossJoin(w.select(F.round("mean", 6).alias("wer_mean_delta"), F.round("p", 5).alias("wer_p_value")))  # one row each
-            out = row if out is None else out.unionByName(row)
+    for r in sorted(shared.collect(), key=lambda r: (r["regime"], r["model"], r["other"] == rival)):  # at most two rows per run
+        regime, system, other = r["regime"], r["model"], r["other"]
+        if system in (baseline, other) or not r["n"] == sizes[regime, system] == sizes[regime, other]:
+            continue
+        of = lambda m, regime=regime: records.filter((F.col("regime") == regime) & (F.col("model") == m)).select("sample_id", "cer", "wer")
+        both = of(system).join(of(other).withColumnsRenamed({"cer": "cer0", "wer": "wer0"}), "sample_id")
+        drawn = metrics.bootstraps(both.select("sample_id", *[(F.col(m) - F.col(f"{m}0")).alias(m) for m in ("cer", "wer")]), ["cer", "wer"], resamples=resamples)
+        row = drawn.select(
+            F.lit(regime).alias("regime"), F.lit(system).alias("system"), F.lit(other).alias("vs_baseline"), "n", F.round("cer.mean", 6).alias("cer_mean_delta"), F.round("cer.low", 6).alias("cer_ci_low"), F.round("cer.high", 6).alias("cer_ci_high"), F.round("cer.p", 5).alias("cer_p_value"),
+            F.round("wer.mean", 6).alias("wer_mean_delta"), F.round("wer.p", 5).alias("wer_p_value"),
+        )
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from glyphlake.functions import edits
 from glyphlake.functions import text as T
 from glyphlake.functions.profiles import MACEDONIAN, Profile
-from glyphlake.operators import align, boundary, confusion, manifest, metrics, models, noise, realism
-from glyphlake.sources import tables
+from glyphlake.operators import align, boundary, confusion, manifest, models, noise, realism, scripts
+from glyphlake.sources import published, tables
 
 
 def stage(spark: SparkSession, folder: str, name: str, content: dict, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table <folder>/<name>, made unless a run with the same content is complete and its table is there whole."""
-    path, key = f"{folder}/{name}", manifest.content_hash({"name": name, **content})
+    """The table of this content under <folder>/<name>, made unless a run with it is complete and its table is there whole. Tables of other contents stay."""
+    key = manifest.content_hash({"name": name, **content})
+    path = f"{folder}/{name}/{key[:16]}"
     if force or not tables.finished(spark, f"{folder}/runs", key) or not tables.exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
         tables.append_run(spark, f"{folder}/runs", {"name": name, "hash": key, "status": "complete"})
@@ -37,10 +38,9 @@ def alignment(books: DataFrame, splits: DataFrame, profile: Profile = MACEDONIAN
     pairs = align.sentence_pairs(sentences, key).join(splits, key, "left").withColumn("split", F.coalesce("split", F.lit("unassigned")))
     pairs = tables.written(pairs)  # all tables come from it, and the sentences are aligned once
     keys = [key, "split", F.col("pos").alias("pair_pos")]
-    keyed = pairs.select(*keys, "noisy", "clean")
     names = [key, "split", "pair_pos"]
-    chars, words = confusion.edits(keyed, names, "char"), confusion.edits(keyed, names, "word")
-    edges = boundary.boundary_table(keyed, names)
+    rows = tables.written(scripts.alignment_rows(pairs.select(*keys, "noisy", "clean"), names))  # each pair is read once for its edits and boundary errors
+    chars, words, edges = scripts.edit_rows(rows, names, "char"), scripts.edit_rows(rows, names, "word"), scripts.boundary_rows(rows, names)
     counts = sentences.groupBy(key).agg(F.count_if(F.col("side") == "noisy").alias("n_noisy"), F.count_if(F.col("side") == "clean").alias("n_clean"))
     quality = align.alignment_quality(pairs, counts, key)
 
@@ -128,28 +128,21 @@ def identity(rows: DataFrame) -> DataFrame:
     return measured(rows.withColumnRenamed("noisy", "input_noisy").withColumn("prediction", F.col("input_noisy")).withColumn("changed_flag", F.lit(False)))
 
 
-def reports(records: DataFrame, baseline: DataFrame, seeds: int = 1000) -> dict[str, DataFrame]:
-    """Report tables from records with model and regime."""
-    keys = ["model", "regime"]
-    deltas = records.join(baseline.select("sample_id", F.col("cer").alias("base")), "sample_id").select("sample_id", (F.col("cer") - F.col("base")).alias("delta"))
-    return {
-        "main": metrics.aggregate(records, keys), "cross_domain": metrics.aggregate(records, keys, "subset_domain"), "oracle": metrics.oracle_best(records.withColumn("rank", F.lit(1)).unionByName(baseline.withColumn("rank", F.lit(0)), allowMissingColumns=True)),
-        "significance": metrics.bootstrap(deltas, resamples=seeds), "headroom": metrics.headroom_curve(records, group="regime"),
-    }
-
-
 def corpus(spark: SparkSession, raw: str, corrected: str, splits: DataFrame, out: str, profile: Profile = MACEDONIAN) -> dict[str, DataFrame]:
-    """Folders of raw and corrected books to the tables of alignment and error analysis under `out`; made anew where a file has changed."""
-    given = splits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(splits.columns))), F.lit(0)).alias("x")).first()
-    content = {"raw": tables.listing(spark, raw), "corrected": tables.listing(spark, corrected), "splits": f"{given['n']}:{given['x']}", "profile": repr(profile)}
-    made: dict[str, DataFrame] = {}
-
-    def one(name: str) -> DataFrame:
-        """Sentences are aligned when the first table that is not there yet asks for it."""
-        if not made:
-            made.update(alignment(tables.book_pairs(spark, raw, corrected), splits, profile))
-        return made[name]
-
-    aligned = {k: stage(spark, out, k, content, lambda k=k: one(k)) for k in ALIGNED}
-    analysed = {k: stage(spark, out, k, content, lambda v=v: v) for k, v in error_analysis(aligned["char_ops"], aligned["word_ops"], aligned["boundary"], profile=profile).items()}
-    return aligned | analysed
+    """Folders of raw and corrected books to the tables of alignment and error analysis under `out`.
+
+    Books are published with all their tables at once; only those are aligned whose files, split or profile have changed. What is known of the
+    files tells that before any text is read. The analysis is made anew where any book has changed.
+    """
+    given = tables.book_versions(spark, raw, corrected).join(splits.select("book", "split"), "book", "left")
+    content = given.select("book", F.sha2(F.to_json(F.struct("version", "split", F.lit(repr(profile)).alias("profile"))), 256).alias("digest"))
+    names, folder = list(ALIGNED), f"{out}/books"
+    known = published.latest(spark, folder, names)
+    fresh = tables.written(published.pending(content, known))
+    if known is None or not fresh.isEmpty():
+        books = tables.book_pairs(spark, raw, corrected).join(fresh.filter("digest is not null").select("book"), "book", "left_semi")
+        published.commit(spark, folder, alignment(books, splits, profile), fresh, by=("split",))
+        known = published.latest(spark, folder, names)
+    aligned = {k: published.read(spark, folder, k, names) for k in ALIGNED}
+    key = {"books": published.digest(known)}
+    return aligned | {k: stage(spark, out, k, key, lambda v=v: v) for k, v in error_analysis(aligned["char_ops"], aligned["word_ops"], aligned["boundary"], profile=profile).items()}

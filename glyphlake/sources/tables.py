@@ -46,12 +46,25 @@ def listing(spark: SparkSession, folder: str) -> str:
 
 def book_pairs(spark: SparkSession, raw_folder: str, corrected_folder: str) -> DataFrame:
     """(book, noisy, clean): raw texts with the corrected text of the best matching name; books without one do not come (see `unmatched`)."""
-    raw = texts(spark, raw_folder).withColumn("book", F.regexp_extract("name", RAW, 1)).filter("book <> ''").dropDuplicates(["book"])
+    raw = texts(spark, raw_folder).withColumn("book", F.regexp_extract("name", RAW, 1)).filter("book <> ''").groupBy("book").agg(F.min_by("text", "name").alias("text"))
     fixed = texts(spark, corrected_folder).select(F.col("name").alias("file"), F.col("text").alias("clean"))
     best = resolved_names(raw.select("book"), fixed.select("file"), "book").select("book", "file").join(fixed, "file")
     return raw.select("book", F.col("text").alias("noisy")).join(best.select("book", "clean"), "book")
 
 
+def book_versions(spark: SparkSession, raw_folder: str, corrected_folder: str) -> DataFrame:
+    """(book, version) of the books of `book_pairs`: names, sizes and times of both files. No text is read."""
+
+    def files(folder: str) -> DataFrame:
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+        return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.concat_ws(":", "length", F.unix_micros("modificationTime")).alias("state"))
+
+    raw = files(raw_folder).select(F.regexp_extract("name", RAW, 1).alias("book"), F.struct("name", "state").alias("own")).filter("book <> ''").groupBy("book").agg(F.min("own").alias("own"))
+    fixed = files(corrected_folder).select(F.col("name").alias("file"), "state")
+    best = resolved_names(raw.select("book"), fixed.select("file"), "book").select("book", "file").join(fixed, "file")
+    return raw.join(best, "book").select("book", F.concat_ws("|", "own.name", "own.state", "file", "state").alias("version"))
+
+
 def _runs(name: Column) -> Column:
     """The distinct runs of up to RUN characters of a name."""
 

@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from glyphlake.operators import reports
 from glyphlake.plans import pipelines
 from glyphlake.sources import tables
 
@@ -44,13 +45,38 @@ def test_corpus(spark, books, tmp_path, monkeypatch):
     monkeypatch.setattr(pipelines, "alignment", lambda *a: asked.append(a) or aligned(*a))
     again = pipelines.corpus(spark, *books, splits, str(tmp_path))
     assert not asked and again["pairs"].count() == 6  # nothing is aligned before a table turns out to be missing
-    shutil.rmtree(tmp_path / "stats")
+    shutil.rmtree(tmp_path / "books" / "stats")
     assert pipelines.corpus(spark, *books, splits, str(tmp_path))["stats"].count() == 2 and len(asked) == 1
     other = spark.createDataFrame([("book0", "test")], "book string, split string")
     renewed = pipelines.corpus(spark, *books, other, str(tmp_path))["pairs"]
     assert len(asked) == 2 and {r["split"] for r in renewed.select("split").distinct().collect()} == {"test", "unassigned"}
 
 
+def test_only_changed_books(spark, tmp_path, monkeypatch):
+    """One changed book is aligned alone, one taken away goes, and a commit that did not end is not seen."""
+    raw, fixed = tmp_path / "raw", tmp_path / "fixed"
+    raw.mkdir(), fixed.mkdir()
+    for k, (n, c) in enumerate(zip(NOISY, CLEAN, strict=True)):
+        (raw / f"book{k}_ocr_raw.txt").write_text(n, encoding="utf-8")
+        (fixed / f"book{k}_corrected.txt").write_text(c, encoding="utf-8")
+    splits = spark.createDataFrame([("book0", "train")], "book string, split string")
+    aligned, asked = pipelines.alignment, []
+    monkeypatch.setattr(pipelines, "alignment", lambda books, *a: asked.append(sorted(r["book"] for r in books.select("book").collect())) or aligned(books, *a))
+    go = lambda: pipelines.corpus(spark, str(raw), str(fixed), splits, str(tmp_path / "out"))
+    assert go()["pairs"].count() == 6 and go()["pairs"].count() == 6 and asked == [["book0", "book1"]]
+    (raw / "book1_ocr_raw.txt").write_text(NOISY[1] + " Уште една реченица стои тука.", encoding="utf-8")
+    (fixed / "book1_corrected.txt").write_text(CLEAN[1] + " Уште една реченица стои тука.", encoding="utf-8")
+    out = go()
+    assert asked[1:] == [["book1"]] and out["pairs"].count() == 7 and out["stats"].count() == 2
+    assert out["documents"].count() == 2
+    lost = next((tmp_path / "out" / "books" / "provenance").glob("run=r00000001*"))
+    (lost / "_SUCCESS").unlink()
+    assert pipelines.published.read(spark, str(tmp_path / "out" / "books"), "pairs", list(pipelines.ALIGNED)).count() == 6
+    (lost / "_SUCCESS").touch()
+    (raw / "book0_ocr_raw.txt").unlink()
+    assert go()["pairs"].count() == 4 and go()["stats"].count() == 1
+
+
 def test_synthetic(spark):
     texts = spark.createDataFrame([("b", "Една реченица тука. Друга реченица.\n\nНов пасус е ова.")], "book string, clean string")
     counts = spark.createDataFrame([("а", "a", 3), ("е", "c", 2)], "clean string, noisy string, n long")
@@ -66,8 +92,12 @@ def test_predictions(spark):
     base = pipelines.identity(rows)
     assert got.count() == base.count() == 3
     tagged = got.withColumn("model", F.lit("classical")).withColumn("regime", F.lit("real_only"))
-    out = pipelines.reports(tagged, base, 50)
-    assert out["main"].first()["n"] == 3 and out["significance"].first()["n"] == 3
+    both = tagged.unionByName(base.withColumns({"model": F.lit("identity"), "regime": F.lit("real_only")}), allowMissingColumns=True)
+    row = reports.significance_table(both, resamples=50).first()
+    assert (row["system"], row["vs_baseline"], row["n"]) == ("classical", "identity", 3)
+    # another sample in place of one of the baseline's: as many rows, but not the same ones
+    other = both.withColumn("sample_id", F.when((F.col("model") == "identity") & (F.col("sample_id") == "s1"), "else").otherwise(F.col("sample_id")))
+    assert reports.significance_table(other, resamples=50) is None
 
 
 def test_verified_write(spark, tmp_path):
