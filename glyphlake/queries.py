@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.plans import channel_queries, error_queries, registry, report_queries, text_queries
+from glyphlake.plans import channel_queries, error_queries, registry, report_queries, stage_queries, text_queries
 
-MODULES = (text_queries, error_queries, report_queries, channel_queries)
+MODULES = (text_queries, error_queries, report_queries, channel_queries, stage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
