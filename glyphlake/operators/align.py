@@ -138,7 +138,8 @@ def sentence_pairs(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
         found = aligned(rows[rows.side == "noisy"].text.tolist(), rows[rows.side == "clean"].text.tolist())
         return pd.DataFrame([(rows[key].iloc[0], k, *x) for k, x in enumerate(found)], columns=[key, "pos", "noisy", "clean", "ratio"])
 
-    return sentences.select(key, "side", "pos", "text").groupBy(key).applyInPandas(run, f"`{key}` {kind}, pos int, noisy string, clean string, ratio double")
+    tasks = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in Python and not told by bytes, so partitions are not to be merged by size
+    return sentences.select(key, "side", "pos", "text").repartition(tasks, key).groupBy(key).applyInPandas(run, f"`{key}` {kind}, pos int, noisy string, clean string, ratio double")
 
 
 def as_sentences(docs: DataFrame, key: str, text: str, side: str, split) -> DataFrame:

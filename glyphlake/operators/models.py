@@ -183,7 +183,7 @@ def candidates(types: DataFrame, lexicon_table: DataFrame, swaps: DataFrame, sco
 
 
 class BackOff:
-    """The word model as dicts, for use inside a task."""
+    """The word model as dicts, for models of a few rows: `corrected` scores n-grams by joins."""
 
     def __init__(self, rows: list[tuple[list[str], str, int]], discount: float = DISCOUNT):
         self.n: dict[tuple, dict[str, int]] = defaultdict(dict)
@@ -229,9 +229,6 @@ def beam(parts: list[str], options: dict[str, list[tuple[str, float]]], lm: Back
     return [*sorted(found, key=lambda x: (-x[0], x[1])), (same + weights[0] * math.log(lm.p(ctx, END)), list(parts))]
 
 
-#: Rows of n-grams and candidates that may go through the driver to every task; beyond, each sentence gets its own by joins.
-BROADCAST = 1_000_000
-
 CORRECTED = "input string, prediction string, gain double, changed boolean, raised boolean"
 PARTS = re.compile(r"\w+|[^\w\s]")
 
@@ -247,34 +244,6 @@ def _decided(parts: list[str], text: str, options: dict, lm, table: dict, known:
     return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(rival[1])) if taken else text, gain, taken, raised
 
 
-def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0, limit: int = BROADCAST, weights: tuple = WEIGHTS) -> DataFrame:
-    """(key, input, prediction, gain, changed, raised) by beam search with an accept margin, raised where a token is a name or rare.
-
-    Models of up to `limit` rows are broadcast. For larger ones the n-grams that a sentence's candidates can form are scored by joins and come
-    with the sentence; the results are the same. The channel has a row per pair of letters and is always broadcast.
-    """
-    held, grams = [], []
-    for found, t in [(held, options.select("word", "cand", "logp", "rank")), *[(grams, t) for t in counts.values()]]:
-        found += t.limit(limit + 1).collect()
-        if len(held) + len(grams) > limit:
-            return _corrected_by_joins(sentences, key, text, options, counts, channel, margin, extra, weights)
-    listed = defaultdict(list)
-    for r in sorted(held, key=lambda r: (r["word"], r["rank"])):
-        listed[r["word"]].append((r["cand"], r["logp"] if r["logp"] is not None else TOO_SHORT))
-    shared = sentences.sparkSession.sparkContext.broadcast(([(r["ctx"], r["w"], r["n"]) for r in grams], dict(listed), {(r["hyp"], r["noisy"]): r["logp"] for r in channel.collect()}))
-    kind = sentences.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, options, table = shared.value
-        lm = BackOff(rows)
-        known = lm.n.get((), {})
-        for b in batches:
-            out = [(k, t, *_decided(PARTS.findall(t or ""), t, options, lm, table, lambda w: known.get(w, 0), margin, extra, weights)) for k, t in zip(b[key], b[text], strict=True)]
-            yield pd.DataFrame(out, columns=[key, "input", "prediction", "gain", "changed", "raised"])
-
-    return sentences.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CORRECTED}")
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def parts_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: PARTS.findall(t or ""))
@@ -290,8 +259,12 @@ class _Scored:
         return max(self.found.get((ctx, w), FLOOR), FLOOR)
 
 
-def _corrected_by_joins(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float, extra: float, weights: tuple) -> DataFrame:
-    """`corrected` without a model in the driver: a place has at most TOP candidates, so it asks for at most TOP^3 trigrams, scored once each."""
+def corrected(sentences: DataFrame, key: str, text: str, options: DataFrame, counts: dict[int, DataFrame], channel: DataFrame, margin: float = 1.5, extra: float = 1.0, weights: tuple = WEIGHTS) -> DataFrame:
+    """(key, input, prediction, gain, changed, raised) by beam search with an accept margin, raised where a token is a name or rare.
+
+    No model goes through the driver: a place has at most TOP candidates, so it asks for at most TOP^3 trigrams, which are scored once each by joins and come
+    with their sentence. The channel has a row per pair of letters, bounded by the alphabet, and is broadcast. Null and empty texts stay as they are.
+    """
     rows = written(sentences.select(key, text, parts_udf(text).alias("parts")).withColumn("_id", F.monotonically_increasing_id()))
     listed = options.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "cand", F.coalesce("logp", F.lit(TOO_SHORT)).alias("logp")))).alias("cands"))
     known = counts[1].select(F.col("w").alias("low"), F.col("n").alias("known"))

@@ -8,15 +8,21 @@ from glyphlake.plans import error_queries, report_queries
 from glyphlake.sources import stores
 
 
-def test_corrector_by_joins_equals_broadcast(spark):
+def test_corrector_by_joins_equals_whole_model(spark):
+    """Against beams over the whole model held as dicts."""
     _, pairs, options, counts, channel = error_queries._corrector(spark, f"{DATA}/sf0.001")
     more = spark.createDataFrame([(901, ""), (902, None), (903, "One, two , Three!"), (903, "zz zz")], "item_id long, noisy string")
     rows = pairs.filter("item_id < 8").select(F.col("item_id").cast("long").alias("item_id"), "noisy").unionByName(more)  # the beams are slow
-    take = lambda limit, margin: sorted((tuple(r) for r in models.corrected(rows, "item_id", "noisy", options, counts, channel, margin=margin, limit=limit).collect()), key=str)
+    lm = models.BackOff([(r["ctx"], r["w"], r["n"]) for t in counts.values() for r in t.collect()])
+    known, listed = lm.n.get((), {}), {}
+    for r in sorted(options.collect(), key=lambda r: (r["word"], r["rank"])):
+        listed.setdefault(r["word"], []).append((r["cand"], r["logp"] if r["logp"] is not None else models.TOO_SHORT))
+    table = {(r["hyp"], r["noisy"]): r["logp"] for r in channel.collect()}
     for margin in (1.5, -1e9):
-        a, b = take(models.BROADCAST, margin), take(0, margin)
-        assert len(a) == len(b) == rows.count()
-        for x, y in zip(a, b, strict=True):
+        want = [(r["item_id"], r["noisy"], *models._decided(models.PARTS.findall(r["noisy"] or ""), r["noisy"], listed, lm, table, lambda w: known.get(w, 0), margin, 1.0, models.WEIGHTS)) for r in rows.collect()]
+        got = models.corrected(rows, "item_id", "noisy", options, counts, channel, margin=margin).collect()
+        assert len(want) == len(got) == rows.count()
+        for x, y in zip(sorted(want, key=str), sorted(map(tuple, got), key=str), strict=True):
             assert x[:3] == y[:3] and x[4:] == y[4:] and abs(x[3] - y[3]) < 1e-6
 
 
