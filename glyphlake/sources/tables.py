@@ -38,12 +38,6 @@ def texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame
     return rows
 
 
-def listing(spark: SparkSession, folder: str) -> str:
-    """A digest of the names, sizes and times of a folder's files, which tells whether any has changed."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "length", "modificationTime")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("x")).select(F.concat_ws(":", "n", "x")).first()[0]
-
-
 def book_pairs(spark: SparkSession, raw_folder: str, corrected_folder: str) -> DataFrame:
     """(book, noisy, clean): raw texts with the corrected text of the best matching name; books without one do not come (see `unmatched`)."""
     raw = texts(spark, raw_folder).withColumn("book", F.regexp_extract("name", RAW, 1)).filter("book <> ''").groupBy("book").agg(F.min_by("text", "name").alias("text"))
