@@ -79,6 +79,21 @@ def test_readers(spark, tmp_path):
     assert [(r["doc_id"], r["char_ops"], r["word_ops"], r["matched_pairs"]) for r in index] == [("d1", 3, 0, 6)]
 
 
+def test_pair_fates_of_odd_texts(spark, tmp_path):
+    """Halves in a quarter of a length, and white space that the SQL does not take as such."""
+    import duckdb
+
+    from glyphlake import queries as Q
+
+    texts = [None, "", " ", "A.", "é", "abcdef", "  ab  ", "\u00a0", "\u00a0a\u2028", "\x0b \x0b", "a" * 10 + "\u2003" * 30, "line\r\n", "\x1c\x85", "x \u2029"]
+    rows = [(6 * k + kind, "en" if kind % 2 else "de", t) for k, t in enumerate(texts) for kind in range(6)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(Q.oracle_sql()["pair_fates"]).fetchall()
+    assert sorted(map(tuple, Q.queries()["pair_fates"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_upper_median(spark):
     rows = spark.createDataFrame([("d", "abcd"[:k] + "x" * (4 - k), "abcd") for k in range(4)], "doc_id string, noisy string, clean string")
     assert readers.pair_report(rows).first()["median"] == 0.5
