@@ -29,11 +29,21 @@ def _where(text: Column, signs: str, change) -> Column:
 
 def has_page_marker(text: Column) -> Column:
     found = F.lit(False)
-    for p in PAGE_MARKERS:
+    for p in (*PAGE_MARKERS[:-1], r".\s*---\s*$"):  # one sign before the last marker is enough
         found = found | text.rlike(p)
     return found
 
 
+#: The last page marker read from the end of the text: it starts there or not at all, while from the front each place would be tried with 80 lengths.
+LAST_REVERSED = r"^\s*-{3,}\s*.{1,80}"
+
+
+def _without_last_marker(text: Column) -> Column:
+    """As PAGE_MARKERS[-1] replaced by nothing. The text is bound once, as in `_where`."""
+    ends = lambda t: F.endswith(F.rtrim(t, F.lit(" \t\n\x0b\f\r")), F.lit("---"))
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(ends(t), F.reverse(F.regexp_replace(F.reverse(t), LAST_REVERSED, ""))).otherwise(t)), 1)
+
+
 def _replaced(text: Column, patterns: tuple[str, ...], by: str) -> Column:
     for p in patterns:
         text = F.regexp_replace(text, p, by)
@@ -41,7 +51,7 @@ def _replaced(text: Column, patterns: tuple[str, ...], by: str) -> Column:
 
 
 def without_page_markers(text: Column) -> Column:
-    return _where(text, PAGE_SIGNS, lambda t: _replaced(t, PAGE_MARKERS, ""))
+    return _where(text, PAGE_SIGNS, lambda t: _without_last_marker(_replaced(t, PAGE_MARKERS[:-1], "")))
 
 
 def newlines(text: Column) -> Column:
