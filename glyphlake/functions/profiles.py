@@ -19,7 +19,13 @@ class Profile:
     unwanted: str = field(init=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "unwanted", rf"\p{{C}}|[\p{{L}}&&[^{self.letters}{self.letters.upper()}A-Za-z]]")
+        own = sorted(map(ord, {*self.letters, *self.letters.upper()}))
+        ranges = [(a, a) for a in own[:1]]
+        for a in own[1:]:
+            ranges[-1:] = [(ranges[-1][0], a)] if a == ranges[-1][1] + 1 else [ranges[-1], (a, a)]
+        letters = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)  # few ranges, as each is asked for each letter
+        # Printable ASCII is never meant and asked first, as most characters are just that.
+        object.__setattr__(self, "unwanted", rf"[[^\x20-\x7E]&&[\p{{C}}\p{{L}}]&&[^A-Za-z{letters}]]+")
 
     def both_ways(self, pairs: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
         return sorted({*pairs, *((b, a) for a, b in pairs)})

@@ -154,11 +154,22 @@ def in_script(token: Column, profile: Profile = MACEDONIAN) -> Column:
 
 def sanitized(text: Column, profile: Profile = MACEDONIAN) -> Column:
     """Letters of kindred alphabets become the profile's; control signs, new lines among them, and letters that are then neither its own nor ASCII go."""
-    for a, b in profile.replacements:
-        text = F.replace(text, F.lit(a), F.lit(b))
+    if profile.replacements:
+        letters = sorted(a for a, _ in profile.replacements)
+        text = _where(text, f"[[{letters[0]}-{letters[-1]}]&&[{''.join(letters)}]]", lambda t: _exchanged(t, profile.replacements))  # the range first, as most texts hold nothing of it
     return F.regexp_replace(text, profile.unwanted, "")
 
 
+def _exchanged(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """Letters for letters in one pass, then those that become several."""
+    single = [(a, b) for a, b in pairs if len(b) == 1] + [(a, b) for a, b in pairs if not b]  # translate drops what has no counterpart
+    text = F.translate(text, "".join(a for a, _ in single), "".join(b for _, b in single))
+    for a, b in pairs:
+        if len(b) > 1:
+            text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def utf8_offsets(text: Column) -> Column:
     """Byte offset of every character, and of the end."""
     size = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.octet_length)

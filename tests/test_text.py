@@ -134,3 +134,4 @@ def test_cleaning_takes_time_in_proportion(spark):
 
     whole = seconds(F.regexp_replace("t", "q", ""))
     assert seconds(text.without_page_markers(F.col("t"))) < 5 + 15 * whole
+    assert seconds(text.sanitized(F.col("t"))) < 5 + 15 * whole
