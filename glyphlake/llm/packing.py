@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from glyphlake.llm.words import OTHERS, forget, saved, slices
 CAPACITY = 4096
 #: Entries after which the cache of chunks and words starts anew.
 CACHE = 400_000
+#: Bytes of texts of a task whose distinct chunks are looked up together.
+GATHERED = 16 << 20
 #: A bin with fewer free places than this is done in its round.
 NEARLY = 4
 
@@ -51,11 +54,13 @@ class ChunkIds:
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         if len(self.known) > self.cache:
             self.known = {"": b""}
         known, tail = self.known, self.TAIL
-        new = chunks.difference(known)
+        new = {c for c in chunks if c not in known}
+        if not new:
+            return
         marked = []
         for c in new:
             if not c.isalpha():
@@ -84,27 +89,57 @@ class ChunkIds:
             return text
         return text.lower()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        split = [self.lower(t or "").replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*split) if split else set()
-        if len(need) > self.cache // 2:  # very long texts: one at a time
-            return [self.encode([t])[0] for t in texts] if len(texts) > 1 else [self._long(split[0])]
-        self.learn(need)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
-
-    def _long(self, chunks: list[str]) -> bytes:
-        out = []
+    def coded(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Chunks of the texts as places in a list of distinct ones, and where each text starts and ends among them."""
+        split = pc.split_pattern(pa.array([self.lower(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        return split.flatten().dictionary_encode(), offsets - offsets[0]
+
+    def found(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for k in range(0, len(chunks), self.cache // 2):
-            self.learn(set(chunks[k : k + self.cache // 2]))
-            out += map(self.known.__getitem__, chunks[k : k + self.cache // 2])
-        return b"".join(out)
+            some = chunks[k : k + self.cache // 2]
+            self.learn(some)
+            out += map(self.known.__getitem__, some)
+        return out
+
+    def encoded(self, lists: list[list[str | None]]) -> Iterator[list[bytes]]:
+        """Per list of texts their ids as little-endian unsigned 32-bit numbers. Each distinct chunk of all lists is looked up once; ids are gathered for all its places."""
+        parts = [self.coded(texts) for texts in lists]
+        codes = pa.chunked_array([c for c, _ in parts]).unify_dictionaries()
+        found = self.found(codes.chunk(0).dictionary.to_pylist())
+        size, ids = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+        first = np.cumsum(size) - size
+        for part, (_, offsets) in zip(codes.chunks, parts, strict=True):
+            at = part.indices.to_numpy()
+            n = size[at]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)]
+            ends = ends[offsets].tolist()
+            yield [flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return next(self.encoded([texts])) if texts else []
 
 
 ENCODERS: dict[str, ChunkIds] = {}
 OTHERS.append(ENCODERS)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of at least `size` bytes, but for the last."""
+    some, held = [], 0
+    for b in batches:
+        if b.num_rows:
+            some.append(b)
+            held += b.nbytes
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """Per piece: the key, piece (from 0), start (ids before it), length, ids (binary, little-endian unsigned 32-bit)."""
     kind = docs.schema[key].dataType.simpleString()
@@ -113,9 +148,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPAC
         forget()
         encoder = ENCODERS.get(path) or ENCODERS.setdefault(path, ChunkIds(path, cache))
         end, step = array("I", [end_id]).tobytes(), 4 * capacity
-        for b in slices(batches):
+        for b, encoded in ((b, e) for some in gathered(slices(batches)) for b, e in zip(some, encoder.encoded([b.column(1).to_pylist() for b in some]), strict=True)):
             rows, piece, ids = [], [], []
-            for i, one in enumerate(encoder.encode(b.column(1).to_pylist())):
+            for i, one in enumerate(encoded):
                 one += end
                 for k in range(0, len(one), step):
                     rows.append(i)

@@ -730,3 +730,25 @@ def test_oracles(spark):
         got = entries.queries()[name](spark, SF).toPandas()
         want = con.execute(sql).df()[list(got.columns)]
         assert sorted(map(str, got.itertuples(index=False))) == sorted(map(str, want.itertuples(index=False)))
+
+
+def test_packing_looks_each_chunk_up_once(monkeypatch):
+    """Texts of several batches: ids are the library's, and no chunk is asked for twice."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from glyphlake.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    lists = [["a b a", None, "", "  x\n"], ["b A, B. <|endoftext|> Σ", "straße ẞ İ é!!"], ["a " * 50 + "日本 語。"]]
+    for cache in (4, 400_000):
+        asked = []
+        encoder = packing.ChunkIds(path, cache)
+        monkeypatch.setattr(encoder, "learn", lambda chunks, f=encoder.learn, asked=asked: (asked.extend(chunks), f(chunks)))
+        got = [np.frombuffer(x, "<u4").tolist() for some in encoder.encoded(lists) for x in some]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for some in lists for t in some]
+        assert len(asked) == len(set(asked))
