@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,52 +36,39 @@ NEARLY = 4
 class ChunkIds:
     """Ids of white-space-separated chunks by the tokenizers library, remembered.
 
-    Valid for byte-level tokenizers in lower case whose tokens never span white space, keep letters apart from other characters and normalize each chunk alone. A chunk is looked up as
-    a whole, then without trailing punctuation; only what is new goes to the library.
+    Valid for byte-level tokenizers in lower case whose tokens never span white space, keep letters apart from other characters and normalize each chunk alone. A chunk is taken apart
+    into what ends with a letter and the punctuation after it, where it has both; only what is new of these goes to the library.
     """
 
-    TAIL = ".,;:!?"
+    #: A byte as the character that stands for it in the vocabulary, where that is another one.
+    BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 
     def __init__(self, path: str, cache: int = CACHE):
         self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, chunks: list[str]) -> None:
         if len(self.known) > self.cache:
             self.known = {"": b""}
-        known, tail = self.known, self.TAIL
-        new = {c for c in chunks if c not in known}
-        if not new:
-            return
-        marked = []
-        for c in new:
-            if not c.isalpha():
-                core = c.rstrip(tail)
-                # Letters and the punctuation after them are tokens apart; other chunks go as a whole.
-                if core and len(core) < len(c) and core[-1].isalpha() and len(core[-1].lower()) == 1 and "<|" not in c:
-                    marked.append((c, core, c[len(core) :]))
-        cores = new.difference([x[0] for x in marked]).union([x[1] for x in marked], [x[2] for x in marked]).difference(known)
-        words = [c for c in cores if c.isalpha() and (c.isascii() or max(c) < "ɐ") and c == c.lower()]
-        for k in range(0, len(words), 4096):  # many at once: such words are left as they are by normalizer and pattern
-            some = words[k : k + 4096]
-            e = self.plain.encode(some, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, np.uint32).tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))).tolist()
-            known.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
-        other = list(cores.difference(words))
-        for core, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[core] = array("I", e.ids).tobytes()
-        for c, core, end in marked:
-            known[c] = known[core] + known[end]
+        known, model = self.known, self.model
+        other = []
+        for c in chunks:
+            if c not in known:
+                # Such words are left as they are by normalizer and pattern, so that only the merges are asked for.
+                if c.isalpha() and (c.isascii() or max(c) < "ɐ") and c == c.lower():
+                    word = c if c.isascii() else c.encode().decode("latin-1").translate(self.BYTES)
+                    known[c] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+                else:
+                    other.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()
 
     @staticmethod
     def lower(text: str) -> str:
@@ -89,12 +77,6 @@ class ChunkIds:
             return text
         return text.lower()
 
-    def coded(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """Chunks of the texts as places in a list of distinct ones, and where each text starts and ends among them."""
-        split = pc.split_pattern(pa.array([self.lower(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
-        offsets = split.offsets.to_numpy()
-        return split.flatten().dictionary_encode(), offsets - offsets[0]
-
     def found(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(chunks), self.cache // 2):
@@ -103,20 +85,41 @@ class ChunkIds:
             out += map(self.known.__getitem__, some)
         return out
 
+    @staticmethod
+    def parted(chunks: pa.LargeStringArray) -> tuple[pa.Array, pa.Array]:
+        """The chunks without the ASCII punctuation at their ends, and that punctuation; whole and empty where they do not go apart.
+
+        Letters and the punctuation after them are tokens apart, unless the last letter gets a mark in lower case or a special token may be there.
+        """
+        core = pc.utf8_rtrim(chunks, punctuation)
+        last = pc.utf8_slice_codeunits(core, -1, 1 << 30).dictionary_encode()
+        letter = pa.array([x.isalpha() and len(x.lower()) == 1 for x in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        core = pc.if_else(pc.and_not(letter, pc.match_substring(chunks, "<|")), core, chunks)
+        ends = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset :][1 : len(chunks) + 1]
+        size = pc.binary_length(chunks).to_numpy() - pc.binary_length(core).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(size)])
+        tail = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[np.arange(starts[-1]) + np.repeat(ends - starts[1:], size)]
+        return core, pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(starts), pa.py_buffer(tail))
+
+    def looked_up(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct chunks."""
+        core, tail = self.parted(chunks)
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids = pa.array(self.found(both.dictionary.to_pylist()), pa.large_binary()).take(both.indices)
+        return pc.binary_join_element_wise(ids[: len(chunks)], ids[len(chunks) :], pa.scalar(b"", pa.large_binary()))
+
     def encoded(self, lists: list[list[str | None]]) -> Iterator[list[bytes]]:
         """Per list of texts their ids as little-endian unsigned 32-bit numbers. Each distinct chunk of all lists is looked up once; ids are gathered for all its places."""
-        parts = [self.coded(texts) for texts in lists]
-        codes = pa.chunked_array([c for c, _ in parts]).unify_dictionaries()
-        found = self.found(codes.chunk(0).dictionary.to_pylist())
-        size, ids = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
-        first = np.cumsum(size) - size
-        for part, (_, offsets) in zip(codes.chunks, parts, strict=True):
-            at = part.indices.to_numpy()
-            n = size[at]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            flat = ids[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)]
-            ends = ends[offsets].tolist()
-            yield [flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        split = pc.split_pattern(pa.array([self.lower(t or "").replace("\n", " ") for texts in lists for t in texts], pa.large_string()), " ")
+        codes, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        found, at = self.looked_up(codes.dictionary), 0
+        for texts in lists:
+            own = ends[at : at + len(texts) + 1]
+            at += len(texts)
+            ids = found.take(codes.indices[own[0] : own[-1]])
+            places = np.frombuffer(ids.buffers()[1], np.int64)[own - own[0]].tolist()
+            raw = memoryview(ids.buffers()[2] or b"")
+            yield [bytes(raw[i:j]) for i, j in zip(places[:-1], places[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return next(self.encoded([texts])) if texts else []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import pytest
@@ -752,3 +753,28 @@ def test_packing_looks_each_chunk_up_once(monkeypatch):
         got = [np.frombuffer(x, "<u4").tolist() for some in encoder.encoded(lists) for x in some]
         assert got == [library.encode(t or "", add_special_tokens=False).ids for some in lists for t in some]
         assert len(asked) == len(set(asked))
+
+
+def test_packing_takes_punctuation_off_chunks(monkeypatch):
+    """A word is asked for once whatever ASCII punctuation follows it, and ids stay the library's where the two must not go apart."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from glyphlake.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    encoder, asked = packing.ChunkIds(path), []
+    monkeypatch.setattr(encoder, "learn", lambda chunks, f=encoder.learn: (asked.extend(chunks), f(chunks)))
+    encoder.encode(["Edly edly*** edly&&& edly. edly'"])
+    assert sorted(asked) == ["", "&&&", "'", "***", ".", "edly"]
+    r = random.Random(10)
+    parts = [*"abzABéßÿŉǆʼnªµºΣςİıẞшй日한̸́ͅ\t\r\x0b\x1c ​　\0", *string.punctuation, *"''..  \n\n 19²", "'s", "'re", "<|endoftext|>", "<|startoftext|>", "é", "≠", "İ", "😀"]
+    texts = ["".join(r.choices(parts, k=r.randrange(40))) for _ in range(4000)] + [None, ""]
+    for k in range(0, len(texts), 1500):
+        some = texts[k : k + 1500]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in some]
