@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from glyphlake.functions.text import shingles, stripped
 
 # Fixed values of the alignment.
 MIN_DIAGONAL, GAP, MIN_PAIR = 0.30, -0.5, 0.55
+#: Cells of a row of the band up to which its sentences are compared one by one.
+NARROW = 16
 SHINGLE_PART, WORD_PART, EPSILON = 0.75, 0.25, 1e-6
 
 
@@ -61,10 +63,22 @@ def fast_similarity(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFr
 def _similarities(noisy: list[str], clean: list[str], rows: list[tuple[int, int]]) -> Iterator[dict[int, float]]:
     """Per noisy sentence the clean ones in its range that it shares a shingle or a word with, and their similarity; of the others it is 0.
 
-    Sentences meet by an index of the clean side, so the cost is that of what they share, not of all cells.
+    Where ranges are narrow, each pair's shingles are intersected. Else sentences meet by an index of the clean side, so the cost is that of what they share, not of all cells.
     """
-    shingled = lambda t: Counter(t[i : i + 5] for i in range(len(t) - 4))
-    norm = lambda counts: math.sqrt(sum(n * n for n in counts.values()))
+    shingled = lambda t: Counter([t[i : i + 5] for i in range(len(t) - 4)])
+    norm = lambda counts: math.sqrt(sum([n * n for n in counts.values()]))
+    if max((high - low for low, high in rows), default=0) < NARROW:
+        held: dict[int, tuple] = {}
+        for t, (low, high) in zip(noisy, rows, strict=True):
+            held = {j: held[j] if j in held else (c := shingled(clean[j]), norm(c), set(clean[j].lower().split())) for j in range(low, high + 1)}
+            counts, words = shingled(t), set(t.lower().split())
+            own, out = norm(counts), {}
+            for j, (other, size, said) in held.items():
+                dot, both = sum([counts[s] * other[s] for s in counts.keys() & other.keys()]), len(words & said)
+                if dot or both:
+                    out[j] = SHINGLE_PART * dot / (own * size + EPSILON) + WORD_PART * both / (math.sqrt(len(words) * len(said)) + EPSILON)
+            yield out
+        return
     by_shingle, by_word = defaultdict(list), defaultdict(list)
     norms, sizes = [], []
     for j, t in enumerate(clean):
@@ -130,16 +144,25 @@ def aligned(noisy: list[str], clean: list[str], min_diagonal: float = MIN_DIAGON
 
 
 def sentence_pairs(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, noisy, clean, ratio) from rows (key, side 'noisy' or 'clean', pos, text). One document is one group of sentences."""
+    """(key, pos, noisy, clean, ratio) from rows (key, side 'noisy' or 'clean', pos, text). One document is one group of sentences; null texts are left out."""
     kind = sentences.schema[key].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        found = aligned(rows[rows.side == "noisy"].text.tolist(), rows[rows.side == "clean"].text.tolist())
-        return pd.DataFrame([(rows[key].iloc[0], k, *x) for k, x in enumerate(found)], columns=[key, "pos", "noisy", "clean", "ratio"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [aligned(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            keys = b.column(0).take(pa.array([i for i, pairs in enumerate(found) for _ in pairs], pa.int64()))
+            noisy, clean, alike = zip(*(x for pairs in found for x in pairs), strict=True) if len(keys) else ((), (), ())
+            pos = pa.array([k for pairs in found for k in range(len(pairs))], pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, pos, pa.array(noisy, pa.string()), pa.array(clean, pa.string()), pa.array(alike, pa.float64())], names=[key, "pos", "noisy", "clean", "ratio"])
 
-    tasks = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in Python and not told by bytes, so partitions are not to be merged by size
-    return sentences.select(key, "side", "pos", "text").repartition(tasks, key).groupBy(key).applyInPandas(run, f"`{key}` {kind}, pos int, noisy string, clean string, ratio double")
+    texts = lambda side: F.transform(F.sort_array(F.collect_list(F.when((F.col("side") == side) & F.col("text").isNotNull(), F.struct("pos", "text")))), lambda x: x["text"])
+    grouped = dealt(sentences.select(key, "side", "pos", "text"), key).groupBy(key).agg(texts("noisy").alias("noisy"), texts("clean").alias("clean"))
+    return grouped.mapInArrow(run, f"`{key}` {kind}, pos int, noisy string, clean string, ratio double")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a key in one of as many tasks as the session shuffles to: for work that is not told by bytes, so partitions are not to be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def as_sentences(docs: DataFrame, key: str, text: str, side: str, split) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def below(p: float, key: Column, at: Column, salt: str) -> Column:
+    """Whether `draw` of the three is less than p, told from the digits of the MD5 without making a number of them."""
+    least = math.ceil(p * 4294967296)
+    return F.lit(True) if least > 0xFFFFFFFF else F.md5(F.concat(key.cast("string"), F.lit(":"), at.cast("string"), F.lit(":" + salt))) < F.lit(f"{max(least, 0):08x}")
+
+
+def once(c: Column) -> Column:
+    """The column as a generator of one row, which filters above do not evaluate again."""
+    return F.explode(F.array(c))
+
+
 def characters(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("pos", "c"))
 
@@ -25,14 +38,20 @@ def _pick(alphabet: str, u: Column) -> Column:
 
 def noised(df: DataFrame, key: str, text: str, substitute, p_del: float, p_sub: float, p_ins: float, insert=None, salt: str = "noise") -> DataFrame:
     """(key, clean, noisy): each character is dropped, replaced or kept, and may have another after it. substitute, insert: of (char, draw)."""
-    rows = characters(df, key, text)
-    at = F.col("pos")
-    u, v = draw(F.col(key), at, F.lit(salt)), draw(F.col(key), at, F.lit(salt + "+"))
-    first = F.when(u < p_del, "").when(u < p_del + p_sub, substitute(F.col("c"), draw(F.col(key), at, F.lit(salt + "s")))).otherwise(F.col("c"))
-    after = F.when(v < p_ins, (insert or substitute)(F.col("c"), draw(F.col(key), at, F.lit(salt + "i")))).otherwise("")
-    changed = rows.select(key, "pos", F.concat(first, after).alias("o"))
-    joined = changed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]), "").alias("noisy"))
-    return df.select(key, F.col(text).alias("clean")).join(joined, key, "left").withColumn("noisy", F.coalesce("noisy", F.lit("")))
+    noisy = noisy_text(F.col(key), F.col(text), substitute, p_del, p_sub, p_ins, insert, salt)
+    return df.select(key, F.col(text).alias("clean"), once(noisy).alias("noisy"))
+
+
+def noisy_text(key: Column, text: Column, substitute, p_del: float, p_sub: float, p_ins: float, insert=None, salt: str = "noise") -> Column:
+    """The text as `noised` makes it, within its row; a null text or key gives the empty text."""
+
+    def changed(c, at):
+        other = F.when(below(p_del, key, at, salt), "").otherwise(substitute(c, draw(key, at, F.lit(salt + "s"))))
+        first = F.when(below(p_del + p_sub, key, at, salt), other).otherwise(c)
+        after = F.when(below(p_ins, key, at, salt + "+"), (insert or substitute)(c, draw(key, at, F.lit(salt + "i")))).otherwise("")
+        return F.concat(first, after)
+
+    return F.when(key.isNotNull() & text.isNotNull(), F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), changed), "")).otherwise("")
 
 
 def uniform(alphabet: str):

@@ -327,9 +327,9 @@ def split_merge_greedy(spark, sf_dir):
 def sentence_dp_align(spark, sf_dir):
     """Turns of conversations as sentences, against the same with noise."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), "text")
-    made = noise.noised(c.withColumn("id", F.concat_ws("-", "conv_id", "pos")), "id", "text", noise.uniform(ALPHABET), 0.01, 0.04, 0.01).select("id", "noisy")
-    dirty = c.withColumn("id", F.concat_ws("-", "conv_id", "pos")).join(made, "id").filter(F.col("noisy") != "").select("conv_id", F.lit("noisy").alias("side"), "pos", F.col("noisy").alias("text"))
-    rows = dirty.unionByName(c.select("conv_id", F.lit("clean").alias("side"), "pos", "text"))
+    noisy = noise.noisy_text(F.col("id"), F.col("text"), noise.uniform(ALPHABET), 0.01, 0.04, 0.01)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), "pos", text.alias("text")) for side, text in (("noisy", noisy), ("clean", F.col("text")))])
+    rows = align.dealt(c.withColumn("id", F.concat_ws("-", "conv_id", "pos")), "conv_id").select("conv_id", F.inline(sides)).filter("side = 'clean' or text <> ''")
     return align.sentence_pairs(rows, "conv_id")
 
 

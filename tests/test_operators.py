@@ -204,3 +204,59 @@ def test_all_swaps_give_candidates(spark, monkeypatch):
     lex = spark.createDataFrame([], "word string, n long, len int")
     made = models.candidates(types, lex, spark.createDataFrame([(x, y) for x in "abcd" for y in "xyz"], "noisy string, hyp string"), top=100)
     assert {r["cand"] for r in made.collect()} == {"abca"} | {"abca".replace(x, y) for x in "abc" for y in "xyz"}
+
+
+def test_ratio_is_difflibs(monkeypatch):
+    """Blocks are difflib's, popular characters of long texts included, and its own matcher is not asked where few characters are equal."""
+    from difflib import SequenceMatcher
+
+    from glyphlake.functions import edits
+
+    rng = random.Random(9)
+    for k in range(600):
+        letters = ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz ", "ab" * 9 + "cdefghijk")[k % 4]
+        b = "".join(rng.choices(letters, k=(0, 1, 3, 10, 40, 150, 199, 200, 260)[k % 9]))
+        b = b[: len(b) // 3] * 3 if rng.random() < 0.2 else b
+        a = "".join(c if rng.random() > 0.1 else rng.choice(letters + "!") * rng.randrange(3) for c in b)
+        a = a[len(a) // 3 :] + a[: len(a) // 3] if rng.random() < 0.2 else a
+        for junk in (True, False):
+            assert edits.ratio(a, b, junk) == SequenceMatcher(None, a, b, junk).ratio()
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1500))
+    noisy = "".join(c if rng.random() > 0.05 else "x" for c in long)
+    want = SequenceMatcher(None, noisy, long).ratio()
+    monkeypatch.setattr(edits, "LISTED", -1)
+    assert edits.ratio(noisy, long) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(edits, "SequenceMatcher", None)
+    assert edits.ratio(noisy, long) == want
+
+
+def test_similarities_by_pairs_and_by_index(monkeypatch):
+    rng = random.Random(12)
+    stock = ["The first sentence is here.", "A second one follows, it follows it.", "And then there is a third.", "short", "", "aaaaaaaaaa aaaaaaa", "The first sentence is there."]
+    for _ in range(30):
+        noisy, clean = ([rng.choice(stock) for _ in range(rng.randrange(1, 12))] for _ in "ab")
+        rows = [(low := rng.randrange(len(clean)), rng.randrange(low - 1, len(clean))) for _ in noisy]
+        got = []
+        for narrow in (0, 16):
+            monkeypatch.setattr(align, "NARROW", narrow)
+            got.append(list(align._similarities(noisy, clean, rows)))
+        assert got[0] == got[1]
+
+
+def test_noise_shuffles_no_characters(spark):
+    """Noise is made within the row, is that of the draws, and sentences without text are left out of alignment."""
+    df = spark.createDataFrame([(1, "some text of a row"), (2, None), (None, "no key"), (3, ""), (4, "a\nb  c" * 9)], "id long, text string")
+    made = noise.noised(df, "id", "text", noise.uniform("xyz"), 0.2, 0.2, 0.2)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    chars = noise.characters(df, "id", "text")
+    draw = lambda salt: noise.draw(F.col("id"), F.col("pos"), F.lit(salt))
+    first = F.when(draw("noise") < 0.2, "").when(draw("noise") < 0.4, noise.uniform("xyz")(F.col("c"), draw("noises"))).otherwise(F.col("c"))
+    after = F.when(draw("noise+") < 0.2, noise.uniform("xyz")(F.col("c"), draw("noisei"))).otherwise("")
+    want = {}
+    for r in chars.filter("id is not null").select("id", "pos", F.concat(first, after).alias("o")).orderBy("id", "pos").collect():
+        want[r["id"]] = want.get(r["id"], "") + r["o"]
+    assert {r["id"]: r["noisy"] for r in made.collect()} == {2: "", None: "", 3: ""} | want
+    rows = [(1, "noisy", 1, "A second one follows."), (1, "noisy", 0, "The frst one."), (1, "clean", 0, "The first one."), (1, "clean", 1, "A second one follows."), (1, "clean", 2, None), (2, "clean", 0, "alone"), (3, "noisy", 0, None)]
+    got = align.sentence_pairs(spark.createDataFrame(rows, "doc_id long, side string, pos int, text string")).orderBy("doc_id", "pos").collect()
+    assert [tuple(r)[:4] for r in got] == [(1, 0, "The frst one.", "The first one."), (1, 1, "A second one follows.", "A second one follows.")]
